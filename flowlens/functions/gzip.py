@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Default level, and the window setting that adds gzip framing
 LEVEL = 6
@@ -29,7 +30,7 @@ def gzip_size(text: str) -> int:
     return len(c.compress(text.encode("utf-8"))) + len(c.flush())
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def gzip_length(texts: pd.Series) -> pd.Series:
     """Gzip length of one text per row, for texts that are rows already (stream windows)."""
     return texts.map(lambda t: None if t is None else gzip_size(t)).astype("Int32")

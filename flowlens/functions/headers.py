@@ -40,77 +40,101 @@ def protocol_name(number: Column) -> Column:
     return F.when(number.isNotNull(), name)
 
 
-def ipv4_text(raw: Column, offset: Column) -> Column:
-    parts = [uint_at(raw, offset + F.lit(i), 1).cast("string") for i in range(4)]
-    return F.concat_ws(".", *parts)
+def ipv4_text(raw: Column, offset: int) -> Column:
+    return F.concat_ws(".", *[uint_at(raw, offset + i, 1).cast("string") for i in range(4)])
 
 
-def ipv6_text(raw: Column, offset: Column) -> Column:
+def ipv6_text(raw: Column, offset: int) -> Column:
     """Eight lower-case groups without leading zeros and without ``::`` compression."""
-    groups = [F.conv(F.hex(slice_at(raw, offset + F.lit(2 * i), 2)), 16, 16) for i in range(8)]
+    groups = [F.conv(F.hex(slice_at(raw, offset + 2 * i, 2)), 16, 16) for i in range(8)]
     return F.lower(F.concat_ws(":", *groups))
 
 
+def _after(raw: Column, offset: int | Column) -> Column:
+    at = F.lit(offset) if isinstance(offset, int) else offset
+    return F.substring(raw, at + F.lit(1), F.length(raw))
+
+
+def _network_packet(raw: Column, link: Column) -> Column:
+    """Struct of the ethertype and the bytes from the IP header on; up to two VLAN tags are skipped."""
+    def behind(at: int) -> Column:
+        return F.struct(uint_at(raw, at, 2).alias("type"), _after(raw, at + 2).alias("ip"))
+
+    def tagged(at: int) -> Column:
+        return uint_at(raw, at, 2).isin(ETHERTYPE_VLAN, ETHERTYPE_QINQ)
+
+    def from_type(at: int) -> Column:
+        return F.when(~tagged(at), behind(at)).when(~tagged(at + 4), behind(at + 4)).otherwise(behind(at + 8))
+
+    return F.when(link == DLT_ETHERNET, from_type(12)).when(link == DLT_LINUX_SLL, from_type(14))
+
+
+def _declared(ip: Column, length: Column, header: Column | int) -> Column:
+    """The bytes after a header, without what follows the declared packet length (padding)."""
+    head = F.lit(header) if isinstance(header, int) else header
+    return F.substring(ip, head + F.lit(1), F.greatest(length - head, F.lit(0)).cast("int"))
+
+
 def with_headers(df: DataFrame, raw: str = "raw", dlt: str = "dlt") -> DataFrame:
-    """Adds :data:`HEADER_COLUMNS` to a frame that has raw bytes and their link type."""
-    b, link = F.col(raw), F.col(dlt)
-    size = F.length(b)
-
-    # Link layer: where the ethertype sits; VLAN tags push it back four bytes each.
-    base = F.when(link == DLT_ETHERNET, F.lit(12)).when(link == DLT_LINUX_SLL, F.lit(14))
-    tags = (ETHERTYPE_VLAN, ETHERTYPE_QINQ)
-    df = df.withColumn("_t0", uint_at(b, base, 2))
-    outer = F.when(F.col("_t0").isin(*tags), base + F.lit(4)).otherwise(base)
-    df = df.withColumn("_o1", outer).withColumn(
-        "_t1", F.when(F.col("_t0").isin(*tags), uint_at(b, F.col("_o1"), 2)).otherwise(F.col("_t0"))
+    """Adds :data:`HEADER_COLUMNS` to a frame that has raw bytes and their link type.
+
+    The frame is cut once into its layers. ``inline`` keeps that step apart:
+    a filter on a header field is evaluated above it and does not repeat the
+    cutting, and fields nobody reads are still pruned.
+    """
+    kept = df.columns
+    df = df.withColumn("_net", _network_packet(F.col(raw), F.col(dlt)))
+    ip, kind = F.col("_net.ip"), F.col("_net.type")
+
+    # Network layer: protocol number and payload of whole headers
+    first = uint_at(ip, 0, 1)
+    head4 = (F.pmod(first, F.lit(16)) * 4).cast("int")
+    size4 = uint_at(ip, 2, 2)
+    is4 = (kind == ETHERTYPE_IPV4) & (F.shiftright(first, 4) == 4) & (head4 >= 20) & (F.length(ip) >= head4)
+    is6 = (kind == ETHERTYPE_IPV6) & (F.shiftright(first, 4) == 6) & (F.length(ip) >= 40)
+    whole4 = F.pmod(uint_at(ip, 6, 2), F.lit(1 << 14)) == 0  # neither offset nor more fragments
+    load4 = F.when(size4 == 0, _after(ip, head4)).otherwise(_declared(ip, size4, head4))
+    payload = F.when(
+        is4, F.struct(F.lit(4).alias("version"), uint_at(ip, 9, 1).alias("up"), F.when(whole4, load4).alias("load"))
+    ).when(
+        is6,
+        F.struct(
+            F.lit(6).alias("version"), uint_at(ip, 6, 1).alias("up"),
+            _declared(ip, uint_at(ip, 4, 2) + 40, 40).alias("load"),
+        ),
     )
-    double = F.col("_t1").isin(*tags)
-    df = df.withColumn("_ip", F.when(double, F.col("_o1") + F.lit(6)).otherwise(F.col("_o1") + F.lit(2)))
-    df = df.withColumn(
-        "_type", F.when(double, uint_at(b, F.col("_o1") + F.lit(4), 2)).otherwise(F.col("_t1"))
+    df = df.withColumn("_load", payload)
+
+    # IPv6 extension headers: (next header, length in 8-byte units - 1, ...), up to three in a row
+    df = df.withColumns({"_version": F.col("_load.version"), "_next": F.col("_load.up")})
+    for _ in range(3):
+        up, load = F.col("_load.up"), F.col("_load.load")
+        skip = (F.col("_version") == 6) & up.isin(*IPV6_SKIPPABLE)
+        jump = ((uint_at(load, 1, 1) + 1) * 8).cast("int")
+        inner = F.struct(
+            F.col("_version").alias("version"), uint_at(load, 0, 1).alias("up"), _after(load, jump).alias("load")
+        )
+        df = df.withColumn("_load", F.when(skip, inner).otherwise(F.col("_load")))
+
+    # Transport layer: only whole TCP and UDP headers count
+    up, load = F.col("_load.up"), F.col("_load.load")
+    whole = ((up == PROTO_TCP) & (F.length(load) >= MIN_TCP)) | ((up == PROTO_UDP) & (F.length(load) >= MIN_UDP))
+    layers = F.struct(
+        F.col("_version").alias("ip_version"), F.col("_next").alias("_next"),
+        F.when(F.col("_version").isNotNull(), ip).alias("_ip"), F.when(whole, load).alias("_segment"),
     )
+    df = df.select(*kept, F.inline(F.array(layers)))
 
-    # Network layer: version, header length and the first byte after the header.
-    ip = F.col("_ip")
-    first = uint_at(b, ip, 1)
-    ihl = F.pmod(first, F.lit(16)) * 4
-    v4 = (F.col("_type") == ETHERTYPE_IPV4) & (F.shiftright(first, 4) == 4) & (ihl >= 20) & (size >= ip + ihl)
-    v6 = (F.col("_type") == ETHERTYPE_IPV6) & (F.shiftright(first, 4) == 6) & (size >= ip + F.lit(40))
-    df = df.withColumn("ip_version", F.when(v4, F.lit(4)).when(v6, F.lit(6)))
     is4, is6 = F.col("ip_version") == 4, F.col("ip_version") == 6
-    df = df.withColumn("_next", F.when(is4, uint_at(b, ip + F.lit(9), 1)).when(is6, uint_at(b, ip + F.lit(6), 1)))
-    df = df.withColumn("_l4", F.when(is4, ip + ihl).when(is6, ip + F.lit(40)))
-
-    # IPv6 extension headers: (next header, length in 8-byte units - 1, ...), up to three in a row.
-    df = df.withColumn("_up", F.col("_next"))
-    for _ in range(3):
-        skip = is6 & F.col("_up").isin(*IPV6_SKIPPABLE)
-        at = F.col("_l4")
-        jump = (uint_at(b, at + F.lit(1), 1) + 1) * 8
-        df = df.withColumn("_step", F.when(skip, F.struct(uint_at(b, at, 1).alias("up"), (at + jump).alias("l4"))))
-        df = df.withColumn("_up", F.when(skip, F.col("_step.up")).otherwise(F.col("_up")))
-        df = df.withColumn("_l4", F.when(skip, F.col("_step.l4")).otherwise(F.col("_l4")))
-
-    # Transport layer: ports only in whole TCP/UDP headers of packets that are not fragments.
-    flags = uint_at(b, ip + F.lit(6), 2)
-    fragment = F.when(is4, F.pmod(flags, F.lit(1 << 14)) != 0).otherwise(F.col("_up") == IPV6_FRAGMENT)
-    total = F.when(is4, uint_at(b, ip + F.lit(2), 2)).when(is6, uint_at(b, ip + F.lit(4), 2) + 40)
-    declared = F.when(is4 & (total == 0), size).otherwise(ip + total)
-    room = F.least(size, declared) - F.col("_l4")
-    whole = ((F.col("_up") == PROTO_TCP) & (room >= MIN_TCP)) | ((F.col("_up") == PROTO_UDP) & (room >= MIN_UDP))
-    ports = ~fragment & whole
-
-    def address(v4_at: int, v6_at: int) -> Column:
-        return F.when(is4, ipv4_text(b, ip + F.lit(v4_at))).when(is6, ipv6_text(b, ip + F.lit(v6_at)))
-
-    return df.withColumns(
-        {
-            "src_ip": address(12, 8),
-            "dst_ip": address(16, 24),
-            "proto": protocol_name(F.col("_next")),
-            "src_port": F.when(ports, uint_at(b, F.col("_l4"), 2)).cast("int"),
-            "dst_port": F.when(ports, uint_at(b, F.col("_l4") + F.lit(2), 2)).cast("int"),
-            "ttl": F.when(is4, uint_at(b, ip + F.lit(8), 1)).when(is6, uint_at(b, ip + F.lit(7), 1)).cast("int"),
-            "total_len": total.cast("int"),
-        }
-    ).drop("_t0", "_o1", "_t1", "_ip", "_type", "_next", "_l4", "_up", "_step")
+    ip, segment = F.col("_ip"), F.col("_segment")
+    return df.select(
+        *kept,
+        "ip_version",
+        F.when(is4, ipv4_text(ip, 12)).when(is6, ipv6_text(ip, 8)).alias("src_ip"),
+        F.when(is4, ipv4_text(ip, 16)).when(is6, ipv6_text(ip, 24)).alias("dst_ip"),
+        protocol_name(F.col("_next")).alias("proto"),
+        uint_at(segment, 0, 2).cast("int").alias("src_port"),
+        uint_at(segment, 2, 2).cast("int").alias("dst_port"),
+        F.when(is4, uint_at(ip, 8, 1)).when(is6, uint_at(ip, 7, 1)).cast("int").alias("ttl"),
+        F.when(is4, uint_at(ip, 2, 2)).when(is6, uint_at(ip, 4, 2) + 40).cast("int").alias("total_len"),
+    )
