@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from flowlens.detectors import PythonDetector
+from flowlens.functions.features import dest_port
 
 
 class OddPortDetector(PythonDetector):
@@ -12,6 +13,9 @@ class OddPortDetector(PythonDetector):
     def __init__(self):
         self.odd = 0
 
+    def features(self):
+        return [dest_port().alias("dest_port")]
+
     def process(self, packets):
         if (packets["dest_port"] == 13).any():
             raise ValueError('port "13" seen')

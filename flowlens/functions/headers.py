@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .octets import slice_at, uint_at
+from .octets import digits_at, uint_in
 
 # Link types, ethertypes and protocol numbers of the public registries
 DLT_ETHERNET = 1
@@ -41,12 +41,12 @@ def protocol_name(number: Column) -> Column:
 
 
 def ipv4_text(raw: Column, offset: int) -> Column:
-    return F.concat_ws(".", *[uint_at(raw, offset + i, 1).cast("string") for i in range(4)])
+    return F.concat_ws(".", *[digits_at(raw, offset + i, 1) for i in range(4)])
 
 
 def ipv6_text(raw: Column, offset: int) -> Column:
     """Eight lower-case groups without leading zeros and without ``::`` compression."""
-    groups = [F.conv(F.hex(slice_at(raw, offset + 2 * i, 2)), 16, 16) for i in range(8)]
+    groups = [digits_at(raw, offset + 2 * i, 2, base=16) for i in range(8)]
     return F.lower(F.concat_ws(":", *groups))
 
 
@@ -58,10 +58,10 @@ def _after(raw: Column, offset: int | Column) -> Column:
 def _network_packet(raw: Column, link: Column) -> Column:
     """Struct of the ethertype and the bytes from the IP header on; up to two VLAN tags are skipped."""
     def behind(at: int) -> Column:
-        return F.struct(uint_at(raw, at, 2).alias("type"), _after(raw, at + 2).alias("ip"))
+        return F.struct(uint_in(raw, at, 2).alias("type"), _after(raw, at + 2).alias("ip"))
 
     def tagged(at: int) -> Column:
-        return uint_at(raw, at, 2).isin(ETHERTYPE_VLAN, ETHERTYPE_QINQ)
+        return uint_in(raw, at, 2).isin(ETHERTYPE_VLAN, ETHERTYPE_QINQ)
 
     def from_type(at: int) -> Column:
         return F.when(~tagged(at), behind(at)).when(~tagged(at + 4), behind(at + 4)).otherwise(behind(at + 8))
@@ -72,7 +72,7 @@ def _network_packet(raw: Column, link: Column) -> Column:
 def _declared(ip: Column, length: Column, header: Column | int) -> Column:
     """The bytes after a header, without what follows the declared packet length (padding)."""
     head = F.lit(header) if isinstance(header, int) else header
-    return F.substring(ip, head + F.lit(1), F.greatest(length - head, F.lit(0)).cast("int"))
+    return F.substring(ip, head + F.lit(1), F.greatest(length - head, F.lit(0)))
 
 
 def with_headers(df: DataFrame, raw: str = "raw", dlt: str = "dlt") -> DataFrame:
@@ -87,20 +87,20 @@ def with_headers(df: DataFrame, raw: str = "raw", dlt: str = "dlt") -> DataFrame
     ip, kind = F.col("_net.ip"), F.col("_net.type")
 
     # Network layer: protocol number and payload of whole headers
-    first = uint_at(ip, 0, 1)
-    head4 = (F.pmod(first, F.lit(16)) * 4).cast("int")
-    size4 = uint_at(ip, 2, 2)
+    first = uint_in(ip, 0, 1)
+    head4 = F.pmod(first, F.lit(16)) * 4
+    size4 = uint_in(ip, 2, 2)
     is4 = (kind == ETHERTYPE_IPV4) & (F.shiftright(first, 4) == 4) & (head4 >= 20) & (F.length(ip) >= head4)
     is6 = (kind == ETHERTYPE_IPV6) & (F.shiftright(first, 4) == 6) & (F.length(ip) >= 40)
-    whole4 = F.pmod(uint_at(ip, 6, 2), F.lit(1 << 14)) == 0  # neither offset nor more fragments
+    whole4 = F.pmod(uint_in(ip, 6, 2), F.lit(1 << 14)) == 0  # neither offset nor more fragments
     load4 = F.when(size4 == 0, _after(ip, head4)).otherwise(_declared(ip, size4, head4))
     payload = F.when(
-        is4, F.struct(F.lit(4).alias("version"), uint_at(ip, 9, 1).alias("up"), F.when(whole4, load4).alias("load"))
+        is4, F.struct(F.lit(4).alias("version"), uint_in(ip, 9, 1).alias("up"), F.when(whole4, load4).alias("load"))
     ).when(
         is6,
         F.struct(
-            F.lit(6).alias("version"), uint_at(ip, 6, 1).alias("up"),
-            _declared(ip, uint_at(ip, 4, 2) + 40, 40).alias("load"),
+            F.lit(6).alias("version"), uint_in(ip, 6, 1).alias("up"),
+            _declared(ip, uint_in(ip, 4, 2) + 40, 40).alias("load"),
         ),
     )
     df = df.withColumn("_load", payload)
@@ -110,9 +110,9 @@ def with_headers(df: DataFrame, raw: str = "raw", dlt: str = "dlt") -> DataFrame
     for _ in range(3):
         up, load = F.col("_load.up"), F.col("_load.load")
         skip = (F.col("_version") == 6) & up.isin(*IPV6_SKIPPABLE)
-        jump = ((uint_at(load, 1, 1) + 1) * 8).cast("int")
+        jump = (uint_in(load, 1, 1) + 1) * 8
         inner = F.struct(
-            F.col("_version").alias("version"), uint_at(load, 0, 1).alias("up"), _after(load, jump).alias("load")
+            F.col("_version").alias("version"), uint_in(load, 0, 1).alias("up"), _after(load, jump).alias("load")
         )
         df = df.withColumn("_load", F.when(skip, inner).otherwise(F.col("_load")))
 
@@ -133,8 +133,8 @@ def with_headers(df: DataFrame, raw: str = "raw", dlt: str = "dlt") -> DataFrame
         F.when(is4, ipv4_text(ip, 12)).when(is6, ipv6_text(ip, 8)).alias("src_ip"),
         F.when(is4, ipv4_text(ip, 16)).when(is6, ipv6_text(ip, 24)).alias("dst_ip"),
         protocol_name(F.col("_next")).alias("proto"),
-        uint_at(segment, 0, 2).cast("int").alias("src_port"),
-        uint_at(segment, 2, 2).cast("int").alias("dst_port"),
-        F.when(is4, uint_at(ip, 8, 1)).when(is6, uint_at(ip, 7, 1)).cast("int").alias("ttl"),
-        F.when(is4, uint_at(ip, 2, 2)).when(is6, uint_at(ip, 4, 2) + 40).cast("int").alias("total_len"),
+        uint_in(segment, 0, 2).alias("src_port"),
+        uint_in(segment, 2, 2).alias("dst_port"),
+        F.when(is4, uint_in(ip, 8, 1)).when(is6, uint_in(ip, 7, 1)).alias("ttl"),
+        F.when(is4, uint_in(ip, 2, 2)).when(is6, uint_in(ip, 4, 2) + 40).alias("total_len"),
     )

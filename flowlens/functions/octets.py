@@ -19,6 +19,16 @@ def slice_at(raw: Column, offset: int | Column, length: int) -> Column:
     return F.substring(raw, _pos(offset), F.lit(length))
 
 
+def digits_at(raw: Column, offset: int | Column, length: int, base: int = 10) -> Column:
+    """Text of the unsigned integer in ``length`` bytes that are known to be there (null if none is)."""
+    return F.conv(F.hex(slice_at(raw, offset, length)), 16, base)
+
+
+def uint_in(raw: Column, offset: int | Column, length: int) -> Column:
+    """Unsigned integer of at most 3 bytes that are known to be there (null if none is)."""
+    return digits_at(raw, offset, length).cast("int")
+
+
 def uint_at(raw: Column, offset: int | Column, length: int) -> Column:
     """Unsigned integer of ``length`` (at most 4) bytes; null when the bytes are not all there."""
     piece = slice_at(raw, offset, length)

@@ -130,3 +130,37 @@ def _per_packet(kind: type[PythonDetector], settings: Settings):
             detector.close()
 
     return run
+
+
+def score_python_elements(
+    windows: DataFrame, detector: PythonDetector, config: Mapping[str, Any], w: FlowWindow
+) -> DataFrame:
+    """The same for closed stream windows that carry their packets as an array."""
+    kind, settings = type(detector), Settings(dict(config))
+    columns = [*w.group, "packets_in_window", "details", "error"]
+    bounds = ", ".join(f"{c} bigint" for c in w.columns)
+    schema = f"flow_key string, {bounds}, packets_in_window bigint, details struct<{kind.schema}>, error string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        instance = kind()
+        instance.initialize(settings)
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                details, error = None, None
+                try:
+                    packets = pd.DataFrame([e if isinstance(e, dict) else e.asDict() for e in row.elements])
+                    instance.process(packets.assign(flow_key=row.flow_key).sort_values("seq"))
+                    details = instance.detect()
+                except Exception as e:  # noqa: BLE001
+                    error = str(e)
+                try:
+                    instance.reset()
+                except Exception:  # noqa: BLE001
+                    log.exception("reset failed for %s", kind.name)
+                if details is not None or error is not None:
+                    out.append((*[getattr(row, c) for c in w.group], row.packets_in_window, details, error))
+            yield pd.DataFrame(out, columns=columns)
+        instance.close()
+
+    return windows.mapInPandas(run, schema)

@@ -1,0 +1,53 @@
+"""Count windows of a stream: a buffer of the last packets per flow.
+
+Packets count in order of arrival. The state of a flow is at most one
+window of narrow feature values, plus how many packets it has seen.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..operators.windows import FlowWindow
+
+
+def fired_windows(packets: DataFrame, w: FlowWindow, columns: list[str]) -> DataFrame:
+    """Windows as they fire: ``flow_key, window_no, packets_in_window, elements``."""
+    types = {c: packets.schema[c].dataType.simpleString() for c in columns}
+    arrays = ", ".join(f"`{c}` array<{t}>" for c, t in types.items())
+    size, step = w.count, w.step
+    names = list(types)
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            seen, *kept = state.get
+            kept = [list(k) for k in kept]
+        else:
+            seen, kept = 0, [[] for _ in names]
+        new = pd.concat(list(batches)).sort_values("seq", kind="stable")
+        values = [k + new[c].tolist() for k, c in zip(kept, names)]
+        held, total = len(kept[0]), seen + len(new)
+        fired = []
+        for number in range(seen // step + 1, total // step + 1):
+            end = held + number * step - seen  # position in values just after the firing packet
+            part = [v[max(0, end - size) : end] for v in values]
+            fired.append((key[0], number, len(part[0]), *part))
+        # what a later window can still reach; whole tumbling windows leave nothing behind
+        reach = size - step + (total % step)
+        state.update((total, *[v[len(v) - min(reach, len(v)) :] for v in values]))
+        if fired:
+            yield pd.DataFrame(fired, columns=["flow_key", "window_no", "packets_in_window", *names])
+
+    windows = packets.select("flow_key", *names).groupBy("flow_key").applyInPandasWithState(
+        update,
+        f"flow_key string, window_no bigint, packets_in_window bigint, {arrays}",
+        f"seen bigint, {arrays}",
+        "append",
+        GroupStateTimeout.NoTimeout,
+    )
+    return windows.select("flow_key", "window_no", "packets_in_window", F.arrays_zip(*names).alias("elements"))
