@@ -29,25 +29,16 @@ def uint_in(raw: Column, offset: int | Column, length: int) -> Column:
     return digits_at(raw, offset, length).cast("int")
 
 
-def uint_at(raw: Column, offset: int | Column, length: int) -> Column:
-    """Unsigned integer of ``length`` (at most 4) bytes; null when the bytes are not all there."""
-    piece = slice_at(raw, offset, length)
-    value = F.conv(F.hex(piece), 16, 10).cast("bigint")
-    return F.when(F.length(piece) == length, value)
-
-
 def read_int32(raw: Column, offset: int) -> Column:
-    """Signed 32-bit integer at a byte offset."""
-    unsigned = uint_at(raw, offset, 4)
-    two_32 = F.lit(1 << 32)
-    return F.when(unsigned >= (1 << 31), unsigned - two_32).otherwise(unsigned).cast("int")
+    """Signed 32-bit integer from bytes that are known to be there."""
+    unsigned = digits_at(raw, offset, 4).cast("bigint")
+    # up to the top of 64 bits and back down: the second shift carries the sign
+    return F.shiftright(F.shiftleft(unsigned, 32), 32).cast("int")
 
 
 def read_int64(raw: Column, offset: int) -> Column:
-    """Signed 64-bit integer at a byte offset."""
-    high, low = read_int32(raw, offset), uint_at(raw, offset + 4, 4)
-    # the two halves do not overlap, so "or" joins them without any overflow
-    return F.shiftleft(high.cast("bigint"), 32).bitwiseOR(low)
+    """Signed 64-bit integer from bytes that are known to be there."""
+    return digits_at(raw, offset, 8, base=-10).cast("bigint")  # a negative base reads as signed
 
 
 def write_int32(value: Column) -> Column:
@@ -58,8 +49,3 @@ def write_int32(value: Column) -> Column:
 
 def write_int64(value: Column) -> Column:
     return F.unhex(F.lpad(F.hex(value.cast("bigint")), _INT64_HEX, "0"))
-
-
-def write_uint(value: Column, length: int) -> Column:
-    """The low ``length`` bytes of a non-negative integer."""
-    return F.unhex(F.lpad(F.hex(value.cast("bigint")), 2 * length, "0"))

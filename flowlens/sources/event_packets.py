@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.octets import write_uint
 from .wire import encode
 
 TOPIC = "network-flows"
@@ -70,38 +69,35 @@ def raw_packets(events: DataFrame) -> DataFrame:
     """``dlt, ts_ms, raw`` and arrival columns, with the frame bytes of each event."""
     p = flat_packets(events)
 
-    def fixed(digits: str) -> Column:
-        return F.unhex(F.lit(digits))
-
-    number = F.col("proto_number")
-    room = F.when(number == 6, 20).when(number == 17, 8).otherwise(8)
-    ports = F.concat(write_uint(F.col("src_port"), 2), write_uint(F.col("dst_port"), 2))
+    number, user, ttl = F.col("proto_number"), F.col("user_id"), F.col("ttl")
+    room = F.when(number == 6, 20).otherwise(8)
+    ports = F.format_string("%04X%04X", "src_port", "dst_port")
     transport = (
-        F.when(number == 6, F.concat(ports, fixed("00000000000000005002000000000000")))
-        .when(number == 17, F.concat(ports, fixed("00080000")))
-        .otherwise(fixed("0800000000000000"))
+        F.when(number == 6, F.concat(ports, F.lit("00000000000000005002000000000000")))
+        .when(number == 17, F.concat(ports, F.lit("00080000")))
+        .otherwise("0800000000000000")
     )
-    v4 = F.concat(
-        fixed(_MACS + "0800" + "4500"), write_uint(20 + room, 2), fixed("00010000"),
-        write_uint(F.col("ttl"), 1), write_uint(number, 1), fixed("0000" + "0A"),
-        write_uint(F.pmod("user_id", F.lit(1 << 24)), 3),
-        fixed("0A0100"), write_uint(F.col("target"), 1), transport,
+    v4 = F.format_string(
+        _MACS + "0800" + "4500%04X00010000%02X%02X" + "0000" + "0A%06X" + "0A0100%02X" + "%s",
+        20 + room, ttl, number, F.pmod(user, F.lit(1 << 24)), "target", transport,
     )
-    v6 = F.concat(
-        fixed(_MACS + "86DD" + "60000000"), write_uint(room, 2), write_uint(number, 1), write_uint(F.col("ttl"), 1),
-        fixed("FD00" + "00" * 10),
-        write_uint(F.pmod("user_id", F.lit(1 << 32)), 4),
-        fixed("FD00" + "00" * 13 + "05"), transport,
+    v6 = F.format_string(
+        _MACS + "86DD" + "60000000%04X%02X%02X" + "FD00" + "00" * 10 + "%08X" + "FD00" + "00" * 13 + "05" + "%s",
+        room, number, ttl, F.pmod(user, F.lit(1 << 32)), transport,
     )
-    arp = fixed(_MACS + "0806" + "0001080006040001" + "00" * 20)
-    raw = F.when(F.col("ip_version") == 4, v4).when(F.col("ip_version") == 6, v6).otherwise(arp)
+    arp = F.lit(_MACS + "0806" + "0001080006040001" + "00" * 20)
+    raw = F.unhex(F.when(F.col("ip_version") == 4, v4).when(F.col("ip_version") == 6, v6).otherwise(arp))
     return p.select("event_id", "partition", "seq", "src_ip", F.lit(1).alias("dlt"), "ts_ms", raw.alias("raw"))
 
 
 def topic_records(events: DataFrame) -> DataFrame:
-    """Topic records of the events; every 101st one is cut short and cannot be decoded."""
+    """Topic records of the events; every 101st one is cut short and cannot be decoded.
+
+    ``inline`` keeps later filters above the step that builds the frames, which
+    they would otherwise repeat.
+    """
     value = F.when(F.col("event_id") % 101 == 0, F.substring("value", 1, 8)).otherwise(F.col("value"))
-    return encode(raw_packets(events)).select(
+    record = F.struct(
         F.col("src_ip").alias("key"),
         value.alias("value"),
         F.lit(TOPIC).alias("topic"),
@@ -109,3 +105,4 @@ def topic_records(events: DataFrame) -> DataFrame:
         F.col("event_id").alias("offset"),
         F.timestamp_millis("ts_ms").alias("timestamp"),
     )
+    return encode(raw_packets(events)).select(F.inline(F.array(record)))
