@@ -336,6 +336,10 @@ _add(
     "limit_packets_first",
     """SELECT part AS partition, seq, ts_ms FROM p ORDER BY part, seq LIMIT 500""",
 )
+_add(
+    "limit_packets_many",
+    """SELECT part AS partition, seq, ts_ms FROM p ORDER BY part, seq LIMIT 4000""",
+)
 _add(
     "bad_packet_runs",
     """, o AS (SELECT part, event_id, event_id % 101 <> 0 AND length(raw_hex) // 2 >= 54 AS ok FROM f),

@@ -25,6 +25,7 @@ from flowlens.operators.texts import text_pieces, whole_texts, with_codes
 from flowlens.operators.windows import (
     ARRIVAL, EVENT_TIME, ORDERS, FlowWindow, accumulated, session_bounds, window_gaps, windowed_counts,
 )
+from flowlens.operators.windows import flow_changes as count_flow_changes
 from flowlens.plans.job import JobSpec, enriched, keyed_features, run_batch
 from flowlens.plans.python_windows import score_python
 from flowlens.sinks.results import dead_letter_line, result_line
@@ -263,13 +264,7 @@ def flow_changes(spark, sf_dir):
         source_host().alias("flow_key"), "ts_ms", "seq", "tuple",
         (F.col("ts_ms") - F.pmod("ts_ms", F.lit(WEEK))).alias("window_start"),
     )
-    first = rows.groupBy("flow_key", "window_start").agg(
-        F.min_by("tuple", F.struct("ts_ms", "seq")).alias("first_tuple"), F.count(F.lit(1)).alias("packets")
-    )
-    # a tuple equals the first one or not: count per tuple, then compare once per tuple
-    tuples = rows.groupBy("flow_key", "window_start", "tuple").agg(F.count(F.lit(1)).alias("n"))
-    same = tuples.join(first, ["flow_key", "window_start"]).where(F.col("tuple") == F.col("first_tuple"))
-    return same.select("flow_key", "window_start", (F.col("packets") - F.col("n")).alias("flow_changes"))
+    return count_flow_changes(rows, ["flow_key", "window_start"], "tuple")
 
 
 # --------------------------------------------------------------- detectors
@@ -369,7 +364,14 @@ def det_packet_count(spark, sf_dir):
 
 @query
 def limit_packets_first(spark, sf_dir):
-    return limit_packets(packets(spark, sf_dir), ["partition", "seq"], 500).select("partition", "seq", "ts_ms")
+    return limit_packets(packets(spark, sf_dir), "partition", "seq", 500).select("partition", "seq", "ts_ms")
+
+
+@query
+def limit_packets_many(spark, sf_dir):
+    """A limit applied without gathering its rows in one task."""
+    kept = limit_packets(packets(spark, sf_dir), "partition", "seq", 4000, top_rows=0)
+    return kept.select("partition", "seq", "ts_ms")
 
 
 @query

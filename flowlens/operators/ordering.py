@@ -109,11 +109,14 @@ def with_previous(
         rows = rows.withColumn(number, F.row_number().over(inside).cast("bigint"))
     if policy.hot_rows is None:
         return rows
-    position = F.struct(*order)
+    if column == order[0]:
+        last = F.max(column)
+    else:
+        last = F.max_by(column, order[0] if len(order) == 1 else F.struct(*order))
     ends = (
         with_slices(df, group, order[0], policy, hot_only=True)
         .groupBy(*group, "slice")
-        .agg(F.max_by(column, position).alias("_last"), F.count(F.lit(1)).alias("_rows"))
+        .agg(last.alias("_last"), F.count(F.lit(1)).alias("_rows"))
         .withColumn("_carry", F.lag("_last").over(Window.partitionBy(*group).orderBy("slice")))
         .withColumn("_before", F.sum("_rows").over(_earlier(group)))
     )

@@ -39,7 +39,11 @@ def text_pieces(coded: DataFrame, window: list[str], order: tuple[str, ...]) ->
 
 def with_window_totals(pieces: DataFrame, window: list[str]) -> DataFrame:
     """Replaces the counts of a piece by those of its whole window."""
-    whole = Window.partitionBy(*window)
+    # ordered only so that the pieces are sorted once, for this and for reading them in order
+    whole = (
+        Window.partitionBy(*window).orderBy("slice")
+        .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    )
     totals = {
         "packets": F.sum("packets").over(whole), "codes": F.sum("codes").over(whole),
         "first_ts": F.min("first_ts").over(whole), "last_ts": F.max("last_ts").over(whole),

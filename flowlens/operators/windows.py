@@ -260,3 +260,15 @@ def accumulated(
     order = [w.columns[0]]
     totals = {f"{c}_so_far": F.col(c) for c in sums}
     return with_running_sums(counts, ["flow_key"], order, totals, policy).drop("slice")
+
+
+def flow_changes(packets: DataFrame, group: list[str], flow: str, order: str = EVENT_TIME) -> DataFrame:
+    """Packets per group whose ``flow`` differs from that of the group's first packet.
+
+    Groups by the flow first, so that a group is compared flow by flow and not
+    packet by packet. It is 0 where the flow is part of the group.
+    """
+    position = F.struct(*ORDERS[order])
+    flows = packets.groupBy(*group, flow).agg(F.count(F.lit(1)).alias("_n"), F.min(position).alias("_first"))
+    first = F.min_by("_n", "_first")
+    return flows.groupBy(*group).agg((F.sum("_n") - first).alias("flow_changes"))

@@ -135,11 +135,13 @@ def _per_packet(kind: type[PythonDetector], settings: Settings):
 def score_python_elements(
     windows: DataFrame, detector: PythonDetector, config: Mapping[str, Any], w: FlowWindow
 ) -> DataFrame:
-    """The same for closed stream windows that carry their packets as an array."""
+    """The same for stream windows that carry their packets as an array."""
     kind, settings = type(detector), Settings(dict(config))
-    columns = [*w.group, "packets_in_window", "details", "error"]
-    bounds = ", ".join(f"{c} bigint" for c in w.columns)
-    schema = f"flow_key string, {bounds}, packets_in_window bigint, details struct<{kind.schema}>, error string"
+    place = [*w.columns, "packets_in_window"] if w.columns else ["ts_ms", "seq"]
+    columns = ["flow_key", *place, "details", "error"]
+    bounds = ", ".join(f"{c} bigint" for c in place)
+    schema = f"flow_key string, {bounds}, details struct<{kind.schema}>, error string"
+    letters = bool(w.columns)  # failures on single packets are logged and dropped
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         instance = kind()
@@ -158,8 +160,10 @@ def score_python_elements(
                     instance.reset()
                 except Exception:  # noqa: BLE001
                     log.exception("reset failed for %s", kind.name)
-                if details is not None or error is not None:
-                    out.append((*[getattr(row, c) for c in w.group], row.packets_in_window, details, error))
+                if error is not None and not letters:
+                    log.error("detector %s failed on a packet: %s", kind.name, error)
+                elif details is not None or error is not None:
+                    out.append((row.flow_key, *[getattr(row, c) for c in place], details, error))
             yield pd.DataFrame(out, columns=columns)
         instance.close()
 

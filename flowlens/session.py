@@ -21,6 +21,7 @@ def local_session(app: str = "flowlens", cpus: int | None = None, memory: str =
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", memory)
         .getOrCreate()
     )

@@ -18,9 +18,23 @@ from ..operators.windows import FlowWindow
 
 def fired_windows(packets: DataFrame, w: FlowWindow, columns: list[str]) -> DataFrame:
     """Windows as they fire: ``flow_key, window_no, packets_in_window, elements``."""
+    return _fired(packets, w.count, w.step, columns)
+
+
+def running_windows(packets: DataFrame, columns: list[str]) -> DataFrame:
+    """After every packet, all packets of its flow so far; ``ts_ms, seq`` are those of the packet.
+
+    For detectors whose per-packet result needs every earlier packet. The state
+    is the flow's whole history, by definition; see ``running`` for those that do not.
+    """
+    windows = _fired(packets, None, 1, columns)
+    newest = F.array_max(F.transform("elements", lambda e: F.struct(e["seq"].alias("seq"), e["ts_ms"].alias("ts_ms"))))
+    return windows.select("flow_key", newest["ts_ms"].alias("ts_ms"), newest["seq"].alias("seq"), "elements")
+
+
+def _fired(packets: DataFrame, size: int | None, step: int, columns: list[str]) -> DataFrame:
     types = {c: packets.schema[c].dataType.simpleString() for c in columns}
     arrays = ", ".join(f"`{c}` array<{t}>" for c, t in types.items())
-    size, step = w.count, w.step
     names = list(types)
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -35,10 +49,10 @@ def fired_windows(packets: DataFrame, w: FlowWindow, columns: list[str]) -> Data
         fired = []
         for number in range(seen // step + 1, total // step + 1):
             end = held + number * step - seen  # position in values just after the firing packet
-            part = [v[max(0, end - size) : end] for v in values]
+            part = [v[max(0, end - size) if size else 0 : end] for v in values]
             fired.append((key[0], number, len(part[0]), *part))
         # what a later window can still reach; whole tumbling windows leave nothing behind
-        reach = size - step + (total % step)
+        reach = size - step + (total % step) if size else total
         state.update((total, *[v[len(v) - min(reach, len(v)) :] for v in values]))
         if fired:
             yield pd.DataFrame(fired, columns=["flow_key", "window_no", "packets_in_window", *names])

@@ -14,7 +14,7 @@ from ..operators.windows import ARRIVAL, NONE, SESSION
 from ..plans.job import JobSpec, dead_letters, enriched, keyed_features
 from ..plans.python_windows import score_python_elements
 from ..sinks.results import dead_letter_line, result_line, stream_lines, write_lines
-from .count_windows import fired_windows
+from .count_windows import fired_windows, running_windows
 from .running import running_gaps
 from .time_windows import SINGLE_PARTITION_DELAY, closed_windows, window_counts, window_histograms, with_event_time
 
@@ -25,7 +25,7 @@ def score_stream(packets: DataFrame, spec: JobSpec, delay: str = SINGLE_PARTITIO
     features = keyed_features(packets, detector)
     columns = [c for c in features.columns if c != "flow_key"]
     if w.kind == NONE:
-        return _per_packet(features, detector)
+        return _per_packet(features, spec, detector, columns)
     if w.counted:
         windows = fired_windows(features, w, columns)
     else:
@@ -42,7 +42,9 @@ def score_stream(packets: DataFrame, spec: JobSpec, delay: str = SINGLE_PARTITIO
     return detector.score_elements(windows, ARRIVAL)
 
 
-def _per_packet(features: DataFrame, detector: Detector | PythonDetector) -> DataFrame:
+def _per_packet(
+    features: DataFrame, spec: JobSpec, detector: Detector | PythonDetector, columns: list[str]
+) -> DataFrame:
     if isinstance(detector, PacketCountDetector):
         rows = running_gaps(features)
         return rows.select(
@@ -57,7 +59,11 @@ def _per_packet(features: DataFrame, detector: Detector | PythonDetector) -> Dat
             "flow_key", "ts_ms", "seq", cv.alias("cv"), F.col("rn").alias("packetCount"),
             (cv > detector.threshold).alias("detected"),
         )
-    raise NotImplementedError(f"{detector.name} has no per-packet form on streams; run it as a batch or with windows")
+    if isinstance(detector, PythonDetector):
+        return score_python_elements(running_windows(features, columns), detector, spec.config, spec.window)
+    if detector.feature_based:
+        return detector.score_running(features)  # never fed single packets: an empty stream
+    return detector.score_elements(running_windows(features, columns), ARRIVAL)
 
 
 def start(

@@ -189,3 +189,16 @@ def test_window_names():
     assert window_of(" Session ").kind == "session"
     assert window_of("unheard of").kind == window_of(None).kind == "tumbling"
     assert window_of("tumbling_count", count=8, slide_count=2).step == 2
+
+
+def test_ingest_statistics(spark, tmp_path):
+    from flowlens.operators.ingest import ingest_statistics, observed
+
+    df = spark.createDataFrame([(bytearray(20),), (bytearray(13),), (bytearray(3),), (None,)], "value binary")
+    ok = F.coalesce(F.length("value") >= 12, F.lit(False))
+    expected = {"packets_sent": 2, "packets_failed": 2, "bytes_read": 33, "success_rate": 50.0}
+    assert ingest_statistics(df, ok, F.col("value")).first().asDict() == expected
+    watched, seen = observed(df, ok, F.col("value"))
+    watched.write.parquet(str(tmp_path / "out"))
+    assert seen.get == expected
+    assert ingest_statistics(df.limit(0), ok, F.col("value")).first().success_rate == 0.0
