@@ -395,3 +395,26 @@ _add(
     "python_detector",
     ODD + f""" SELECT {TIME}, packets AS packets_in_window, odd AS odd_ports FROM d WHERE NOT failed AND odd > 0""",
 )
+
+# ---------------------------------------------------------------- streams: windows the watermark has closed
+
+CLOSED = f"window_end <= (SELECT max(ts_ms) FROM h) - {HOUR}"
+
+_add(
+    "stream_tumbling",
+    f""", {tumbling(WEEK)} SELECT {TIME}, count(*) AS packets_in_window FROM w WHERE {CLOSED} GROUP BY {TIME}""",
+)
+_add("stream_session", f""", {session(12 * HOUR)} SELECT {TIME}, {SUMMARY} FROM w WHERE {CLOSED} GROUP BY {TIME}""")
+_add("stream_sliding_count", f""", {counted(10, 4)} SELECT {COUNT}, {SUMMARY} FROM w GROUP BY {COUNT}""")
+_add(
+    "stream_running",
+    """SELECT flow_key, ts_ms, seq, row_number() OVER o AS rn, ts_ms - lag(ts_ms) OVER o AS gap_ms
+    FROM h WINDOW o AS (PARTITION BY flow_key ORDER BY seq)""",
+)
+_add(
+    "stream_port_entropy",
+    f""", {sliding(3 * DAY, DAY)}, {entropy(TIME, 0, 3.0)}""".replace("packet_count >= 0 AND unique_ports > 0", CLOSED)
+    .replace(", CASE WHEN round(h, 12)", "").replace("entropy_score,", "entropy_score")
+    .replace("CASE WHEN round(h, 12) >= 3.0::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_anomaly", ""),
+)
+_add("stream_compress", compress("tumbling", True) + f" AND {CLOSED}")

@@ -6,6 +6,7 @@ records with real header bytes (``topic_records``).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,11 +29,15 @@ from flowlens.operators.windows import (
 from flowlens.operators.windows import flow_changes as count_flow_changes
 from flowlens.plans.job import JobSpec, enriched, keyed_features, run_batch
 from flowlens.plans.python_windows import score_python
+from flowlens.session import shared_dir
 from flowlens.sinks.results import dead_letter_line, result_line
 from flowlens.sources import filters, topic
 from flowlens.sources.event_packets import flat_packets, load_events, raw_packets, topic_records
 from flowlens.sources.results import parse_results
 from flowlens.sources.wire import decodable, decode, encode
+from flowlens.streaming.count_windows import fired_windows
+from flowlens.streaming.running import running_gaps
+from flowlens.streaming.time_windows import closed_windows, window_counts, window_histograms, with_event_time
 
 from .failing import OddPortDetector
 
@@ -48,6 +53,7 @@ SESSION = FlowWindow("session", size_ms=12 * HOUR)
 COUNT = FlowWindow("tumbling_count", count=20)
 SLIDING_COUNT = FlowWindow("sliding_count", count=10, slide_count=4)
 FLUSHED = FlowWindow("tumbling_count", count=20, partial_flush=True)
+STREAM_DELAY = "1 hour"
 IAT_SETTINGS = {"iatThresholdMs": DAY, "precision": 2, "minIats": 5}
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -435,3 +441,75 @@ def python_detector(spark, sf_dir):
     """Results of the same detector: windows without port 13 that have an odd port."""
     scored = score_python(by_host(spark, sf_dir), OddPortDetector(), {}, TUMBLING, EVENT_TIME)
     return scored.where(F.col("error").isNull()).select(*TUMBLING.group, "packets_in_window", "details.odd_ports")
+
+
+# ---------------------------------------------------------------- streams
+
+
+def _streamed(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Runs a query over the events as a stream until they are used up, and reads what it wrote."""
+    schema = load_events(spark, sf_dir).schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    keyed = with_flow_key(flat_packets(events), source_host())
+    scored = build(project_features(keyed, dest_port().alias("dest_port")))
+    out = f"{shared_dir(spark).rstrip('/')}/flowlens-stream-{uuid.uuid4().hex}"
+    writer = scored.writeStream.format("parquet").option("path", f"{out}/rows")
+    started = writer.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    started.awaitTermination()
+    return spark.read.schema(scored.schema).parquet(f"{out}/rows")
+
+
+def _counts_of(windows: DataFrame, group: list[str]) -> DataFrame:
+    times = F.transform("elements", lambda e: e["ts_ms"])
+    return windows.select(
+        *group, F.col("packets_in_window").alias("n"),
+        F.array_min(times).alias("first_ts"), F.array_max(times).alias("last_ts"),
+    )
+
+
+@query
+def stream_tumbling(spark, sf_dir):
+    return _streamed(spark, sf_dir, lambda p: window_counts(with_event_time(p, STREAM_DELAY), TUMBLING))
+
+
+@query
+def stream_session(spark, sf_dir):
+    return _streamed(
+        spark, sf_dir,
+        lambda p: _counts_of(closed_windows(with_event_time(p, STREAM_DELAY), SESSION, ["ts_ms"]), SESSION.group),
+    )
+
+
+@query
+def stream_sliding_count(spark, sf_dir):
+    return _streamed(
+        spark, sf_dir,
+        lambda p: _counts_of(fired_windows(p, SLIDING_COUNT, ["seq", "ts_ms"]), SLIDING_COUNT.group),
+    )
+
+
+@query
+def stream_running(spark, sf_dir):
+    return _streamed(spark, sf_dir, lambda p: running_gaps(p).select("flow_key", "ts_ms", "seq", "rn", "gap_ms"))
+
+
+@query
+def stream_port_entropy(spark, sf_dir):
+    columns = ["packet_count", "skipped_count", "unique_ports"]
+    return _streamed(
+        spark, sf_dir,
+        lambda p: _rounded(
+            window_histograms(with_event_time(p, STREAM_DELAY), SLIDING).select(*SLIDING.group, *columns, "entropy_score"),
+            "entropy_score",
+        ),
+    )
+
+
+@query
+def stream_compress(spark, sf_dir):
+    def build(p: DataFrame) -> DataFrame:
+        windows = closed_windows(with_event_time(p, STREAM_DELAY), TUMBLING, ["ts_ms", "seq"])
+        scored = CompressibilityDetector(IAT_SETTINGS).score_elements(windows)
+        return scored.drop("compressibility_score", "anomaly")
+
+    return _streamed(spark, sf_dir, build)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.gzip import gzip_length_of_groups, score
 from ..functions.iat import iat_code_ms, valid_iat
 
+PIECE_ROWS = 8_192
+
 
 def joined_in_order(value: Column, *order: str | Column) -> Column:
     """Aggregate: non-null values joined in the given order."""
@@ -22,35 +24,34 @@ def with_codes(rows: DataFrame, threshold_ms: float, precision: int) -> DataFram
 
 
 def text_pieces(coded: DataFrame, window: list[str], order: tuple[str, ...]) -> DataFrame:
-    """One row per window and slice: packet and code counts, time span and joined codes.
+    """Joined codes of consecutive packets: rows of a window with ``text`` and its position ``piece``.
 
-    Slices bound what one row collects, and the rows are already partitioned by
-    flow and slice, so this aggregates in place.
+    A piece covers at most :data:`PIECE_ROWS` packets, whatever the size of the
+    window, and never crosses a slice. The rows are partitioned by flow and
+    slice already, so this aggregates in place.
     """
+    block = F.floor((F.col("rn") - 1) / PIECE_ROWS).alias("_block")
     aggs = [
         F.count(F.lit(1)).alias("packets"), F.count("code").alias("codes"),
         F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts"),
+        F.min("rn").alias("piece"), F.max("rn").alias("last_rn"),
         joined_in_order(F.col("code"), *order).alias("text"),
     ]
-    if "rn" in coded.columns:
-        aggs.append(F.max("rn").alias("last_rn"))
-    return coded.groupBy(*window, "slice").agg(*aggs)
+    return coded.groupBy(*window, "slice", block).agg(*aggs).drop("slice", "_block")
 
 
 def with_window_totals(pieces: DataFrame, window: list[str]) -> DataFrame:
     """Replaces the counts of a piece by those of its whole window."""
     # ordered only so that the pieces are sorted once, for this and for reading them in order
     whole = (
-        Window.partitionBy(*window).orderBy("slice")
+        Window.partitionBy(*window).orderBy("piece")
         .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     )
     totals = {
         "packets": F.sum("packets").over(whole), "codes": F.sum("codes").over(whole),
         "first_ts": F.min("first_ts").over(whole), "last_ts": F.max("last_ts").over(whole),
-        "text_len": F.sum(F.octet_length("text")).over(whole),
+        "text_len": F.sum(F.octet_length("text")).over(whole), "last_rn": F.max("last_rn").over(whole),
     }
-    if "last_rn" in pieces.columns:
-        totals["last_rn"] = F.max("last_rn").over(whole)
     return pieces.withColumns(totals)
 
 
@@ -59,15 +60,14 @@ def whole_texts(pieces: DataFrame, window: list[str]) -> DataFrame:
     aggs = [
         F.sum("packets").alias("packets"), F.sum("codes").alias("codes"),
         F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
-        joined_in_order(F.col("text"), "slice").alias("text"),
+        F.max("last_rn").alias("last_rn"),
+        joined_in_order(F.col("text"), "piece").alias("text"),
     ]
-    if "last_rn" in pieces.columns:
-        aggs.append(F.max("last_rn").alias("last_rn"))
     return pieces.groupBy(*window).agg(*aggs)
 
 
 def compressibility(pieces: DataFrame, window: list[str]) -> DataFrame:
     """Adds the gzip length and score of each window; ``pieces`` carry window totals."""
-    carry = tuple(c for c in pieces.columns if c not in (*window, "slice", "text"))
-    scored = gzip_length_of_groups(pieces, window, "slice", carry=carry)
+    carry = tuple(c for c in pieces.columns if c not in (*window, "piece", "text"))
+    scored = gzip_length_of_groups(pieces, window, "piece", carry=carry)
     return scored.withColumn("compressibility_score", score(F.col("text_len"), F.col("gzip_len")))

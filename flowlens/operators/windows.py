@@ -217,8 +217,9 @@ def window_gaps(
     """Packets with their window and ``prev_ts``, the packet before them in that window.
 
     Returns the rows and the columns that identify a window. Rows also carry
-    ``slice`` (and ``rn`` for count windows) and stay partitioned by flow and
-    slice, so grouping them by window and slice costs no further shuffle.
+    ``slice`` and ``rn``, a number that ascends along the window, and stay
+    partitioned by flow and slice, so grouping them by window and slice costs
+    no further shuffle.
     Sessions in event-time order are identified by ``session_no``; their bounds
     follow from the first and last packet.
     """
@@ -227,10 +228,9 @@ def window_gaps(
     # may belong to an earlier window than its predecessor
     if order == ARRIVAL and not w.counted:
         placed = assign_sessions(packets, w.size_ms) if w.kind == SESSION else assign_time_windows(packets, w)
-        return with_previous(placed, w.group, by, "ts_ms", policy, name="prev_ts"), w.group
+        return with_previous(placed, w.group, by, "ts_ms", policy, name="prev_ts", number="rn"), w.group
 
-    number = "rn" if w.counted else None
-    rows = with_previous(packets, flow, by, "ts_ms", policy, name="prev_ts", number=number)
+    rows = with_previous(packets, flow, by, "ts_ms", policy, name="prev_ts", number="rn")
     if w.counted:
         rows = assign_count_windows(rows, w)
         inside = F.col("rn") - 1 > F.col("window_no") * w.step - w.count

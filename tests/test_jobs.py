@@ -14,6 +14,7 @@ from flowlens.detectors import (
     PortEntropyDetector, PythonDetector, Settings, create, register, registered,
 )
 from flowlens.functions.gzip import gzip_size
+from flowlens.operators import texts
 from flowlens.operators.ordering import SlicePolicy
 from flowlens.operators.windows import ARRIVAL, EVENT_TIME, FlowWindow
 from flowlens.plans.job import JobSpec, dead_letters, enriched, run_batch
@@ -50,7 +51,8 @@ def one(df):
 
 
 @pytest.mark.parametrize("policy", [SlicePolicy(), HOT])
-def test_compressibility(spark, policy):
+def test_compressibility(spark, policy, monkeypatch):
+    monkeypatch.setattr(texts, "PIECE_ROWS", 7)
     rng = random.Random(5)
     times = [rng.randrange(0, 60_000) for _ in range(80)]
     for detector, order, series in (
