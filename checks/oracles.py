@@ -275,15 +275,23 @@ _add(
 )
 
 
-def entropy(group: str, minimum: int, threshold: float) -> str:
+def port_statistics(group: str) -> str:
+    """``d``: packet and port counts of each window and the entropy ``h`` of its ports."""
     return f"""b AS (SELECT {group}, dest_port, count(*) AS n FROM w GROUP BY ALL),
     b2 AS (SELECT *, sum(CASE WHEN dest_port >= 0 THEN n END) OVER (PARTITION BY {group}) AS ports FROM b),
     d AS (SELECT {group}, CAST(sum(n) AS BIGINT) AS packet_count,
       CAST(COALESCE(sum(n) FILTER (WHERE dest_port < 0), 0) AS BIGINT) AS skipped_count,
       count(*) FILTER (WHERE dest_port >= 0) AS unique_ports,
       -sum(CASE WHEN dest_port >= 0 THEN n::DOUBLE / ports::DOUBLE * log2(n::DOUBLE / ports::DOUBLE) END) AS h
-      FROM b2 GROUP BY {group})
-    SELECT {group}, packet_count, skipped_count, unique_ports, round(h, 6) + 0.0::DOUBLE AS entropy_score,
+      FROM b2 GROUP BY {group})"""
+
+
+PORT_COLUMNS = "packet_count, skipped_count, unique_ports, round(h, 6) + 0.0::DOUBLE AS entropy_score"
+
+
+def entropy(group: str, minimum: int, threshold: float) -> str:
+    return f"""{port_statistics(group)}
+    SELECT {group}, {PORT_COLUMNS},
       CASE WHEN round(h, 12) >= {threshold}::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_anomaly
     FROM d WHERE packet_count >= {minimum} AND unique_ports > 0"""
 
@@ -413,8 +421,6 @@ _add(
 )
 _add(
     "stream_port_entropy",
-    f""", {sliding(3 * DAY, DAY)}, {entropy(TIME, 0, 3.0)}""".replace("packet_count >= 0 AND unique_ports > 0", CLOSED)
-    .replace(", CASE WHEN round(h, 12)", "").replace("entropy_score,", "entropy_score")
-    .replace("CASE WHEN round(h, 12) >= 3.0::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_anomaly", ""),
+    f""", {sliding(3 * DAY, DAY)}, {port_statistics(TIME)} SELECT {TIME}, {PORT_COLUMNS} FROM d WHERE {CLOSED}""",
 )
 _add("stream_compress", compress("tumbling", True) + f" AND {CLOSED}")

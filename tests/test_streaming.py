@@ -9,10 +9,12 @@ from flowlens.detectors import register
 from flowlens.operators.windows import ARRIVAL, FlowWindow, window_of
 from flowlens.plans.job import JobSpec, run_batch
 from flowlens.sources.event_packets import load_events, topic_records
+from flowlens.sources.results import stream_results
 from flowlens.sources.topic import packets as topic_packets
 from flowlens.sources.topic import stream_topic
 from flowlens.streaming.job import score_stream, start
 from flowlens.streaming.metrics import StreamMetrics
+from flowlens.streaming.time_windows import window_counts, with_event_time
 
 register(OddPortDetector)
 
@@ -132,7 +134,36 @@ def test_files_dead_letters_and_metrics(spark, topic_dir, tmp_path):
     spark.streams.removeListener(metrics)
     lines = spark.read.text(str(tmp_path / "out" / "PacketCountDetector"))
     assert lines.count() > 100
+    tail = stream_results(spark, str(tmp_path / "out"), "lab", "node7")
+    q = tail.writeStream.format("memory").queryName("tail").trigger(availableNow=True).start()
+    q.awaitTermination()
+    collected = spark.table("tail").where("algorithmName = 'PacketCountDetector'")
+    assert collected.count() == lines.count() and collected.first().pipeline == "covert-detection"
     dead = spark.read.json(str(tmp_path / "dlq" / "OddPortDetector"))
     assert set(dead.columns) == {"error", "key", "window_start"}
     assert {r.error for r in dead.collect()} == {'port "13" seen'}
     assert sum(t["rows_in"] for t in metrics.totals.values()) >= 1000
+
+
+def test_late_packets_are_dropped_and_counted(spark, tmp_path):
+    """The second file holds one packet behind the watermark and one within the delay."""
+    def write(name, times):
+        rows = [("a", t, i) for i, t in enumerate(times)]
+        df = spark.createDataFrame(rows, "flow_key string, ts_ms bigint, seq bigint")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    write("1", [0, 1_000, 25_000])
+    metrics = StreamMetrics()
+    spark.streams.addListener(metrics)
+    stream = spark.readStream.schema("flow_key string, ts_ms bigint, seq bigint").parquet(str(tmp_path / "in"))
+    counts = window_counts(with_event_time(stream, "1 second"), FlowWindow("tumbling", size_ms=10_000))
+    q = counts.writeStream.format("memory").queryName("late").outputMode("append").start()
+    q.processAllAvailable()
+    write("2", [2_000, 24_500, 50_000])
+    q.processAllAvailable()
+    q.stop()
+    spark.streams.removeListener(metrics)
+    rows = spark.table("late").orderBy("window_start").collect()
+    assert [(r.window_start, r.packets_in_window) for r in rows] == [(0, 2), (20_000, 2)]
+    totals = metrics.totals["late"]
+    assert totals["late_dropped"] == 1 and totals["rows_in"] == 6 and totals["watermark"].startswith("1970-01-01T00:00:")
