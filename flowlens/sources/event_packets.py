@@ -69,21 +69,28 @@ def raw_packets(events: DataFrame) -> DataFrame:
     """``dlt, ts_ms, raw`` and arrival columns, with the frame bytes of each event."""
     p = flat_packets(events)
 
-    number, user, ttl = F.col("proto_number"), F.col("user_id"), F.col("ttl")
+    number, user = F.col("proto_number"), F.col("user_id")
+
+    def hexed(value: Column | str, size: int) -> Column:
+        return F.lpad(F.hex(value), 2 * size, "0")
+
+    def joined(*parts: Column | str) -> Column:
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
     room = F.when(number == 6, 20).otherwise(8)
-    ports = F.format_string("%04X%04X", "src_port", "dst_port")
+    ports = joined(hexed("src_port", 2), hexed("dst_port", 2))
     transport = (
-        F.when(number == 6, F.concat(ports, F.lit("00000000000000005002000000000000")))
-        .when(number == 17, F.concat(ports, F.lit("00080000")))
+        F.when(number == 6, joined(ports, "00000000000000005002000000000000"))
+        .when(number == 17, joined(ports, "00080000"))
         .otherwise("0800000000000000")
     )
-    v4 = F.format_string(
-        _MACS + "0800" + "4500%04X00010000%02X%02X" + "0000" + "0A%06X" + "0A0100%02X" + "%s",
-        20 + room, ttl, number, F.pmod(user, F.lit(1 << 24)), "target", transport,
+    v4 = joined(
+        _MACS + "0800" + "4500", hexed(20 + room, 2), "00010000", hexed("ttl", 1), hexed(number, 1), "00000A",
+        hexed(F.pmod(user, F.lit(1 << 24)), 3), "0A0100", hexed("target", 1), transport,
     )
-    v6 = F.format_string(
-        _MACS + "86DD" + "60000000%04X%02X%02X" + "FD00" + "00" * 10 + "%08X" + "FD00" + "00" * 13 + "05" + "%s",
-        room, number, ttl, F.pmod(user, F.lit(1 << 32)), transport,
+    v6 = joined(
+        _MACS + "86DD" + "60000000", hexed(room, 2), hexed(number, 1), hexed("ttl", 1), "FD00" + "00" * 10,
+        hexed(F.pmod(user, F.lit(1 << 32)), 4), "FD00" + "00" * 13 + "05", transport,
     )
     arp = F.lit(_MACS + "0806" + "0001080006040001" + "00" * 20)
     raw = F.unhex(F.when(F.col("ip_version") == 4, v4).when(F.col("ip_version") == 6, v6).otherwise(arp))
