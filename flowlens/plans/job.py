@@ -124,7 +124,7 @@ def enriched(scored: DataFrame, spec: JobSpec, detector: Detector | PythonDetect
         names = [f for f in scored.columns if f not in (*spec.window.group, "packets_in_window", "ts_ms", "seq")]
     else:
         names = list(detector.details)
-    extra = []
+    extra = []  # the names below are fixed values: readers of result files look for them
     if spec.window.kind != NONE:
         extra = [
             F.col("packets_in_window").cast("string").alias("packets_in_window"),

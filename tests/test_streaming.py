@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.failing import OddPortDetector
-from checks.queries import DAY, by_host, packets
+from checks.queries import DAY
 from flowlens.detectors import register
 from flowlens.operators.windows import ARRIVAL, FlowWindow, window_of
 from flowlens.plans.job import JobSpec, run_batch
