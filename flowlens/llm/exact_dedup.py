@@ -102,8 +102,9 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     rows = stored(recipes(docs, digest, id_column, text_column).withColumn("row", F.monotonically_increasing_id()), "recipes")
     # the first of a group: most code points, then smallest id with null last, then the first row
     best = F.min(F.struct((-F.col("n_points")).alias("p"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("row").alias("r")))
-    groups = rows.groupBy("recipe").agg(best.alias("best"), F.count("*").alias("group_size"))
-    return rows.join(groups, "recipe").select(
+    groups = rows.groupBy("recipe").agg(best.alias("best"), F.count("*").alias("group_size"), F.min("text_sha256").alias("text_sha256"))
+    # a second key keeps the grouping's partitions apart from the join's, which can then be split where one recipe is common
+    return rows.join(groups, ["recipe", "text_sha256"]).select(
         "doc_id", F.col("best.d").alias("keep_id"), "group_size", (F.col("row") == F.col("best.r")).alias("kept"),
         "text_sha256", "raw_sha256",
     )
