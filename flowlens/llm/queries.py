@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import round_trip
 from .exact_dedup import exact_groups
+from .simhash import near_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,7 +32,13 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe_of(_documents(spark, sf_dir))
 
 
+def simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_groups(_documents(spark, sf_dir))
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Query] = {
+    "op3_simhash": simhash_near_duplicates,
     "op6_exact_dedup": exact_duplicates,
     "op8_byte_bpe": byte_bpe,
 }
