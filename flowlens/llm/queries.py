@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe import round_trip
 from .exact_dedup import exact_groups
 from .simhash import near_groups
+from .warc import archived
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,13 +38,25 @@ def simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Query] = {
+    "op9_warc": warc_captures,
     "op3_simhash": simhash_near_duplicates,
     "op6_exact_dedup": exact_duplicates,
     "op8_byte_bpe": byte_bpe,
 }
 
 ORACLES: dict[str, str] = {
+    "op9_warc": r"""
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+             g AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS last FROM p)
+        SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id < last THEN last END AS refers_to, 2 AS n_company
+        FROM g""",
     "op6_exact_dedup": r"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n,
                           regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents)
