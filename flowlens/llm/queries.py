@@ -11,6 +11,8 @@ from .bpe import round_trip
 from .exact_dedup import exact_groups
 from .simhash import near_groups
 from .warc import archived
+from .langid import identified
+from .mixing import taken
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,7 +44,17 @@ def warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identified(_documents(spark, sf_dir))
+
+
+def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
+    "op7_mixing": mixing,
+    "op4_language_codes": language_codes,
     "op9_warc": warc_captures,
     "op3_simhash": simhash_near_duplicates,
     "op6_exact_dedup": exact_duplicates,
