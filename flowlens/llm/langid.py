@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import map_rows
 
-FEATURES, ORDERS, BITS = 1 << 14, (1, 2, 3), 15
-SAMPLE_ROWS, SAMPLE_CHARS = 3000, 4000
+FEATURES, ORDERS, BITS = 1 << 13, (1, 2, 3), 15
+SAMPLE_ROWS, SAMPLE_CHARS = 2000, 4000
 UNKNOWN = "und"
 #: Scores below this are too close to call.
 AMBIGUOUS = 0.55
@@ -88,19 +88,20 @@ class LanguageModel:
     trust: np.ndarray  # per bit
 
     @classmethod
-    def fit(cls, labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS, rounds: int = 200) -> LanguageModel:
-        """From ``text, lang``. At most ``sample_rows`` rows, as many of each language, of at most ``sample_chars`` each."""
+    def fit(cls, labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS, rounds: int = 120) -> LanguageModel:
+        """From ``doc_id, text, lang``. At most ``sample_rows`` rows, as many of each language, of at most ``sample_chars`` each."""
         usable = labelled.filter("text is not null and lang is not null").select(
-            F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
+            F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"),
+            F.xxhash64("doc_id", "text").alias("draw"),
         )
         seen = {r.lang: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
         if not seen:
             return cls((), np.ones((0, 1)), np.zeros((FEATURES, 1)), np.zeros(1), np.ones(1))
         each = max(1, sample_rows // len(seen))
         shares = F.create_map(*[F.lit(x) for lang, n in seen.items() for x in (lang, min(1.0, 2.0 * each / n))])
-        chance = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
+        chance = F.pmod(F.xxhash64("draw"), F.lit(1 << 30)) / float(1 << 30)
         drawn = usable.filter(chance < F.coalesce(F.try_element_at(shares, F.col("lang")), F.lit(0.0)))
-        rows = drawn.select(F.substring("text", 1, sample_chars).alias("text"), "lang").orderBy(F.xxhash64("text", F.lit(2)), "text", "lang").limit(2 * sample_rows).collect()
+        rows = drawn.select(F.substring("text", 1, sample_chars).alias("text"), "lang", "draw").orderBy("draw", "text", "lang").limit(sample_rows).collect()
         languages = tuple(sorted({r.lang for r in rows}))
         y = np.array([languages.index(r.lang) for r in rows])
         x = np.stack([features(r.text) for r in rows]).astype(np.float32)

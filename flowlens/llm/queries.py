@@ -13,6 +13,7 @@ from .simhash import near_groups
 from .warc import archived
 from .langid import identified
 from .mixing import taken
+from .toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,7 +53,12 @@ def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(_documents(spark, sf_dir))
 
 
+def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Query] = {
+    "op2_toxicity": toxic_documents,
     "op7_mixing": mixing,
     "op4_language_codes": language_codes,
     "op9_warc": warc_captures,
