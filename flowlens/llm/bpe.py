@@ -46,8 +46,8 @@ class Transducer:
     """Turns one piece, as the pre-tokenising pattern cuts it, into token ids.
 
     A state is the token emitted last and the *live* prefixes: those behind which a
-    token has begun, each with the bytes of that beginning and the tokens that lead
-    to it. Tokens that lead to all of them are emitted. The token emitted last is
+    token has begun, each with that beginning (a node of the tree of tokens) and the
+    tokens that lead to it. Tokens that lead to all of them are emitted. The token emitted last is
     left out of a state's name where no live prefix borders on it.
     """
 
@@ -56,16 +56,27 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], most_states: int = 300_000, most_pieces: int = 300_000):
         self.ranks, self.most_states, self.most_pieces = ranks, most_states, most_pieces
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.heads = {t[:k] for t in ranks for k in range(1, len(t))}  # proper beginnings of tokens
+        # a tree over the bytes of all tokens: children by byte, and the token that ends at a node
+        self.children: list[dict[int, int]] = [{}]
+        self.ending: list[int | None] = [None]
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                if byte not in self.children[node]:
+                    self.children[node][byte] = len(self.children)
+                    self.children.append({})
+                    self.ending.append(None)
+                node = self.children[node][byte]
+            self.ending[node] = rank
         self._sides: dict[int, tuple[list, list]] = {}
         self._fits: dict[tuple[int | None, int], bool] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
         self._forget()
 
     def _forget(self) -> None:
-        start = (None, ((b"", ()),))
+        start = (None, ((0, ()),))
         self._names, self._states = {start: self.START}, [start]
-        self._moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self._moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
 
     def edges(self, token: int) -> tuple[list[tuple[bytes, int, float]], list[tuple[bytes, int, float]]]:
         """What stands at the left and the right end of a token while it is merged: part, and the ranks between which it is there."""
@@ -110,31 +121,35 @@ class Transducer:
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         before, lives = self._states[state]
-        last, found, live = bytes((byte,)), None, []
-        for begun, path in lives:  # the longest beginning first
-            begun += last
-            if found is None:
-                token = self.ranks.get(begun)
-                if token is not None and self.fits(path[-1] if path else before, token):
-                    found = path + (token,)
-            if begun in self.heads:
-                live.append((begun, path))
-        live.append((b"", found))
-        sure = 0
-        for agreed in zip(*(path for _, path in live)):
-            if len(set(agreed)) > 1:
-                break
-            sure += 1
-        emitted = found[:sure]
+        found, live = None, []
+        for node, path in lives:  # the longest beginning first
+            node = self.children[node].get(byte)
+            if node is None:
+                continue
+            token = self.ending[node]
+            if token is not None and found is None and self.fits(path[-1] if path else before, token):
+                found = path + (token,)
+            if self.children[node]:
+                live.append((node, path))
+        if found is None:
+            raise ValueError(f"no token for byte {byte}")
+        sure = len(found) if not live else 0
+        if live:
+            for agreed in zip(found, *(path for _, path in live)):
+                if agreed.count(agreed[0]) < len(agreed):
+                    break
+                sure += 1
+        live.append((0, found))
         if sure:
-            before, live = emitted[-1], [(begun, path[sure:]) for begun, path in live]
+            before, live = found[sure - 1], [(node, path[sure:]) for node, path in live]
         if all(path for _, path in live):
             before = None
         key = (before, tuple(live))
         name = self._names.setdefault(key, len(self._states))
         if name == len(self._states):
             self._states.append(key)
-        return name, emitted
+            self._moves.append({})
+        return name, found[:sure]
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
@@ -143,16 +158,18 @@ class Transducer:
         out: list[int] = []
         state, moves = self.START, self._moves
         for byte in piece:
-            step = moves.get(state << 8 | byte)
+            step = moves[state].get(byte)
             if step is None:
                 if len(self._states) > self.most_states:
                     held = self._states[state]
                     self._forget()
                     moves, state = self._moves, self._names.setdefault(held, 1)
                     self._states += [held] * state
-                step = moves[state << 8 | byte] = self._move(state, byte)
+                    moves += [{}] * state
+                step = moves[state][byte] = self._move(state, byte)
             state, emitted = step
-            out += emitted
+            if emitted:
+                out += emitted
         out += self._states[state][1][-1][1]  # the prefix that ends here
         return out
 
@@ -171,14 +188,10 @@ class Utf8:
 
     A state is the number of continuation bytes still due with the range the next
     one may lie in (shortest forms only, no surrogates, nothing above U+10FFFF).
-    Transitions over whole tokens are remembered, so common tokens take one step.
     """
 
     ACCEPT, REJECT = (0, 0x80, 0xBF), (-1, 0, 0)
 
-    def __init__(self):
-        self._after: dict[tuple[tuple[int, int, int], bytes], tuple[int, int, int]] = {}
-
     def step(self, state: tuple[int, int, int], byte: int) -> tuple[int, int, int]:
         due, low, high = state
         if due < 0:
@@ -196,32 +209,37 @@ class Utf8:
         return self.REJECT
 
     def over(self, state: tuple[int, int, int], chunk: bytes) -> tuple[int, int, int]:
-        key = (state, chunk)
-        if key not in self._after:
-            if len(self._after) > 500_000:
-                self._after.clear()
-            for byte in chunk:
-                state = self.step(state, byte)
-            self._after[key] = state
-        return self._after[key]
-
-
-def decoded(ids: Iterable[int], tokens: dict[int, bytes], machine: Utf8, size: int = 4096) -> Iterator[bytes]:
-    """The bytes of ``ids`` in pieces that end between characters; raises if they are not UTF-8."""
-    state, held, length = machine.ACCEPT, [], 0
-    for i in ids:
-        chunk = tokens[i]
-        state = machine.over(state, chunk)
-        if state[0] < 0:
-            raise ValueError("the tokens do not spell UTF-8")
-        held.append(chunk)
-        length += len(chunk)
-        if length >= size and state == machine.ACCEPT:
-            yield b"".join(held)
-            held, length = [], 0
-    if state != machine.ACCEPT:
-        raise ValueError("the tokens end inside a character")
-    yield b"".join(held)
+        for byte in chunk:
+            state = self.step(state, byte)
+        return state
+
+
+class Decoder:
+    """Tokens back to bytes. Tokens of whole characters leave the state machine where it is and are only joined."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.machine, self.tokens = Utf8(), {rank: token for token, rank in ranks.items()}
+        self.whole = np.zeros(max(self.tokens, default=0) + 1, bool)
+        for rank, token in self.tokens.items():
+            self.whole[rank] = self.machine.over(Utf8.ACCEPT, token) == Utf8.ACCEPT
+
+    def stream(self, ids: np.ndarray, size: int = 8192) -> Iterator[bytes]:
+        """The bytes of ``ids``, some thousand tokens at a time; raises if they are not UTF-8."""
+        state = Utf8.ACCEPT
+        for start in range(0, len(ids), size):
+            block = ids[start : start + size]
+            chunks = [self.tokens[i] for i in block.tolist()]
+            at = 0
+            for opens in [0, *np.flatnonzero(~self.whole[block]).tolist()]:
+                at = max(at, opens)
+                while at < len(chunks) and (state != Utf8.ACCEPT or at == opens):
+                    state = self.machine.over(state, chunks[at])
+                    if state[0] < 0:
+                        raise ValueError("the tokens do not spell UTF-8")
+                    at += 1
+            yield b"".join(chunks)
+        if state != Utf8.ACCEPT:
+            raise ValueError("the tokens end inside a character")
 
 
 def _encoder(rank_file: bytes, pattern: str):
@@ -232,8 +250,12 @@ def _encoder(rank_file: bytes, pattern: str):
     newer = regex.compile("[" + "".join(f"{a}-{b}" for a, b in zip(ends[::2], ends[1::2])) + "]")
 
     def pieces(text: str) -> list[str]:
-        if text.isascii() or not newer.search(text):
+        try:
+            text.encode("latin-1")  # a quick way to see that no such character is there
             return cut.findall(text)
+        except UnicodeEncodeError:
+            if not newer.search(text):
+                return cut.findall(text)
         plain = newer.sub("\uf8ff", text)  # neither letter nor number
         return [text[m.start() : m.end()] for m in cut.finditer(plain)]
 
@@ -264,10 +286,10 @@ def decode_ids(encoded: DataFrame, rank_path: str, id_column: str = "doc_id", id
     rank_file = encoded.sparkSession.sparkContext.broadcast(open(rank_path, "rb").read())
 
     def make():
-        tokens, machine = {i: t for t, i in read_ranks(rank_file.value.splitlines()).items()}, Utf8()
+        decoder = Decoder(read_ranks(rank_file.value.splitlines()))
 
         def one(row):
-            yield row[0], None if row[1] is None else b"".join(decoded(row[1], tokens, machine)).decode()
+            yield row[0], None if row[1] is None else b"".join(decoder.stream(np.array(row[1], np.int64))).decode()
 
         return one
 
@@ -280,11 +302,11 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str, id_column: str = "
 
     def make():
         encode, transducer = _encoder(rank_file.value, pattern)
-        machine = Utf8()
+        decoder = Decoder(transducer.ranks)
 
         def one(row):
             ids, digest = encode(row[1]), hashlib.sha256()
-            for piece in decoded(ids.tolist(), transducer.tokens, machine):
+            for piece in decoder.stream(ids):
                 digest.update(piece)
             yield row[0], len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), digest.hexdigest()
 
