@@ -14,6 +14,7 @@ from .warc import archived
 from .langid import identified
 from .mixing import taken
 from .toxicity import toxicity
+from .secret_scan import secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,7 +58,12 @@ def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_secrets": secret_spans,
     "op2_toxicity": toxic_documents,
     "op7_mixing": mixing,
     "op4_language_codes": language_codes,
