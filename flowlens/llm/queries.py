@@ -15,6 +15,7 @@ from .langid import identified
 from .mixing import taken
 from .toxicity import toxicity
 from .secret_scan import secrets
+from .embedding_dedup import near_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,7 +63,12 @@ def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(_documents(spark, sf_dir))
 
 
+def near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Query] = {
+    "op5_sorted_projections": near_embeddings,
     "op1_secrets": secret_spans,
     "op2_toxicity": toxic_documents,
     "op7_mixing": mixing,
