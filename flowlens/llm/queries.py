@@ -16,6 +16,7 @@ from .mixing import taken
 from .toxicity import toxicity
 from .secret_scan import secrets
 from .embedding_dedup import near_vectors
+from .pii import personal_data
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,7 +68,12 @@ def near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def personal_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
+    "op10_personal_data": personal_spans,
     "op5_sorted_projections": near_embeddings,
     "op1_secrets": secret_spans,
     "op2_toxicity": toxic_documents,
