@@ -30,18 +30,23 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, utf8
 
-SAMPLE_ROWS, SAMPLE_CHARS = 1500, 20_000
+SAMPLE_ROWS, SAMPLE_CHARS = 2000, 20_000
 WINDOW_WORDS, STRIDE_WORDS = 8, 4
 BASE_BYTES, TOXIC_BYTES = 32 << 10, 4 << 10
 LEVEL, TOP = 3, 4
 CHANCE = 0.05
 
 
-def windows(data: bytes) -> list[bytes]:
-    """Overlapping windows over all words of a text, lower-case, without what surrounds words."""
-    words = [w.strip(b".,;:!?\"'()|") for w in data.lower().split()]
-    last = max(1, len(words) - WINDOW_WORDS + STRIDE_WORDS)
-    return [b" " + b" ".join(words[i : i + WINDOW_WORDS]) + b" " for i in range(0, last, STRIDE_WORDS)] if words else []
+def words(data: bytes) -> list[bytes]:
+    """Lower-case words without the signs around them."""
+    return [w.strip(b".,;:!?\"'()|") for w in data.lower().split()]
+
+
+def windows(data: bytes, stride: int = STRIDE_WORDS) -> list[bytes]:
+    """Windows over all words of a text; they overlap unless ``stride`` is their length."""
+    listed = words(data)
+    last = max(1, len(listed) - WINDOW_WORDS + stride)
+    return [b" " + b" ".join(listed[i : i + WINDOW_WORDS]) + b" " for i in range(0, last, stride)] if listed else []
 
 
 def _trained(samples: list[bytes], size: int) -> bytes:
@@ -58,9 +63,6 @@ def excerpts(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     others that chance would not bring about one such word in all the vocabulary.
     Toxic texts that have it after the same word count once: copies prove nothing.
     """
-    def words(text):
-        return b" ".join(windows(text)[:: WINDOW_WORDS // STRIDE_WORDS]).split()
-
     before = defaultdict(set)
     for text in toxic:
         listed = words(text)
@@ -90,11 +92,14 @@ class Dictionaries:
 
     @classmethod
     def train(cls, toxic: list[bytes], ordinary: list[bytes]) -> Dictionaries:
-        base = _trained([w for t in ordinary for w in windows(t)[::2]][:60_000], BASE_BYTES)
         typical = excerpts(toxic, ordinary)
         extra = _trained(typical, TOXIC_BYTES) if typical else b""
         once = b" ".join(sorted({w for e in typical for w in e.split()}))  # training may leave out rare ones
-        return cls(base, extra + b" " + once[:TOXIC_BYTES] + b" " + base)
+        extra = extra + b" " + once[:TOXIC_BYTES] + b" "
+        plain = [w for t in ordinary for w in windows(t, WINDOW_WORDS)][:60_000]
+        base = _trained(plain, BASE_BYTES)
+        # a filler that no text holds keeps lengths equal: the compressor's own tables are then laid out alike
+        return cls(base + b"\x01" * len(extra), base + extra)
 
     def compressors(self):
         return [
@@ -111,9 +116,10 @@ class Scorer:
         self.ordinary, self.toxic = dictionaries.compressors()
 
     def features(self, data: bytes) -> np.ndarray:
-        """Bytes saved by the toxic dictionary: best window and mean of the best few, and how many windows there were."""
+        """Bytes saved by the toxic dictionary: best window and mean of the best few, and how many windows
+        there were. Windows that are alike count once."""
         ordinary, toxic = self.ordinary.compress, self.toxic.compress
-        saved = np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(data)], float)
+        saved = np.array([len(ordinary(w)) - len(toxic(w)) for w in dict.fromkeys(windows(data))], float)
         if not len(saved):
             return np.array([1.0, 0.0, 0.0, 0.0])
         best = np.sort(saved)[::-1][:TOP]
