@@ -96,15 +96,15 @@ _add(
 )
 _add(
     "key_legacy",
-    """SELECT event_id, src_ip || ':' || COALESCE(src_port, 0) || '->' || dst_ip || ':' || COALESCE(dst_port, 0)
-      || '(' || proto || ')' AS flow_key FROM p WHERE src_ip IS NOT NULL""",
+    """SELECT event_id, COALESCE(src_ip, 'null') || ':' || COALESCE(src_port, 0) || '->' || COALESCE(dst_ip, 'null') || ':'
+      || COALESCE(dst_port, 0) || '(' || COALESCE(proto, 'null') || ')' AS flow_key FROM p""",
 )
 _add(
     "key_custom",
     f"""SELECT COALESCE(src_ip, 'none') AS flow_key, count(*) AS packets FROM p WHERE {DECODABLE} GROUP BY 1""",
 )
 _add("feat_dest_port", f"""SELECT event_id AS "offset", COALESCE(dst_port, -1) AS dest_port FROM p WHERE {DECODABLE}""")
-_add("feat_ttl_len", f"""SELECT event_id AS "offset", ttl, total_len FROM p WHERE {DECODABLE} AND ip_version = 4""")
+_add("feat_ttl_len", f"""SELECT event_id AS "offset", ttl, total_len FROM p WHERE {DECODABLE}""")
 _add(
     "feat_timestamp_only",
     """SELECT CASE WHEN arp THEN 'unknown' ELSE src_ip || ':' || COALESCE(src_port, 0) || '->' || dst_ip || ':'
@@ -373,7 +373,7 @@ _add(
     "ingest_stats",
     f"""SELECT part AS partition, count(*) FILTER (WHERE {DECODABLE}) AS packets_sent,
     count(*) FILTER (WHERE NOT {DECODABLE}) AS packets_failed,
-    CAST(COALESCE(sum(12 + length(raw_hex) // 2) FILTER (WHERE {DECODABLE}), 0) AS BIGINT) AS bytes_read,
+    CAST(COALESCE(sum(length(raw_hex) // 2) FILTER (WHERE {DECODABLE}), 0) AS BIGINT) AS bytes_read,
     count(*) FILTER (WHERE {DECODABLE}) / count(*)::DOUBLE * 100 AS success_rate FROM f GROUP BY part""",
     FRAMES,
 )

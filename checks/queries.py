@@ -34,7 +34,7 @@ from flowlens.sinks.results import dead_letter_line, result_line
 from flowlens.sources import filters, topic
 from flowlens.sources.event_packets import flat_packets, load_events, raw_packets, topic_records
 from flowlens.sources.results import parse_results
-from flowlens.sources.wire import decodable, decode, encode
+from flowlens.sources.wire import HEADER_BYTES, decodable, decode, encode
 from flowlens.streaming.count_windows import fired_windows
 from flowlens.streaming.running import running_gaps
 from flowlens.streaming.time_windows import closed_windows, window_counts, window_histograms, with_event_time
@@ -117,9 +117,7 @@ for _name in ("default", "five_tuple", "guide"):
 
 @query
 def key_legacy(spark, sf_dir):
-    return with_flow_key(packets(spark, sf_dir).where(F.col("src_ip").isNotNull()), "legacy").select(
-        "event_id", "flow_key"
-    )
+    return with_flow_key(packets(spark, sf_dir), "legacy").select("event_id", "flow_key")
 
 
 @query
@@ -135,7 +133,7 @@ def feat_dest_port(spark, sf_dir):
 
 @query
 def feat_ttl_len(spark, sf_dir):
-    return topic.packets(records(spark, sf_dir)).where(F.col("ip_version") == 4).select("offset", "ttl", "total_len")
+    return topic.packets(records(spark, sf_dir)).select("offset", "ttl", "total_len")
 
 
 @query
@@ -376,7 +374,7 @@ def limit_packets_first(spark, sf_dir):
 @query
 def limit_packets_many(spark, sf_dir):
     """A limit applied without gathering its rows in one task."""
-    kept = limit_packets(packets(spark, sf_dir), "partition", "seq", 4000, top_rows=0)
+    kept = limit_packets(packets(spark, sf_dir), "partition", "seq", 4000)
     return kept.select("partition", "seq", "ts_ms")
 
 
@@ -402,7 +400,8 @@ def topic_profile(spark, sf_dir):
 @query
 def ingest_stats(spark, sf_dir):
     r = records(spark, sf_dir)
-    return ingest_statistics(r, decodable(F.col("value")), F.col("value"), ["partition"])
+    packet = F.substring("value", HEADER_BYTES + 1, 1 << 30)  # the packet's own bytes count
+    return ingest_statistics(r, decodable(F.col("value")), packet, ["partition"])
 
 
 def _count_results(spark, sf_dir) -> DataFrame:

@@ -19,6 +19,7 @@ def variation(sd: Column, mean: Column) -> Column:
 @register
 class InterArrivalCvDetector(Detector):
     name = "InterArrivalCvDetector"
+    feature_based = False  # defined over the packets of a window
     details = ("cv", "packetCount", "detected")
 
     def __init__(self, settings=None):

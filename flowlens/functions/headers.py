@@ -21,23 +21,33 @@ ETHERTYPE_VLAN = 0x8100
 ETHERTYPE_QINQ = 0x88A8
 PROTO_TCP = 6
 PROTO_UDP = 17
-PROTOCOL_NAMES = {1: "ICMPv4", 2: "IGMP", 6: "TCP", 17: "UDP", 58: "ICMPv6"}
+#: Protocols in the order of their numbers, from 0; "-" stands for numbers without a keyword.
+PROTOCOL_NAMES = """
+HOPOPT ICMPv4 IGMP GGP IPv4 ST TCP CBT EGP IGP BBN-RCC-MON NVP-II PUP ARGUS EMCON XNET CHAOS UDP MUX DCN-MEAS HMP PRM
+XNS-IDP TRUNK-1 TRUNK-2 LEAF-1 LEAF-2 RDP IRTP ISO-TP4 NETBLT MFE-NSP MERIT-INP DCCP 3PC IDPR XTP DDP IDPR-CMTP TP++ IL
+IPv6 SDRP IPv6-Route IPv6-Frag IDRP RSVP GRE DSR BNA ESP AH I-NLSP SWIPE NARP MOBILE TLSP SKIP ICMPv6 IPv6-NoNxt
+IPv6-Opts - CFTP - SAT-EXPAK KRYPTOLAN RVD IPPC - SAT-MON VISA IPCV CPNX CPHB WSN PVP BR-SAT-MON SUN-ND WB-MON WB-EXPAK
+ISO-IP VMTP SECURE-VMTP VINES IPTM NSFNET-IGP DGP TCF EIGRP OSPFIGP Sprite-RPC LARP MTP AX.25 IPIP MICP SCC-SP ETHERIP
+ENCAP - GMTP IFMP PNNI PIM ARIS SCPS QNX A/N IPComp SNP Compaq-Peer IPX-in-IP VRRP PGM - L2TP DDX IATP STP SRP UTI SMP SM
+PTP ISIS-over-IPv4 FIRE CRTP CRUDP SSCOPMCE IPLT SPS PIPE SCTP FC RSVP-E2E-IGNORE Mobility-Header UDPLite MPLS-in-IP manet
+HIP Shim6 WESP ROHC Ethernet AGGFRAG NSH
+""".split()
 UNKNOWN_PROTOCOL = "unknown"
 IPV6_FRAGMENT = 44
-IPV6_SKIPPABLE = (0, 43, 60)  # hop-by-hop, routing, destination options
+IPV6_SKIPPABLE = (0, 43, 51, 60)  # hop-by-hop, routing, authentication, destination options
+IPV6_AUTHENTICATION = 51
 MIN_TCP = 20
 MIN_UDP = 8
 
+PARSED = "parsed"
 HEADER_COLUMNS = (
     "ip_version", "src_ip", "dst_ip", "proto", "src_port", "dst_port", "ttl", "total_len",
 )
 
 
 def protocol_name(number: Column) -> Column:
-    name = F.lit(UNKNOWN_PROTOCOL)
-    for code, label in PROTOCOL_NAMES.items():
-        name = F.when(number == code, F.lit(label)).otherwise(name)
-    return F.when(number.isNotNull(), name)
+    names = F.array(*[F.lit(UNKNOWN_PROTOCOL if name == "-" else name) for name in PROTOCOL_NAMES])
+    return F.when(number.isNotNull(), F.coalesce(F.get(names, number), F.lit(UNKNOWN_PROTOCOL)))
 
 
 def ipv4_text(raw: Column, offset: int) -> Column:
@@ -55,20 +65,35 @@ def _after(raw: Column, offset: int | Column) -> Column:
     return F.substring(raw, at + F.lit(1), F.length(raw))
 
 
-def _network_packet(raw: Column, link: Column) -> Column:
-    """Struct of the ethertype and the bytes from the IP header on; up to two VLAN tags are skipped."""
-    def behind(at: int) -> Column:
-        return F.struct(uint_in(raw, at, 2).alias("type"), _after(raw, at + 2).alias("ip"))
+def _steps(data: Column, size: int) -> Column:
+    """As many numbers as headers of ``size`` bytes can follow each other in ``data``."""
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.length(data) / size).cast("int")))
+
 
-    def tagged(at: int) -> Column:
+def _network_packet(raw: Column, link: Column) -> Column:
+    """Struct of the ethertype and the bytes from the IP header on; VLAN tags are skipped, however many."""
+    def tagged(at: int | Column) -> Column:
         return uint_in(raw, at, 2).isin(ETHERTYPE_VLAN, ETHERTYPE_QINQ)
 
     def from_type(at: int) -> Column:
-        return F.when(~tagged(at), behind(at)).when(~tagged(at + 4), behind(at + 4)).otherwise(behind(at + 8))
+        behind = F.aggregate(_steps(raw, 4), F.lit(at), lambda a, _: F.when(tagged(a), a + 4).otherwise(a))
+        place = F.when(tagged(at), behind).otherwise(F.lit(at))
+        return F.struct(uint_in(raw, place, 2).alias("type"), _after(raw, place + 2).alias("ip"))
 
     return F.when(link == DLT_ETHERNET, from_type(12)).when(link == DLT_LINUX_SLL, from_type(14))
 
 
+def _past_extensions(up: Column, load: Column) -> Column:
+    """Protocol and payload behind a chain of IPv6 extension headers; a chain that is cut short ends in nulls."""
+    def step(state: Column, _: Column) -> Column:
+        size = uint_in(state["load"], 1, 1)
+        jump = F.when(state["up"] == IPV6_AUTHENTICATION, (size + 2) * 4).otherwise((size + 1) * 8)
+        inner = F.struct(uint_in(state["load"], 0, 1).alias("up"), _after(state["load"], jump).alias("load"))
+        return F.when(state["up"].isin(*IPV6_SKIPPABLE), inner).otherwise(state)
+
+    return F.aggregate(_steps(load, 8), F.struct(up.alias("up"), load.alias("load")), step)
+
+
 def _declared(ip: Column, length: Column, header: Column | int) -> Column:
     """The bytes after a header, without what follows the declared packet length (padding)."""
     head = F.lit(header) if isinstance(header, int) else header
@@ -76,7 +101,10 @@ def _declared(ip: Column, length: Column, header: Column | int) -> Column:
 
 
 def with_headers(df: DataFrame, raw: str = "raw", dlt: str = "dlt") -> DataFrame:
-    """Adds :data:`HEADER_COLUMNS` to a frame that has raw bytes and their link type.
+    """Adds :data:`HEADER_COLUMNS` to a frame that has raw bytes and their link type, and ``parsed``.
+
+    A packet without any bytes is not ``parsed``. One that is cut inside its headers
+    is: it lacks only the fields behind the cut.
 
     The frame is cut once into its layers. ``inline`` keeps that step apart:
     a filter on a header field is evaluated above it and does not repeat the
@@ -105,16 +133,12 @@ def with_headers(df: DataFrame, raw: str = "raw", dlt: str = "dlt") -> DataFrame
     )
     df = df.withColumn("_load", payload)
 
-    # IPv6 extension headers: (next header, length in 8-byte units - 1, ...), up to three in a row
+    # IPv6 extension headers: (next header, length, ...), one after the other
     df = df.withColumns({"_version": F.col("_load.version"), "_next": F.col("_load.up")})
-    for _ in range(3):
-        up, load = F.col("_load.up"), F.col("_load.load")
-        skip = (F.col("_version") == 6) & up.isin(*IPV6_SKIPPABLE)
-        jump = (uint_in(load, 1, 1) + 1) * 8
-        inner = F.struct(
-            F.col("_version").alias("version"), uint_in(load, 0, 1).alias("up"), _after(load, jump).alias("load")
-        )
-        df = df.withColumn("_load", F.when(skip, inner).otherwise(F.col("_load")))
+    up, load = F.col("_load.up"), F.col("_load.load")
+    chained = (F.col("_version") == 6) & up.isin(*IPV6_SKIPPABLE)
+    plain = F.struct(up.alias("up"), load.alias("load"))
+    df = df.withColumn("_load", F.when(chained, _past_extensions(up, load)).otherwise(plain))
 
     # Transport layer: only whole TCP and UDP headers count
     up, load = F.col("_load.up"), F.col("_load.load")
@@ -129,6 +153,7 @@ def with_headers(df: DataFrame, raw: str = "raw", dlt: str = "dlt") -> DataFrame
     ip, segment = F.col("_ip"), F.col("_segment")
     return df.select(
         *kept,
+        F.coalesce(F.length(F.col(raw)) > 0, F.lit(False)).alias(PARSED),
         "ip_version",
         F.when(is4, ipv4_text(ip, 12)).when(is6, ipv6_text(ip, 8)).alias("src_ip"),
         F.when(is4, ipv4_text(ip, 16)).when(is6, ipv6_text(ip, 24)).alias("dst_ip"),

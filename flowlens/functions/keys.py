@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .headers import PARSED
+
 # Keys of packets without the header a key needs
 UNPARSED_KEY = "null"
 NO_IP_KEY = "Unknown"
@@ -64,6 +66,13 @@ KEYS: dict[str, Callable[[], Column]] = {
 
 
 def with_flow_key(df: DataFrame, key: Column | str = "default") -> DataFrame:
-    """Adds ``flow_key`` from a named key or from any column; null keys become one named flow."""
-    expr = KEYS[key]() if isinstance(key, str) else key
+    """Adds ``flow_key`` from a named key or from any column; null keys become one named flow.
+
+    Packets that ``with_headers`` could not read share the flow ``null`` under the default key.
+    """
+    if isinstance(key, str):
+        readable = F.col(PARSED) if PARSED in df.columns else None
+        expr = default_key(readable) if key == "default" else KEYS[key]()
+    else:
+        expr = key
     return df.withColumn("flow_key", F.coalesce(expr.cast("string"), F.lit(UNPARSED_KEY)))

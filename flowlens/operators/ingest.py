@@ -12,18 +12,15 @@ MAX_CONSECUTIVE_FAILURES = 100  # fixed value: default abort threshold
 
 def limit_packets(
     packets: DataFrame, source: str, position: str, max_packets: int = 0,
-    policy: SlicePolicy = DEFAULT_POLICY, top_rows: int = 100_000,
+    policy: SlicePolicy = DEFAULT_POLICY,
 ) -> DataFrame:
     """The first ``max_packets`` packets over all sources (files, partitions) in order; 0 means no limit.
 
-    Up to ``top_rows`` this is Spark's top-k, which gathers the result in one
-    task. A larger limit is applied where the rows are: a packet is kept if its
-    number in its source, after the packets of earlier sources, is within the limit.
+    The limit is applied where the rows are: a packet is kept if its number in its
+    source, after the packets of earlier sources, is within the limit.
     """
     if max_packets <= 0:
         return packets
-    if max_packets <= top_rows:
-        return packets.orderBy(source, position).limit(max_packets)
     earlier = Window.orderBy(source).rowsBetween(Window.unboundedPreceding, -1)  # one row per source
     sizes = packets.groupBy(source).agg(F.count(F.lit(1)).alias("_size"))
     before = sizes.select(source, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))

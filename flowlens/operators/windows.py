@@ -41,21 +41,17 @@ class FlowWindow:
 
     def __post_init__(self):
         if self.kind not in KINDS:
-            raise ValueError(f"unknown window kind {self.kind!r}")
+            raise ValueError(f"{self.kind!r} is none of the window kinds {', '.join(KINDS)}")
+        wrong = []
         if self.counted:
-            if self.count <= 0:
-                raise ValueError("window count must be > 0")
-            if self.slide_count < 0:
-                raise ValueError("slide count cannot be negative")
-            if self.slide_count > self.count:
-                raise ValueError(
-                    f"slide count ({self.slide_count}) cannot exceed window count ({self.count}): gaps would result"
-                )
+            wrong += ["count has to be positive"] * (self.count <= 0)
+            wrong += ["slide_count may not be below 0"] * (self.slide_count < 0)
+            wrong += [f"a slide of {self.slide_count} would skip packets between windows of {self.count}"] * (self.slide_count > self.count)
         elif self.kind != NONE:
-            if self.size_ms <= 0:
-                raise ValueError("window size must be > 0")
-            if self.kind == SLIDING and self.slide_ms <= 0:
-                raise ValueError("slide must be > 0 for a sliding window")
+            wrong += ["size_ms has to be positive"] * (self.size_ms <= 0)
+            wrong += ["slide_ms has to be positive"] * (self.kind == SLIDING and self.slide_ms <= 0)
+        if wrong:
+            raise ValueError(f"{self.kind} window: {'; '.join(wrong)}")
 
     @property
     def counted(self) -> bool:

@@ -14,8 +14,10 @@ _OFFSET_BITS = 40
 
 
 def arrival_position(partition: Column, offset: Column) -> Column:
-    """One ascending number from topic partition and offset."""
-    return F.shiftleft(partition.cast("bigint"), _OFFSET_BITS) + offset
+    """One ascending number from topic partition and offset; fails where an offset does not fit."""
+    fits = (offset >= 0) & (offset < 1 << _OFFSET_BITS)
+    checked = F.when(fits, offset).when(offset.isNotNull(), F.raise_error(F.lit("offset beyond 2^40")).cast("bigint"))
+    return F.shiftleft(partition.cast("bigint"), _OFFSET_BITS) + checked
 
 
 def decodable(value: Column) -> Column:

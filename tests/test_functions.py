@@ -5,12 +5,12 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.features import typed_value
 from flowlens.functions.gzip import compressor, gzip_size
-from flowlens.functions.headers import with_headers
+from flowlens.functions.headers import PROTOCOL_NAMES, with_headers
 from flowlens.functions.iat import iat_code, iat_code_ms, valid_iat
 from flowlens.functions.keys import default_key, five_tuple_key, guide_key, legacy_key, with_flow_key
 from flowlens.functions.octets import read_int32, read_int64, write_int32, write_int64
 from flowlens.sources import filters
-from flowlens.sources.wire import decode, encode
+from flowlens.sources.wire import arrival_position, decode, encode
 
 RECORD = (
     "000000010000018CC251F47BAABBCCDDEEFF11223344556608004500002800010000400600000A0000010A000002"
@@ -98,12 +98,40 @@ def test_headers(spark):
         (4, host, "TCP", 5000, 80), (4, host, "UDP", 53, 4660), (4, host, "TCP", 5000, 80),
         (4, host, "TCP", 5000, 80), (4, host, "TCP", 5000, 80), (4, host, "TCP", None, None),
         (4, host, "TCP", 5000, 80), (4, host, "ICMPv4", None, None),
-        (6, "0:0:0:0:0:0:0:1", "TCP", 5000, 80), (6, "0:0:0:0:0:0:0:1", "unknown", 5000, 80),
+        (6, "0:0:0:0:0:0:0:1", "TCP", 5000, 80), (6, "0:0:0:0:0:0:0:1", "HOPOPT", 5000, 80),
         (None,) * 5, (None,) * 5, (4, host, "TCP", None, None), (None,) * 5, (None,) * 5,
         (4, host, "UDP", 53, 4660), (4, host, "TCP", None, None),
     ]
 
 
+def test_long_header_chains(spark):
+    tags = "8100000A" * 5
+    def extension(following, kind):  # authentication counts its length in 4-byte words
+        return f"{following:02X}" + ("04" if kind == 51 else "00") + "00" * (22 if kind == 51 else 6)
+    chain = extension(60, 0) + extension(51, 60) + extension(43, 51) + extension(60, 43) + extension(60, 60) + extension(6, 60)
+    rows = with_headers(frame(
+        spark, (ETHERNET + tags + "0800" + ipv4(TCP), 1), (ETHERNET + "86DD" + ipv6(chain + TCP, 0), 1),
+        (ETHERNET + "86DD" + ipv6("00", 0), 1), (ETHERNET + "8100000A" * 300 + "0800" + ipv4(UDP, 17), 1),
+    )).orderBy("id").select("ip_version", "src_port", "dst_port").collect()
+    assert [tuple(r) for r in rows] == [(4, 5000, 80), (6, 5000, 80), (6, None, None), (4, 53, 4660)]
+
+
+def test_flows_of_rarer_protocols_and_empty_frames(spark):
+    numbers = (47, 50, 89, 132, 200)
+    df = with_headers(frame(spark, *[(ETHERNET + "0800" + ipv4("0" * 16, n), 1) for n in numbers], ("", 1), (ETHERNET[:8], 1)))
+    keys = [r[0] for r in with_flow_key(df, "five_tuple").orderBy("id").select("flow_key").collect()]
+    assert [k.rpartition("|")[2] for k in keys[:5]] == ["GRE", "ESP", "OSPFIGP", "SCTP", "unknown"]
+    assert [r[0] for r in with_flow_key(df).orderBy("id").select("flow_key").collect()][5:] == ["null", "Unknown"]
+    assert PROTOCOL_NAMES[6] == "TCP" and PROTOCOL_NAMES[58] == "ICMPv6" and PROTOCOL_NAMES[142] == "ROHC"
+
+
+def test_offsets_that_do_not_fit_are_refused(spark):
+    df = spark.createDataFrame([(1, 5), (1, 2**40)], "p int, o bigint").select(arrival_position(F.col("p"), F.col("o")).alias("a"))
+    assert df.first()[0] == (1 << 40) + 5
+    with pytest.raises(Exception, match="2\\^40"):
+        df.collect()
+
+
 def test_keys_of_other_packets(spark):
     df = with_headers(frame(spark, (ETHERNET + "0806" + "00" * 28, 1), (ETHERNET + "0800" + ipv4("08" + "0" * 14, 1), 1)))
     keys = df.orderBy("id").select(default_key(), five_tuple_key(), guide_key()).collect()
