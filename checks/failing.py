@@ -1,4 +1,4 @@
-"""A user-written detector for tests: counts odd ports, suppresses zero, fails on port 13."""
+"""User-written detectors for tests: one counts odd ports and fails on port 13, one counts all it has seen of a flow."""
 
 from __future__ import annotations
 
@@ -26,3 +26,19 @@ class OddPortDetector(PythonDetector):
 
     def reset(self):
         self.odd = 0
+
+
+class CountingDetector(PythonDetector):
+    """Never reset, so it counts across the windows of its flow."""
+
+    name = "CountingDetector"
+    schema = "seen: bigint"
+
+    def __init__(self):
+        self.seen = 0
+
+    def process(self, packets):
+        self.seen += len(packets)
+
+    def detect(self):
+        return {"seen": self.seen}

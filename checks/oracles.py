@@ -424,3 +424,27 @@ _add(
     f""", {sliding(3 * DAY, DAY)}, {port_statistics(TIME)} SELECT {TIME}, {PORT_COLUMNS} FROM d WHERE {CLOSED}""",
 )
 _add("stream_compress", compress("tumbling", True) + f" AND {CLOSED}")
+
+_add(
+    "python_accumulate",
+    f""", {tumbling(WEEK)}, c AS (SELECT {TIME}, count(*) AS n FROM w GROUP BY {TIME})
+    SELECT flow_key, window_start, n AS packets_in_window,
+      CAST(sum(n) OVER (PARTITION BY flow_key ORDER BY window_start) AS BIGINT) AS seen FROM c""",
+)
+_add(
+    "stream_python_running",
+    """SELECT flow_key, ts_ms, seq, row_number() OVER (PARTITION BY flow_key ORDER BY seq) AS seen FROM h""",
+)
+for _name in ("job_batch", "job_replay"):
+    _add(
+        _name,
+        """, k AS (SELECT COALESCE(src_ip || '->' || dst_ip, 'Unknown') AS flow FROM p),
+        c AS (SELECT flow, count(*) // 10 AS windows FROM k GROUP BY flow)
+        SELECT 'PacketCountDetector' AS "algorithmName", flow AS "flowId", CAST(10 AS BIGINT) AS "packetCount",
+          true AS anomaly, '10' AS packets_in_window, 'count_based' AS window_type FROM c, range(c.windows)""",
+    )
+_add(
+    "topic_round_trip",
+    """SELECT src_ip, count(*) AS packets, CAST(sum(ts_ms) AS BIGINT) AS times,
+      CAST(CASE WHEN src_ip IS NULL THEN 0 ELSE 1 END AS BIGINT) AS partitions, true AS keyed FROM p GROUP BY src_ip""",
+)

@@ -17,7 +17,7 @@ from flowlens.detectors import (
     PortEntropyDetector,
 )
 from flowlens.functions.features import dest_port, project_features, typed_value
-from flowlens.functions.headers import HEADER_COLUMNS
+from flowlens.functions.headers import HEADER_COLUMNS, with_headers
 from flowlens.functions.iat import iat_code_ms, iat_seconds, valid_iat
 from flowlens.functions.keys import KEYS, with_flow_key
 from flowlens.operators.histogram import port_histogram
@@ -29,6 +29,7 @@ from flowlens.operators.windows import (
 from flowlens.operators.windows import flow_changes as count_flow_changes
 from flowlens.plans.job import JobSpec, enriched, keyed_features, run_batch
 from flowlens.plans.python_windows import score_python
+from flowlens.runner import run_job
 from flowlens.session import shared_dir
 from flowlens.sinks.results import dead_letter_line, result_line
 from flowlens.sources import filters, topic
@@ -36,10 +37,10 @@ from flowlens.sources.event_packets import flat_packets, load_events, raw_packet
 from flowlens.sources.results import parse_results
 from flowlens.sources.wire import HEADER_BYTES, decodable, decode, encode
 from flowlens.streaming.count_windows import fired_windows
-from flowlens.streaming.running import running_gaps
+from flowlens.streaming.running import running_gaps, running_python
 from flowlens.streaming.time_windows import closed_windows, window_counts, window_histograms, with_event_time
 
-from .failing import OddPortDetector
+from .failing import CountingDetector, OddPortDetector
 
 HOUR = 3_600_000
 DAY = 24 * HOUR
@@ -492,6 +493,57 @@ def stream_running(spark, sf_dir):
     return _streamed(spark, sf_dir, lambda p: running_gaps(p).select("flow_key", "ts_ms", "seq", "rn", "gap_ms"))
 
 
+@query
+def python_accumulate(spark, sf_dir):
+    scored = score_python(by_host(spark, sf_dir), CountingDetector(), {}, TUMBLING, EVENT_TIME)
+    return scored.select("flow_key", "window_start", "packets_in_window", F.col("details.seen").alias("seen"))
+
+
+@query
+def stream_python_running(spark, sf_dir):
+    def build(p: DataFrame) -> DataFrame:
+        return running_python(p, CountingDetector(), {}).select("flow_key", "ts_ms", "seq", F.col("details.seen").alias("seen"))
+
+    return _streamed(spark, sf_dir, build)
+
+
+def _job(spark, sf_dir, mode: str) -> DataFrame:
+    """Events to a topic, a job over it by its configuration, and its result file read back."""
+    out = f"{shared_dir(spark).rstrip('/')}/flowlens-job-{uuid.uuid4().hex}"
+    topic.write_topic(with_headers(raw_packets(load_events(spark, sf_dir)).drop("src_ip")), f"{out}/topics/flows", "flows")
+    config = {
+        "algorithmClassName": "PacketCountDetector", "executionMode": mode, "windowType": "tumbling_count", "windowCount": 10,
+        "inputTopic": "flows", "threshold": 3,
+    }
+    run_job(spark, config, f"{out}/results", topics=f"{out}/topics")
+    details = "struct<packetCount:bigint,anomaly:boolean,packets_in_window:string,window_type:string>"
+    line = F.from_json("value", f"algorithmName string, flowId string, analysisDetails {details}")
+    found = spark.read.text(f"{out}/results/PacketCountDetector").select(line.alias("r"))
+    return found.select("r.algorithmName", "r.flowId", "r.analysisDetails.*")
+
+
+@query
+def job_batch(spark, sf_dir):
+    return _job(spark, sf_dir, "BATCH")
+
+
+@query
+def job_replay(spark, sf_dir):
+    return _job(spark, sf_dir, "REPLAY")
+
+
+@query
+def topic_round_trip(spark, sf_dir):
+    out = f"{shared_dir(spark).rstrip('/')}/flowlens-topic-{uuid.uuid4().hex}"
+    topic.write_topic(with_headers(raw_packets(load_events(spark, sf_dir)).drop("src_ip")), out, "flows")
+    read = topic.packets(topic.read_topic(spark, out))
+    homes = F.size(F.collect_set(F.when(F.col("src_ip").isNotNull(), F.col("partition")))).cast("bigint")
+    return read.groupBy("src_ip").agg(
+        F.count(F.lit(1)).alias("packets"), F.sum("ts_ms").alias("times"), homes.alias("partitions"),
+        F.min(F.col("key").eqNullSafe(F.col("src_ip"))).alias("keyed"),
+    )
+
+
 @query
 def stream_port_entropy(spark, sf_dir):
     columns = ["packet_count", "skipped_count", "unique_ports"]

@@ -9,7 +9,9 @@ Windows without a result are simply not in the output.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+import pickle
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Any, ClassVar
 
@@ -94,6 +96,9 @@ class Detector:
 class PythonDetector:
     """A user's own sequential detector, fed with the packets of one window after another.
 
+    Every flow has a detector of its own: what is kept beyond ``reset`` is kept across
+    the windows of that flow and never seen by another.
+
     ``process`` gets a window's packets in order, in one or more pandas batches, so
     a window is never held in memory as a whole. ``detect`` returns the details
     or ``None``. An exception sends that window to the dead letters and leaves
@@ -110,7 +115,7 @@ class PythonDetector:
         return []
 
     def initialize(self, settings: Settings) -> None:
-        """Called once per task."""
+        """Called once per flow, before its first packet."""
 
     def process(self, packets: pd.DataFrame) -> None:
         raise NotImplementedError
@@ -119,10 +124,31 @@ class PythonDetector:
         raise NotImplementedError
 
     def reset(self) -> None:
-        """Called after each window; keeping state here means keeping it across windows and flows."""
+        """Called after each window; what is kept here is carried into the flow's next window."""
+
+    def snapshot(self) -> bytes:
+        """The detector's state between two micro-batches of a stream; its attributes by default."""
+        return pickle.dumps(self.__dict__)
+
+    def restore(self, state: bytes) -> None:
+        """Takes up what ``snapshot`` gave."""
+        self.__dict__.update(pickle.loads(state))
 
     def close(self) -> None:
-        """Called once at the end of a task."""
+        """Called once when a flow has ended, or with a micro-batch."""
+
+
+@contextmanager
+def shippable(kind: type[PythonDetector]) -> Iterator[None]:
+    """Within it the class holds no columns: keys are for the driver, and workers cannot be sent them."""
+    held = [(c, n, v) for c in kind.__mro__ for n, v in vars(c).items() if isinstance(v, Column)]
+    for c, n, _ in held:
+        setattr(c, n, None)
+    try:
+        yield
+    finally:
+        for c, n, v in held:
+            setattr(c, n, v)
 
 
 _REGISTRY: dict[str, Callable[..., Detector | PythonDetector]] = {}

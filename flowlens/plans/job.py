@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..detectors import Detector, PythonDetector, Settings, create
@@ -91,6 +92,19 @@ def staged(features: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@contextmanager
+def parallel(spark: SparkSession, spec: JobSpec) -> Iterator[None]:
+    """Shuffle partitions as the job asks for, for what is executed within, and as they were after it."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    if spec.parallelism:
+        spark.conf.set(key, str(spec.parallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def run_batch(
     packets: DataFrame, spec: JobSpec, policy: SlicePolicy = DEFAULT_POLICY, stage: bool = False
 ) -> DataFrame:
@@ -100,8 +114,6 @@ def run_batch(
     detector's details and, for user-written detectors, ``error``.
     """
     detector = spec.detector()
-    if spec.parallelism:
-        packets.sparkSession.conf.set("spark.sql.shuffle.partitions", str(spec.parallelism))
     features = keyed_features(packets, detector)
     if stage:
         features = staged(features)

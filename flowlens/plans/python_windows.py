@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..detectors.base import PythonDetector, Settings
+from ..detectors.base import PythonDetector, Settings, shippable
 from ..operators.ordering import DEFAULT_POLICY, SlicePolicy, with_row_number
 from ..operators.windows import (
     NONE, ORDERS, SESSION, FlowWindow, assign_count_windows, assign_sessions, assign_time_windows,
@@ -45,18 +45,25 @@ def score_python(
     settings = Settings(dict(config))
     if w.kind == NONE:
         schema = f"flow_key string, ts_ms bigint, seq bigint, details struct<{kind.schema}>, error string"
-        return together.mapInPandas(_per_packet(kind, settings), schema)
+        with shippable(kind):
+            return together.mapInPandas(_per_packet(kind, settings), schema)
     windows = ", ".join(f"{c} bigint" for c in w.columns)
     schema = f"flow_key string, {windows}, packets_in_window bigint, details struct<{kind.schema}>, error string"
-    return together.mapInPandas(_per_window(kind, settings, w), schema)
+    with shippable(kind):
+        return together.mapInPandas(_per_window(kind, settings, w), schema)
+
+
+def _started(kind: type[PythonDetector], settings: Settings) -> PythonDetector:
+    detector = kind()
+    detector.initialize(settings)
+    return detector
 
 
 def _per_window(kind: type[PythonDetector], settings: Settings, w: FlowWindow):
     group, step, flush = w.group, w.step if w.counted else 0, w.partial_flush
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        detector = kind()
-        detector.initialize(settings)
+        detector = None
         columns = [*group, "packets_in_window", "details", "error"]
         key, packets, last_rn, error = None, 0, 0, None
 
@@ -82,6 +89,10 @@ def _per_window(kind: type[PythonDetector], settings: Settings, w: FlowWindow):
                 if found != key:
                     if key is not None:
                         out += finish()
+                    if key is None or found[0] != key[0]:
+                        if detector is not None:
+                            detector.close()
+                        detector = _started(kind, settings)
                     key, packets, error = found, 0, None
                 packets += len(part)
                 if step:
@@ -97,35 +108,45 @@ def _per_window(kind: type[PythonDetector], settings: Settings, w: FlowWindow):
             rest = finish()
             if rest:
                 yield pd.DataFrame(rest, columns=columns)
-        detector.close()
+            detector.close()
 
     return run
 
 
+def packet_results(detector: PythonDetector, packets: pd.DataFrame) -> list[tuple]:
+    """What the detector says after each packet of one flow; failures are logged and dropped."""
+    out = []
+    places = zip(packets["flow_key"], packets["ts_ms"], packets["seq"])
+    for i, (flow, ts_ms, seq) in enumerate(places):
+        try:
+            detector.process(packets.iloc[i : i + 1])
+            details = detector.detect()
+        except Exception:  # noqa: BLE001
+            log.exception("detector %s failed on a packet", detector.name)
+            continue
+        if details is not None:
+            out.append((flow, int(ts_ms), int(seq), details, None))
+    return out
+
+
+PACKET_COLUMNS = ["flow_key", "ts_ms", "seq", "details", "error"]
+
+
 def _per_packet(kind: type[PythonDetector], settings: Settings):
-    """Detect after every packet; failures are logged and dropped. State is kept per flow."""
+    """Detect after every packet. Packets come sorted by flow, in Arrow batches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         detector, flow = None, None
         for batch in batches:
             out = []
-            for i in range(len(batch)):
-                packet = batch.iloc[i : i + 1]
-                if packet["flow_key"].iloc[0] != flow:
+            for found, part in batch.groupby("flow_key", sort=False):
+                if detector is None or found != flow:
                     if detector is not None:
                         detector.close()
-                    flow, detector = packet["flow_key"].iloc[0], kind()
-                    detector.initialize(settings)
-                try:
-                    detector.process(packet)
-                    details = detector.detect()
-                except Exception:  # noqa: BLE001
-                    log.exception("detector %s failed on a packet", kind.name)
-                    continue
-                if details is not None:
-                    out.append((flow, int(packet["ts_ms"].iloc[0]), int(packet["seq"].iloc[0]), details, None))
+                    flow, detector = found, _started(kind, settings)
+                out += packet_results(detector, part)
             if out:
-                yield pd.DataFrame(out, columns=["flow_key", "ts_ms", "seq", "details", "error"])
+                yield pd.DataFrame(out, columns=PACKET_COLUMNS)
         if detector is not None:
             detector.close()
 
@@ -135,36 +156,28 @@ def _per_packet(kind: type[PythonDetector], settings: Settings):
 def score_python_elements(
     windows: DataFrame, detector: PythonDetector, config: Mapping[str, Any], w: FlowWindow
 ) -> DataFrame:
-    """The same for stream windows that carry their packets as an array."""
+    """The same for stream windows that carry their packets as an array; each window has a detector of its own."""
     kind, settings = type(detector), Settings(dict(config))
-    place = [*w.columns, "packets_in_window"] if w.columns else ["ts_ms", "seq"]
+    place = [*w.columns, "packets_in_window"]
     columns = ["flow_key", *place, "details", "error"]
     bounds = ", ".join(f"{c} bigint" for c in place)
     schema = f"flow_key string, {bounds}, details struct<{kind.schema}>, error string"
-    letters = bool(w.columns)  # failures on single packets are logged and dropped
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        instance = kind()
-        instance.initialize(settings)
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                details, error = None, None
+                details, error, instance = None, None, _started(kind, settings)
                 try:
                     packets = pd.DataFrame([e if isinstance(e, dict) else e.asDict() for e in row.elements])
                     instance.process(packets.assign(flow_key=row.flow_key).sort_values("seq"))
                     details = instance.detect()
                 except Exception as e:  # noqa: BLE001
                     error = str(e)
-                try:
-                    instance.reset()
-                except Exception:  # noqa: BLE001
-                    log.exception("reset failed for %s", kind.name)
-                if error is not None and not letters:
-                    log.error("detector %s failed on a packet: %s", kind.name, error)
-                elif details is not None or error is not None:
+                instance.close()
+                if details is not None or error is not None:
                     out.append((row.flow_key, *[getattr(row, c) for c in place], details, error))
             yield pd.DataFrame(out, columns=columns)
-        instance.close()
 
-    return windows.mapInPandas(run, schema)
+    with shippable(kind):
+        return windows.mapInPandas(run, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..detectors import PythonDetector
-from ..plans.job import JobSpec, dead_letters, enriched
+from ..plans.job import JobSpec, dead_letters, enriched, parallel
 
 
 def result_line(results: DataFrame) -> DataFrame:
@@ -46,6 +46,22 @@ def write_lines(
     return path
 
 
+def replace_lines(lines: DataFrame, base: str | None, algorithm: str, batch: int) -> str:
+    """As ``write_lines`` for one micro-batch, whose files take the place of those of an earlier attempt."""
+    path, spark = _folder(base, algorithm), lines.sparkSession
+    staging = f"{path}/_batch-{batch}"  # readers pass over names with an underscore
+    lines.write.mode("overwrite").text(staging)
+    jvm = spark._jvm.org.apache.hadoop.fs
+    root = jvm.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for old in files.globStatus(jvm.Path(root, f"batch-{batch:012d}-*")) or []:
+        files.delete(old.getPath(), False)
+    for k, new in enumerate(files.globStatus(jvm.Path(f"{staging}/part-*")) or []):
+        files.rename(new.getPath(), jvm.Path(root, f"batch-{batch:012d}-{k:05d}.txt"))
+    files.delete(jvm.Path(staging), True)
+    return path
+
+
 def write_job(
     scored: DataFrame, spec: JobSpec, output: str | None, dead_letter_path: str | None = None, **options
 ) -> None:
@@ -59,10 +75,11 @@ def write_job(
     if fallible:
         scored = scored.persist(StorageLevel.DISK_ONLY)
     try:
-        write_lines(result_line(enriched(scored, spec, detector)), output, detector.name, **options)
-        if fallible and dead_letter_path and spec.window.columns:
-            letters = dead_letter_line(dead_letters(scored, spec.window))
-            write_lines(letters, dead_letter_path, detector.name)
+        with parallel(scored.sparkSession, spec):
+            write_lines(result_line(enriched(scored, spec, detector)), output, detector.name, **options)
+            if fallible and dead_letter_path and spec.window.columns:
+                letters = dead_letter_line(dead_letters(scored, spec.window))
+                write_lines(letters, dead_letter_path, detector.name)
     finally:
         if fallible:
             scored.unpersist()

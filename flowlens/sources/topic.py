@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.headers import with_headers
-from .wire import arrival_position, decode
+from ..operators.ordering import DEFAULT_POLICY, SlicePolicy, with_row_number
+from .wire import arrival_position, decode, encode
 
 TOPIC_SCHEMA = "key string, value binary, topic string, partition int, offset bigint, timestamp timestamp"
 
@@ -47,6 +48,31 @@ def stream_kafka(
     return reader.load().withColumn("key", F.col("key").cast("string"))
 
 
+def topic_keyed(packets: DataFrame) -> DataFrame:
+    """``key, value`` of packets with ``src_ip, dlt, ts_ms, raw``: the source address keeps a host's packets together."""
+    return encode(packets).select(F.col("src_ip").alias("key"), "value")
+
+
+def write_kafka(packets: DataFrame, brokers: str, topic: str, **options: str) -> None:
+    """Packets to a Kafka topic by source address; needs the Kafka connector on the classpath."""
+    writer = topic_keyed(packets).write.format("kafka").option("kafka.bootstrap.servers", brokers)
+    writer.option("topic", topic).options(**options).save()
+
+
+def write_topic(packets: DataFrame, path: str, topic: str, partitions: int = 16, policy: SlicePolicy = DEFAULT_POLICY) -> None:
+    """The same into a folder with the columns of a topic; packets have ``seq``, the order in which they are sent.
+
+    Packets without a source address are spread, as Kafka does with records that have no key.
+    """
+    place = F.pmod(F.coalesce(F.xxhash64("src_ip"), F.lit(0)) + F.when(F.col("src_ip").isNull(), F.col("seq")).otherwise(0), F.lit(partitions))
+    records = encode(packets.withColumn("partition", place.cast("int")))
+    numbered = with_row_number(records, ["partition"], ["seq"], policy, name="offset")
+    numbered.select(
+        F.col("src_ip").alias("key"), "value", F.lit(topic).alias("topic"), "partition", (F.col("offset") - 1).alias("offset"),
+        F.timestamp_millis("ts_ms").alias("timestamp"),
+    ).write.mode("append").parquet(path)
+
+
 def packets(records: DataFrame) -> DataFrame:
     """Decoded records with header columns and ``seq``, their arrival position."""
     decoded = decode(records).withColumn("seq", arrival_position(F.col("partition"), F.col("offset")))

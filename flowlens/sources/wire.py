@@ -20,6 +20,11 @@ def arrival_position(partition: Column, offset: Column) -> Column:
     return F.shiftleft(partition.cast("bigint"), _OFFSET_BITS) + checked
 
 
+def partition_of(position: Column) -> Column:
+    """The topic partition in an arrival position."""
+    return F.shiftright(position, _OFFSET_BITS).cast("int")
+
+
 def decodable(value: Column) -> Column:
     """Records shorter than their header, and missing ones, are not packets."""
     return F.coalesce(F.length(value) >= HEADER_BYTES, F.lit(False))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,23 +15,33 @@ from ..detectors.interarrival import variation
 from ..operators.windows import ARRIVAL, NONE, SESSION
 from ..plans.job import JobSpec, dead_letters, enriched, keyed_features
 from ..plans.python_windows import score_python_elements
-from ..sinks.results import dead_letter_line, result_line, stream_lines, write_lines
+from ..sinks.results import dead_letter_line, replace_lines, result_line, stream_lines
+from ..sources.wire import partition_of
 from .count_windows import fired_windows, running_windows
-from .running import running_gaps
-from .time_windows import SINGLE_PARTITION_DELAY, closed_windows, window_counts, window_histograms, with_event_time
+from .running import running_gaps, running_python
+from .time_windows import closed_windows, window_counts, window_histograms, with_event_time
+from .time_windows import PARTITION
+
 
+def score_stream(packets: DataFrame, spec: JobSpec, delay: str | None = None, partitions: Sequence[int] | None = None) -> DataFrame:
+    """Scored windows of a streaming job, with the columns of a batch run.
 
-def score_stream(packets: DataFrame, spec: JobSpec, delay: str = SINGLE_PARTITION_DELAY) -> DataFrame:
-    """Scored windows of a streaming job, with the columns of a batch run."""
+    Time windows need ``delay``, how far behind the newest packet a packet may come:
+    of its own topic partition if ``partitions`` names them all, else of the whole topic.
+    """
+    if delay is None and spec.window.columns and not spec.window.counted:
+        raise ValueError("time windows of a stream need a delay; see SINGLE_PARTITION_DELAY for topics of one partition")
     detector, w = spec.detector(), spec.window
     features = keyed_features(packets, detector)
-    columns = [c for c in features.columns if c != "flow_key"]
+    if partitions:
+        features = features.withColumn(PARTITION, partition_of(F.col("seq")))
+    columns = [c for c in features.columns if c not in ("flow_key", PARTITION)]
     if w.kind == NONE:
         return _per_packet(features, spec, detector, columns)
     if w.counted:
         windows = fired_windows(features, w, columns)
     else:
-        timed = with_event_time(features, delay)
+        timed = with_event_time(features, delay, partitions)
         if isinstance(detector, PacketCountDetector):
             return window_counts(timed, w).withColumns(
                 {"packetCount": F.col("packets_in_window"), "anomaly": F.col("packets_in_window") > detector.threshold}
@@ -60,7 +72,7 @@ def _per_packet(
             (cv > detector.threshold).alias("detected"),
         )
     if isinstance(detector, PythonDetector):
-        return score_python_elements(running_windows(features, columns), detector, spec.config, spec.window)
+        return running_python(features, detector, spec.config)
     if detector.feature_based:
         return detector.score_running(features)  # never fed single packets: an empty stream
     return detector.score_elements(running_windows(features, columns), ARRIVAL)
@@ -68,26 +80,26 @@ def _per_packet(
 
 def start(
     packets: DataFrame, spec: JobSpec, output: str, checkpoint: str, dead_letter_path: str | None = None,
-    delay: str = SINGLE_PARTITION_DELAY, interval: str = "30 seconds",
+    delay: str | None = None, interval: str = "30 seconds", partitions: Sequence[int] | None = None,
 ) -> StreamingQuery:
     """Starts the job: results to ``output/<detector>``, failures to ``dead_letter_path/<detector>``.
 
     Results of built-in detectors go through the file sink, which commits files
     with the checkpoint. A user-written detector has two outputs per
-    micro-batch; those are written at least once.
+    micro-batch; their files bear its number, and a batch that runs again replaces them.
     """
     detector = spec.detector()
-    scored = score_stream(packets, spec, delay)
+    scored = score_stream(packets, spec, delay, partitions)
     if not isinstance(detector, PythonDetector):
         lines = result_line(enriched(scored, spec, detector))
         return stream_lines(lines, output, detector.name, checkpoint, interval).start()
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
-            write_lines(result_line(enriched(batch, spec, detector)), output, detector.name)
+            replace_lines(result_line(enriched(batch, spec, detector)), output, detector.name, number)
             if dead_letter_path and spec.window.columns:
-                write_lines(dead_letter_line(dead_letters(batch, spec.window)), dead_letter_path, detector.name)
+                replace_lines(dead_letter_line(dead_letters(batch, spec.window)), dead_letter_path, detector.name, number)
         finally:
             batch.unpersist()
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..detectors.base import PythonDetector, Settings, shippable
+from ..plans.python_windows import PACKET_COLUMNS, packet_results
+
 
 def running_gaps(packets: DataFrame) -> DataFrame:
     """Per packet: its number in the flow, the gap before it and running sums of gaps.
@@ -41,3 +45,30 @@ def running_gaps(packets: DataFrame) -> DataFrame:
         "append",
         GroupStateTimeout.NoTimeout,
     )
+
+
+def running_python(packets: DataFrame, detector: PythonDetector, config: Mapping[str, Any]) -> DataFrame:
+    """Results of a user-written detector after each packet, as the batch form gives them.
+
+    Each packet is processed once. Between micro-batches a flow's detector is kept as
+    the bytes of its ``snapshot``. Packets count in order of arrival.
+    """
+    kind, settings = type(detector), Settings(dict(config))
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        instance = kind()
+        instance.initialize(settings)
+        if state.exists:
+            instance.restore(bytes(state.get[0]))
+        new = pd.concat(list(batches)).sort_values("seq", kind="stable")
+        out = packet_results(instance, new)
+        state.update((instance.snapshot(),))
+        instance.close()
+        if out:
+            yield pd.DataFrame(out, columns=PACKET_COLUMNS)
+
+    schema = f"flow_key string, ts_ms bigint, seq bigint, details struct<{kind.schema}>, error string"
+    with shippable(kind):
+        return packets.groupBy("flow_key").applyInPandasWithState(
+            update, schema, "snapshot binary", "append", GroupStateTimeout.NoTimeout
+        )

@@ -2,13 +2,17 @@
 
 Late packets are dropped once their window is closed; append mode emits every
 window once. The watermark is the highest event time seen in the whole stream
-minus the delay, so with several source partitions the delay has to cover
-their skew. A stream that ends leaves its last windows open: read bounded
+minus the delay, so with several topic partitions the delay has to cover their
+skew, unless each partition has a watermark of its own: the lowest then
+counts, and a partition that lags or rests holds windows open. A stream that ends leaves its last windows open: read bounded
 input as a batch instead (BATCH and REPLAY do).
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +22,24 @@ from ..operators.windows import SESSION, SLIDING, FlowWindow
 SINGLE_PARTITION_DELAY = "10 milliseconds"  # fixed value: out-of-orderness within one partition
 
 
-def with_event_time(packets: DataFrame, delay: str = SINGLE_PARTITION_DELAY) -> DataFrame:
-    """Adds ``ts`` with a watermark; it keeps that role through later projections."""
-    return packets.withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", delay)
+PARTITION = "topic_partition"
+
+
+def with_event_time(packets: DataFrame, delay: str, partitions: Sequence[int] | None = None) -> DataFrame:
+    """Adds ``ts`` with a watermark; it keeps that role through later projections.
+
+    With ``partitions``, all numbers that occur in the column ``topic_partition``,
+    each partition is a stream with its own watermark; the source is read once for
+    each. Spark combines watermarks by ``spark.sql.streaming.multipleWatermarkPolicy``,
+    which has to be ``min``, as it is by default.
+    """
+    timed = packets.withColumn("ts", F.timestamp_millis("ts_ms"))
+    if not partitions:
+        return timed.withWatermark("ts", delay)
+    if packets.sparkSession.conf.get("spark.sql.streaming.multipleWatermarkPolicy") != "min":
+        raise ValueError("watermarks per partition need spark.sql.streaming.multipleWatermarkPolicy=min")
+    parts = [timed.where(F.col(PARTITION) == p).withWatermark("ts", delay) for p in partitions]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _cut(df: DataFrame, w: FlowWindow) -> tuple[DataFrame, Column]:

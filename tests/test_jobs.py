@@ -17,8 +17,9 @@ from flowlens.functions.gzip import gzip_size
 from flowlens.operators import texts
 from flowlens.operators.ordering import SlicePolicy
 from flowlens.operators.windows import ARRIVAL, EVENT_TIME, FlowWindow
-from flowlens.plans.job import JobSpec, dead_letters, enriched, run_batch
+from flowlens.plans.job import JobSpec, dead_letters, enriched, parallel, run_batch
 from flowlens.plans.python_windows import score_python, score_python_elements
+from flowlens.runner import run_job
 from flowlens.sinks.results import result_line, write_job, write_lines
 from flowlens.sources.results import read_results
 
@@ -261,3 +262,42 @@ def test_write_job_with_dead_letters(spark, data, tmp_path):
     assert {r.error for r in dead.collect()} == {'port "13" seen'}
     good = spark.read.json(str(tmp_path / "out" / "OddPortDetector"))
     assert good.select("analysisDetails.odd_ports").where("odd_ports > 0").count() == good.count() > 0
+
+
+class Seen(PythonDetector):
+    """Never reset; keyed by a column that no worker can be sent."""
+
+    name, schema = "Seen", "seen: bigint"
+
+    def __init__(self):
+        self.seen = 0
+
+    def process(self, packets):
+        self.seen += len(packets)
+
+    def detect(self):
+        return {"seen": self.seen}
+
+
+def test_state_stays_within_a_flow(spark):
+    Seen.key = F.col("flow_key")
+    df = flow(spark, [0, 5, 11, 12, 25], name="a").union(flow(spark, [1, 2], name="b")).drop("dest_port").coalesce(1)
+    got = score_python(df, Seen(), {}, FlowWindow("tumbling", size_ms=10), EVENT_TIME).collect()
+    assert sorted((r.flow_key, r.window_start, r.details.seen) for r in got) == [("a", 0, 2), ("a", 10, 4), ("a", 20, 5), ("b", 0, 2)]
+    each = score_python(df, Seen(), {}, FlowWindow("none"), EVENT_TIME).collect()
+    assert sorted((r.flow_key, r.details.seen) for r in each) == [("a", n) for n in range(1, 6)] + [("b", 1), ("b", 2)]
+    assert Seen.key is not None
+
+
+def test_parallelism_is_set_back(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spec = JobSpec.from_config({"algorithmClassName": "PacketCountDetector", "parallelism": 7})
+    with parallel(spark, spec):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "7"
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_runner_refuses_what_is_missing(spark, tmp_path):
+    for broken in ({"algorithmClassName": "PacketCountDetector"}, {"algorithmClassName": "PacketCountDetector", "inputTopic": "t"}):
+        with pytest.raises(ValueError):
+            run_job(spark, broken, str(tmp_path))

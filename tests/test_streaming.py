@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from checks.failing import OddPortDetector
+from checks.failing import CountingDetector, OddPortDetector
 from checks.queries import DAY
 from flowlens.detectors import register
 from flowlens.operators.windows import ARRIVAL, FlowWindow, window_of
@@ -12,8 +12,10 @@ from flowlens.sources.event_packets import load_events, topic_records
 from flowlens.sources.results import stream_results
 from flowlens.sources.topic import packets as topic_packets
 from flowlens.sources.topic import stream_topic
+from flowlens.sinks.results import replace_lines
 from flowlens.streaming.job import score_stream, start
 from flowlens.streaming.metrics import StreamMetrics
+from flowlens.streaming.running import running_python
 from flowlens.streaming.time_windows import window_counts, with_event_time
 
 register(OddPortDetector)
@@ -167,3 +169,65 @@ def test_late_packets_are_dropped_and_counted(spark, tmp_path):
     assert [(r.window_start, r.packets_in_window) for r in rows] == [(0, 2), (20_000, 2)]
     totals = metrics.totals["late"]
     assert totals["late_dropped"] == 1 and totals["rows_in"] == 6 and totals["watermark"].startswith("1970-01-01T00:00:")
+
+
+def test_lagging_partitions_lose_nothing(spark, tmp_path):
+    """Partition 1 lags hours behind; with a watermark per partition the stream gives the batch's windows."""
+    hour, schema = 3_600_000, "flow_key string, ts_ms bigint, seq bigint, topic_partition int"
+
+    def write(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    first = [("a", k * hour // 4, k, 0) for k in range(40)] + [("b", 0, 100, 1)]
+    second = [("b", k * hour // 4, 100 + k, 1) for k in range(1, 30)] + [("a", 11 * hour, 50, 0)]
+    write(first)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    w = FlowWindow("tumbling", size_ms=hour)
+
+    def counts(name, **options):
+        q = window_counts(with_event_time(stream, "1 second", **options), w).writeStream.format("memory").queryName(name)
+        return q.outputMode("append").start()
+
+    own, joint = counts("own", partitions=[0, 1]), counts("joint")
+    for q in (own, joint):
+        q.processAllAvailable()
+    write(second)
+    for q in (own, joint):
+        q.processAllAvailable()
+        q.stop()
+    rows = first + second
+    closed = 29 * hour // 4 - 1000
+    want = {}
+    for key, ts, *_ in rows:
+        want[key, ts // hour * hour] = want.get((key, ts // hour * hour), 0) + 1
+    want = {k: n for k, n in want.items() if k[1] + hour <= closed}
+    found = {(r.flow_key, r.window_start): r.packets_in_window for r in spark.table("own").collect()}
+    assert found == want
+    dropped = sum(n for k, n in want.items()) - sum(r.packets_in_window for r in spark.table("joint").collect() if (r.flow_key, r.window_start) in want)
+    assert dropped > 0  # what one watermark for all would lose
+
+
+def test_time_windows_need_a_delay(spark, topic_dir):
+    spec = JobSpec.from_config(config("PacketCountDetector", window_of("tumbling", size_ms=DAY), "STREAMING"))
+    with pytest.raises(ValueError, match="delay"):
+        score_stream(topic_packets(stream_topic(spark, topic_dir)), spec)
+
+
+def test_python_state_survives_micro_batches(spark, topic_dir):
+    stream = topic_packets(stream_topic(spark, topic_dir, files_per_batch=1)).withColumn("flow_key", F.coalesce("src_ip", F.lit("none")))
+    scored = running_python(stream.select("flow_key", "ts_ms", "seq"), CountingDetector(), {})
+    q = scored.writeStream.format("memory").queryName("counted").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = spark.table("counted").selectExpr("flow_key", "seq", "details.seen").collect()
+    flows = {}
+    for flow, seq, seen in sorted(map(tuple, got), key=lambda r: (r[0], r[1])):
+        flows.setdefault(flow, []).append(seen)
+    flows.pop("none")  # spread over partitions, so its order of arrival is not that of seq
+    assert len(flows) > 25 and all(v == list(range(1, len(v) + 1)) for v in flows.values())
+
+
+def test_a_batch_that_runs_again_replaces_its_files(spark, tmp_path):
+    lines = spark.createDataFrame([("a",), ("b",)], "value string")
+    for batch, rows in ((0, lines), (1, lines.limit(1)), (1, lines)):
+        replace_lines(rows, str(tmp_path), "d", batch)
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "d")).collect()) == ["a", "a", "b", "b"]
