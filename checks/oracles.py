@@ -404,15 +404,13 @@ _add(
     ODD + f""" SELECT {TIME}, packets AS packets_in_window, odd AS odd_ports FROM d WHERE NOT failed AND odd > 0""",
 )
 
-# ---------------------------------------------------------------- streams: windows the watermark has closed
-
-CLOSED = f"window_end <= (SELECT max(ts_ms) FROM h) - {HOUR}"
+# ---------------------------------------------------------------- streams: all windows, as in a batch
 
 _add(
     "stream_tumbling",
-    f""", {tumbling(WEEK)} SELECT {TIME}, count(*) AS packets_in_window FROM w WHERE {CLOSED} GROUP BY {TIME}""",
+    f""", {tumbling(WEEK)} SELECT {TIME}, count(*) AS packets_in_window FROM w GROUP BY {TIME}""",
 )
-_add("stream_session", f""", {session(12 * HOUR)} SELECT {TIME}, {SUMMARY} FROM w WHERE {CLOSED} GROUP BY {TIME}""")
+_add("stream_session", f""", {session(12 * HOUR)} SELECT {TIME}, {SUMMARY} FROM w GROUP BY {TIME}""")
 _add("stream_sliding_count", f""", {counted(10, 4)} SELECT {COUNT}, {SUMMARY} FROM w GROUP BY {COUNT}""")
 _add(
     "stream_running",
@@ -421,9 +419,9 @@ _add(
 )
 _add(
     "stream_port_entropy",
-    f""", {sliding(3 * DAY, DAY)}, {port_statistics(TIME)} SELECT {TIME}, {PORT_COLUMNS} FROM d WHERE {CLOSED}""",
+    f""", {sliding(3 * DAY, DAY)}, {port_statistics(TIME)} SELECT {TIME}, {PORT_COLUMNS} FROM d""",
 )
-_add("stream_compress", compress("tumbling", True) + f" AND {CLOSED}")
+_add("stream_compress", compress("tumbling", True))
 
 _add(
     "python_accumulate",

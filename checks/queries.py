@@ -38,7 +38,7 @@ from flowlens.sources.results import parse_results
 from flowlens.sources.wire import HEADER_BYTES, decodable, decode, encode
 from flowlens.streaming.count_windows import fired_windows
 from flowlens.streaming.running import running_gaps, running_python
-from flowlens.streaming.time_windows import closed_windows, window_counts, window_histograms, with_event_time
+from flowlens.streaming.time_windows import closed_windows, mark_end, window_counts, window_histograms, with_end_marker, with_event_time
 
 from .failing import CountingDetector, OddPortDetector
 
@@ -446,16 +446,26 @@ def python_detector(spark, sf_dir):
 # ---------------------------------------------------------------- streams
 
 
-def _streamed(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Runs a query over the events as a stream until they are used up, and reads what it wrote."""
+def _streamed(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame], timed: bool = False) -> DataFrame:
+    """Runs a query over the events as a stream until they are used up, and reads what it wrote.
+
+    Time windows that are then still open are closed by an end marker and a second run.
+    """
     schema = load_events(spark, sf_dir).schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     keyed = with_flow_key(flat_packets(events), source_host())
-    scored = build(project_features(keyed, dest_port().alias("dest_port")))
+    packets_in = project_features(keyed, dest_port().alias("dest_port"))
     out = f"{shared_dir(spark).rstrip('/')}/flowlens-stream-{uuid.uuid4().hex}"
-    writer = scored.writeStream.format("parquet").option("path", f"{out}/rows")
-    started = writer.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
-    started.awaitTermination()
+    scored = build(with_end_marker(packets_in, f"{out}/end") if timed else packets_in)
+
+    def run() -> None:
+        writer = scored.writeStream.format("parquet").option("path", f"{out}/rows")
+        writer.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    if timed:
+        mark_end(spark, packets_in, f"{out}/end")
+        run()
     return spark.read.schema(scored.schema).parquet(f"{out}/rows")
 
 
@@ -469,7 +479,7 @@ def _counts_of(windows: DataFrame, group: list[str]) -> DataFrame:
 
 @query
 def stream_tumbling(spark, sf_dir):
-    return _streamed(spark, sf_dir, lambda p: window_counts(with_event_time(p, STREAM_DELAY), TUMBLING))
+    return _streamed(spark, sf_dir, lambda p: window_counts(with_event_time(p, STREAM_DELAY), TUMBLING), timed=True)
 
 
 @query
@@ -477,6 +487,7 @@ def stream_session(spark, sf_dir):
     return _streamed(
         spark, sf_dir,
         lambda p: _counts_of(closed_windows(with_event_time(p, STREAM_DELAY), SESSION, ["ts_ms"]), SESSION.group),
+        timed=True,
     )
 
 
@@ -553,6 +564,7 @@ def stream_port_entropy(spark, sf_dir):
             window_histograms(with_event_time(p, STREAM_DELAY), SLIDING).select(*SLIDING.group, *columns, "entropy_score"),
             "entropy_score",
         ),
+        timed=True,
     )
 
 
@@ -563,4 +575,4 @@ def stream_compress(spark, sf_dir):
         scored = CompressibilityDetector(IAT_SETTINGS).score_elements(windows)
         return scored.drop("compressibility_score", "anomaly")
 
-    return _streamed(spark, sf_dir, build)
+    return _streamed(spark, sf_dir, build, timed=True)

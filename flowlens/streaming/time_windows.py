@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.histogram import ENTROPY_DECIMALS
@@ -23,6 +23,25 @@ SINGLE_PARTITION_DELAY = "10 milliseconds"  # fixed value: out-of-orderness with
 
 
 PARTITION = "topic_partition"
+END_MS = 253_370_764_800_000  # the year 9999: later than any packet
+
+
+def with_end_marker(packets: DataFrame, folder: str) -> DataFrame:
+    """The stream, and what ``mark_end`` will put into ``folder``."""
+    spark = packets.sparkSession
+    spark.createDataFrame([], packets.schema).write.mode("overwrite").parquet(folder)
+    return packets.unionByName(spark.readStream.schema(packets.schema).parquet(folder))
+
+
+def mark_end(spark: SparkSession, packets: DataFrame, folder: str) -> None:
+    """Ends a bounded stream: a packet beyond all others moves the watermark past every open window.
+
+    Its own window stays open, so it is never seen. Call it when the query has used up
+    its input, and run the query once more.
+    """
+    values = {"flow_key": F.lit(""), "ts_ms": F.lit(END_MS), "seq": F.lit(END_MS)}
+    row = spark.range(1).select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in packets.schema])
+    row.write.mode("append").parquet(folder)
 
 
 def with_event_time(packets: DataFrame, delay: str, partitions: Sequence[int] | None = None) -> DataFrame:
