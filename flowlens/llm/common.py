@@ -44,6 +44,18 @@ def utf8(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")
 
 
+def bounded_sample(df: DataFrame, rows: int, draw: Column) -> DataFrame:
+    """At most ``rows`` rows, drawn by a hash and in its order.
+
+    Rows are thinned to about twice as many where they are read, so that what
+    reaches the driver does not grow with the number of partitions.
+    """
+    total = df.count()
+    if total > 2 * rows:
+        df = df.filter(F.pmod(F.xxhash64(draw), F.lit(1 << 40)) < int(2 * rows / total * (1 << 40)))
+    return df.orderBy(draw).limit(rows)
+
+
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[tuple], Iterator[tuple]]], rows: int = 512) -> DataFrame:
     """Runs Python over the rows of each partition, Arrow batch by Arrow batch.
 

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from flowlens.session import ship_package
 
+from .common import bounded_sample
 from .tagger import DIGIT, PAD, Tagger, classes
 
 #: Kinds in their order, and their patterns. Digits before an address part cannot begin one.
@@ -136,7 +137,7 @@ def train(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id",
     text = F.col(text_column).cast("string")
     drawn = docs.filter(text.rlike("[0-9@]")).select(F.substring(text, 1, SAMPLE_CHARS).alias("text"), F.xxhash64(F.col(id_column), text).alias("draw"))
     x, y = [], []
-    for row in drawn.orderBy("draw", "text").limit(sample_rows).collect():
+    for row in bounded_sample(drawn, sample_rows, F.col("draw")).collect():
         ids, tags = classes(row.text), tagged(len(row.text), base_spans(row.text))
         for s in windows(ids):
             x.append(filled(ids, [s])[0])

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, utf8
+from .common import bounded_sample, map_rows, utf8
 
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 20_000
 WINDOW_WORDS, STRIDE_WORDS = 8, 4
@@ -138,7 +138,7 @@ class ToxicityModel:
         usable = labelled.filter("text is not null and toxic in (0, 1)").select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id", "text").alias("draw"))
         rows = {}
         for label in (0, 1):
-            drawn = usable.filter(F.col("toxic") == label).orderBy("draw", "text").limit(sample_rows)
+            drawn = bounded_sample(usable.filter(F.col("toxic") == label), sample_rows, F.col("draw"))
             rows[label] = [r.text.encode() for r in drawn.collect()]
         ordinary, toxic = rows[0], rows[1]
         if not ordinary or not toxic:
