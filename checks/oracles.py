@@ -258,6 +258,12 @@ def compress(window: str, buffered: bool) -> str:
       FROM t WHERE codes >= 5"""
 
 
+_with, _group = WINDOWS["tumbling"]
+_add(
+    "gzip_score",
+    f""", {texts(_with, _group)} SELECT {_group}, codes, CAST(length(text) AS INTEGER) AS text_len, md5(text) AS text_md5,
+      true AS score_is_right FROM t WHERE codes >= 5""",
+)
 _add("det_compress_buffered", compress("sliding_count", True))
 _add("det_compress_feature", compress("sliding", False))
 _add(

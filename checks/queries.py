@@ -6,17 +6,22 @@ records with real header bytes (``topic_records``).
 
 from __future__ import annotations
 
+import gzip
+import hashlib
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowlens.detectors import (
     CompressibilityDetector, FeatureCompressibilityDetector, InterArrivalCvDetector, PacketCountDetector,
     PortEntropyDetector,
 )
 from flowlens.functions.features import dest_port, project_features, typed_value
+from flowlens.functions.gzip import LEVEL
 from flowlens.functions.headers import HEADER_COLUMNS, with_headers
 from flowlens.functions.iat import iat_code_ms, iat_seconds, valid_iat
 from flowlens.functions.keys import KEYS, with_flow_key
@@ -279,10 +284,22 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
+def _packed(texts: pd.Series) -> pd.DataFrame:
+    """Gzip size of each text, and the MD5 of what unpacks from it."""
+    packed = [gzip.compress(t.encode(), LEVEL) for t in texts]
+    return pd.DataFrame({"size": [len(b) for b in packed], "md5": [hashlib.md5(gzip.decompress(b)).hexdigest() for b in packed]})
+
+
 @query
 def gzip_score(spark, sf_dir):
-    d = CompressibilityDetector(IAT_SETTINGS)
-    return d.score(by_host(spark, sf_dir), TUMBLING).select(*TUMBLING.group, "compressibility_score", "anomaly")
+    """Scores against whole texts that are packed, measured and unpacked again."""
+    scored = CompressibilityDetector(IAT_SETTINGS).score(by_host(spark, sf_dir), TUMBLING)
+    packed = F.pandas_udf(_packed, T.StructType().add("size", T.LongType()).add("md5", T.StringType()))
+    texts = _texts(spark, sf_dir, TUMBLING).withColumn("packed", packed("text"))
+    right = F.abs(F.col("compressibility_score") * F.col("packed.size") - F.col("text_len")) < 1e-6
+    return scored.select(*TUMBLING.group, "compressibility_score").join(texts, TUMBLING.group).select(
+        *TUMBLING.group, "codes", "text_len", F.col("packed.md5").alias("text_md5"), right.alias("score_is_right")
+    )
 
 
 def _compress(spark, sf_dir, detector, w: FlowWindow, order: str = EVENT_TIME) -> DataFrame:
