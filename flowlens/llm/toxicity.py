@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, map_rows, utf8
+from .common import bounded_sample, map_rows, stored, utf8
 
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 20_000
 WINDOW_WORDS, STRIDE_WORDS = 8, 4
@@ -191,6 +191,17 @@ def held_out(id_column: str = "doc_id"):
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every document; a document with several labels is learned by the highest."""
-    known = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    learn = docs.select("doc_id", "text").filter(~held_out()).join(known, "doc_id")
-    return score(docs, ToxicityModel.fit(learn)).withColumn("held_out", held_out())
+    return score(docs, ToxicityModel.fit(learning_rows(docs, labels))).withColumn("held_out", held_out())
+
+
+def learning_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``doc_id, text, toxic`` of a bounded number of labelled documents that are not held out.
+
+    They are drawn by id from the labels of documents that exist, so texts are not
+    shuffled: the drawn ids, at most ``2 * sample_rows``, are sent to where the texts are.
+    """
+    known = labels.filter("toxic in (0, 1) and doc_id is not null").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    there = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    drawn = [bounded_sample(there.filter(F.col("toxic") == x), sample_rows, F.xxhash64("doc_id")) for x in (0, 1)]
+    ids = stored(drawn[0].union(drawn[1]), "drawn")
+    return stored(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), "learned")
