@@ -36,9 +36,9 @@ MAGICS = {
     b"\xa1\xb2\x3c\x4d": (">", 1_000_000), b"\x4d\x3c\xb2\xa1": ("<", 1_000_000),
 }
 FILE_HEADER, RECORD_HEADER = 24, 16
-NG_SECTION, NG_INTERFACE, NG_SIMPLE, NG_ENHANCED = 0x0A0D0D0A, 1, 3, 6
+NG_SECTION, NG_INTERFACE, NG_OBSOLETE, NG_SIMPLE, NG_ENHANCED = 0x0A0D0D0A, 1, 2, 3, 6
 NG_BYTE_ORDER = 0x1A2B3C4D
-NG_TIME_RESOLUTION = 9
+NG_TIME_RESOLUTION, NG_TIME_OFFSET = 9, 14
 MAX_PACKET = 1 << 18
 
 CHAIN = 12  # record headers in a row that make a start believable
@@ -131,48 +131,58 @@ class ClassicFile:
         self.stopped_at = at
 
 
-def _next_generation(handle, size: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """Records of a ``.pcapng`` file. Sections and interfaces are declared on the way, so it is read in order."""
+def _next_generation(path: str, handle, size: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """Records of a ``.pcapng`` file; a truncated last block is left out, a damaged one is an error.
+
+    Sections and interfaces are declared on the way, so the file is read in order.
+    """
     at, order, interfaces = 0, "<", []
     handle.seek(0)
     while at + 12 <= size:
         head = handle.read(8)
-        if struct.unpack("<I", head[:4])[0] == NG_SECTION:
+        section = struct.unpack("<I", head[:4])[0] == NG_SECTION
+        if section:
             mark = handle.read(4)
             order = "<" if struct.unpack("<I", mark)[0] == NG_BYTE_ORDER else ">"
-            length = struct.unpack(order + "I", head[4:])[0]
-            handle.read(length - 12)
             interfaces = []
-            at += length
-            continue
         kind, length = struct.unpack(order + "II", head)
-        if length < 12 or at + length > size:
+        if length < 12 or length % 4:
+            raise ValueError(f"{path}: damaged block at byte {at}")
+        if at + length > size:
             return
-        body = handle.read(length - 12)
-        handle.read(4)
+        body = handle.read(length - 12 - 4 * section)
+        if handle.read(4) != struct.pack(order + "I", length):
+            raise ValueError(f"{path}: damaged block at byte {at}")
+        if section:
+            at += length
+            continue
         if kind == NG_INTERFACE:
-            interfaces.append((struct.unpack(order + "H", body[:2])[0], _ticks_per_ms(body[8:], order)))
-        elif kind == NG_ENHANCED:
-            number, high, low, kept, _ = struct.unpack(order + "IIIII", body[:20])
-            dlt, ticks = interfaces[number]
-            yield at, dlt, int(((high << 32) | low) // ticks if ticks >= 1 else ((high << 32) | low) / ticks), body[20 : 20 + kept]
+            interfaces.append((struct.unpack(order + "H", body[:2])[0], *_clock(body[8:], order)))
+        elif kind in (NG_ENHANCED, NG_OBSOLETE):
+            number, high, low, kept, _ = struct.unpack(order + ("IIIII" if kind == NG_ENHANCED else "HxxIIII"), body[:20])
+            dlt, ticks, offset_ms = interfaces[number]
+            stamp = (high << 32) | low
+            yield at, dlt, int(stamp // ticks if ticks >= 1 else stamp / ticks) + offset_ms, body[20 : 20 + kept]
         elif kind == NG_SIMPLE and interfaces:
             original = struct.unpack(order + "I", body[:4])[0]
             yield at, interfaces[0][0], 0, body[4 : 4 + original]
         at += length
 
 
-def _ticks_per_ms(options: bytes, order: str) -> float:
-    at = 0
+def _clock(options: bytes, order: str) -> tuple[float, int]:
+    """Ticks in a millisecond, and what is added to all times, in milliseconds."""
+    at, ticks, offset = 0, 1000.0, 0
     while at + 4 <= len(options):
         code, length = struct.unpack(order + "HH", options[at : at + 4])
         if code == 0:
             break
         if code == NG_TIME_RESOLUTION and length:
             value = options[at + 4]
-            return (2 ** (value & 0x7F) if value & 0x80 else 10**value) / 1000
+            ticks = (2 ** (value & 0x7F) if value & 0x80 else 10**value) / 1000
+        elif code == NG_TIME_OFFSET and length == 8:
+            offset = 1000 * struct.unpack(order + "q", options[at + 4 : at + 12])[0]
         at += 4 + length + (-length % 4)
-    return 1000.0
+    return ticks, offset
 
 
 class CaptureReader(DataSourceReader):
@@ -192,10 +202,13 @@ class CaptureReader(DataSourceReader):
 
     def read(self, split: Split) -> Iterator[pa.RecordBatch]:
         with _open(split.path) as handle:
-            if handle.read(4) in MAGICS:
+            magic = handle.read(4)
+            if magic in MAGICS:
                 yield from _batches(split.path, self._classic(handle, split))
+            elif magic == struct.pack("<I", NG_SECTION):
+                yield from _batches(split.path, _next_generation(split.path, handle, split.size))
             else:
-                yield from _batches(split.path, _next_generation(handle, split.size))
+                raise ValueError(f"{split.path}: neither a .pcap nor a .pcapng file")
 
     @staticmethod
     def _classic(handle, split: Split) -> Iterator[tuple[int, int, int, bytes]]:

@@ -93,3 +93,26 @@ def test_truncated_file_and_headers(spark, tmp_path):
     row = with_headers(df).select("src_ip", "dst_port", "ttl").first()
     assert tuple(row) == ("10.0.0.1", 80, 64)
     assert decode(encode(df.select("dlt", "ts_ms", "raw"))).where(F.col("dlt") == 1).count() == 2
+
+
+def test_other_files_and_damaged_blocks_are_refused(spark, tmp_path):
+    (tmp_path / "a.pcap").write_bytes(b"no capture at all")
+    with pytest.raises(Exception, match="neither"):
+        read_captures(spark, str(tmp_path / "a.pcap")).collect()
+    good = next_generation(some_packets(3))
+    damaged = good[:28] + struct.pack("<II", 1, 13) + good[36:]
+    (tmp_path / "b.pcapng").write_bytes(damaged)
+    with pytest.raises(Exception, match="damaged"):
+        read_captures(spark, str(tmp_path / "b.pcapng")).collect()
+
+
+def test_obsolete_blocks_and_clock_offsets(spark, tmp_path):
+    def block(kind, body):
+        body += b"\0" * (-len(body) % 4)
+        return struct.pack("<II", kind, len(body) + 12) + body + struct.pack("<I", len(body) + 12)
+
+    clock = struct.pack("<HHB3x", 9, 1, 3) + struct.pack("<HHq", 14, 8, 1_700_000_000) + struct.pack("<HH", 0, 0)
+    data = block(0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1)) + block(1, struct.pack("<HHI", 1, 0, 0) + clock)
+    data += block(2, struct.pack("<HHIIII", 0, 0, 0, 1234, len(FRAME), len(FRAME)) + FRAME)
+    (tmp_path / "a.pcapng").write_bytes(data)
+    assert found(read_captures(spark, str(tmp_path / "a.pcapng"))) == [(1_700_000_001_234, FRAME)]
