@@ -60,6 +60,7 @@ COUNT = FlowWindow("tumbling_count", count=20)
 SLIDING_COUNT = FlowWindow("sliding_count", count=10, slide_count=4)
 FLUSHED = FlowWindow("tumbling_count", count=20, partial_flush=True)
 STREAM_DELAY = "1 hour"
+# fixed values here and below: configuration keys and names of result details
 IAT_SETTINGS = {"iatThresholdMs": DAY, "precision": 2, "minIats": 5}
 
 Query = Callable[[SparkSession, str], DataFrame]

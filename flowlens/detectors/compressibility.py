@@ -25,6 +25,7 @@ class CompressibilityDetector(Detector):
     key = "five_tuple"
     feature_based = False
     skips_negative_times = False
+    # fixed values: names of result details, which readers look for
     details = (
         "compressibility_score", "flowIdChanges", "executionMode", "iat_count", "windowType",
         "packet_count", "precision", "iat_threshold_ms", "testlauf", "anomaly",

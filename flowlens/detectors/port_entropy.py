@@ -15,6 +15,7 @@ from .base import Detector, register
 @register
 class PortEntropyDetector(Detector):
     name = "PortEntropyDetector"
+    # fixed values: names of result details, which readers look for
     details = (
         "entropy_score", "unique_ports", "packet_count", "skipped_count", "entropy_threshold",
         "is_anomaly", "executionMode", "windowType", "testlauf",
