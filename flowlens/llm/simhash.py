@@ -300,7 +300,11 @@ def near_groups(docs: DataFrame, limit: int = LIMIT, id_column: str = "doc_id",
 
 
 def drop_near(docs: DataFrame, limit: int = LIMIT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One document of each group stays, that with the smallest id; columns as in ``docs``."""
+    """One document of each group stays, that with the smallest id; columns as in ``docs``.
+
+    Rows without an id stay where a group has no id at all, and rows that repeat the id
+    that stays stay with it: drop exact copies first.
+    """
     kept = near_groups(docs, limit, id_column, text_column).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = kept.select(F.col("doc_id").alias("flowlens_kept")).distinct()
     return docs.join(kept, docs[id_column].eqNullSafe(kept["flowlens_kept"]), "left_semi")
