@@ -215,29 +215,34 @@ def transactions(records: DataFrame) -> DataFrame:
     to. Records without a capture are left out, captures without company stay, and
     records alike in everything count once as company.
     """
+    # sizes of records that come from archives are unknown when the plan is made: no side is broadcast
     captured = F.col("kind").isin("response", "revisit")
     captures = records.filter(captured).select("record_id", F.struct(*records.columns).alias("capture"))
     others = records.filter(~captured).select("record_id", F.struct(*records.columns).alias("other"))
     ties = records.select("record_id", F.explode("concurrent_to").alias("to"))
     both = ties.union(ties.select("to", "record_id")).toDF("one", "two").distinct()
-    ids = captures.select(F.col("record_id").alias("capture_id"))
+    ids = captures.select(F.col("record_id").alias("capture_id")).hint("merge")
+    same = ids.withColumnRenamed("capture_id", "record_id").hint("merge")
     direct = both.join(ids, both.one == ids.capture_id).select("capture_id", F.col("two").alias("record_id"))
-    direct = direct.join(ids.withColumnRenamed("capture_id", "record_id"), "record_id", "left_anti")
-    onward = direct.withColumnRenamed("record_id", "one").join(both, "one").select("capture_id", F.col("two").alias("record_id"))
-    loose = onward.join(ids.withColumnRenamed("capture_id", "record_id"), "record_id", "left_anti")
-    members = direct.union(loose).distinct().join(others, "record_id")
+    direct = direct.join(same, "record_id", "left_anti")
+    onward = direct.withColumnRenamed("record_id", "one").join(both.hint("merge"), "one").select("capture_id", F.col("two").alias("record_id"))
+    loose = onward.join(same, "record_id", "left_anti")
+    members = direct.union(loose).distinct().join(others.hint("merge"), "record_id")
     kind = F.col("other.kind")
     company = members.groupBy("capture_id").agg(
         F.min(F.when(kind == "request", F.col("other"))).alias("request"),
         F.sort_array(F.collect_set(F.when(kind == "metadata", F.col("other")))).alias("metadata"),
     )
-    return captures.join(company, captures.record_id == company.capture_id, "left").select("capture", "request", "metadata")
+    whole = captures.join(company.hint("merge"), captures.record_id == company.capture_id, "left")
+    return whole.select("capture", "request", "metadata")
 
 
 def archived(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFrame:
     """Pages written to archives, read back and assembled: ``page_id, payload_bytes, payload_digest, record_type, refers_to, n_company``."""
     page = F.udf(page_of, "long", useArrow=True)
-    whole = transactions(read_records(write_warc(pages, revisit_from=revisit_from)))
+    # parsed once; the joins read the records several times
+    records = stored(read_records(write_warc(pages, revisit_from=revisit_from)), "records")
+    whole = transactions(records)
     revisit = F.col("capture.kind") == "revisit"
     stated = F.regexp_extract("capture.payload_digest", "^sha1:([0-9a-f]{40})$", 1)
     return whole.select(
