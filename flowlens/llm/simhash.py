@@ -36,21 +36,26 @@ SHINGLE, LIMIT, BITS, SEED = 4, 4, 64, 42
 SMALL_BUCKET = 64
 
 
-def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
-    """Bit by bit the majority over all shingle hashes; as a signed long."""
+def shingle_hashes(data: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """One hash per shingle in the order of the text; none without words."""
     import xxhash
 
     words = data.lower().split()  # for bytes: A-Z only, and exactly the six white space characters
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     text, n = b" ".join(words), max(1, len(words) - shingle + 1)
     starts = np.zeros(len(words) + 1, np.int64)
     np.cumsum([len(w) + 1 for w in words], out=starts[1:])
     begins = starts[:n].tolist()
     ends = (starts[min(shingle, len(words)) :][:n] - 1).tolist()
     of = xxhash.xxh64_intdigest
-    hashes = np.fromiter((of(text[a:b], SEED) for a, b in zip(begins, ends)), np.uint64, n)
-    ones = np.zeros(BITS, np.int64)
+    return np.fromiter((of(text[a:b], SEED) for a, b in zip(begins, ends)), np.uint64, n)
+
+
+def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
+    """Bit by bit the majority over all shingle hashes; as a signed long."""
+    hashes = shingle_hashes(data, shingle)
+    n, ones = len(hashes), np.zeros(BITS, np.int64)
     for at in range(0, n, 65536):
         ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8), bitorder="little").reshape(-1, BITS).sum(0, dtype=np.int64)
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.int64)[0])
