@@ -4,7 +4,7 @@ Three kinds follow fixed patterns: ``assign``, ``access`` and ``hex``. A fourth,
 ``random``, comes from a battery of randomness tests on long tokens: per encoding
 inferred from the characters (digits, letters, hex, base 32, 36, 62, 64) a
 chi-squared statistic of uniformity over its alphabet, a runs test on kinds of
-characters and the serial correlation of neighbours. The statistics are compared with
+characters (where the alphabet has several) and the serial correlation of neighbours. The statistics are compared with
 what ordinary words and identifiers of that length show, so each token has a chance
 of looking this random without being so; tokens are accepted by the rule of
 Benjamini and Hochberg within classes of length, over the tokens of all documents.
@@ -32,8 +32,11 @@ LEAST_VALUE = 12
 
 #: Chance that two letters of ordinary text are equal, about the same in languages of Latin script.
 COINCIDENCE = 0.066
-#: How often neighbours in ordinary identifiers differ in kind (small letter, capital, digit).
-KIND_CHANGES = 0.3
+#: How often neighbours in ordinary identifiers differ in kind (small letter, capital, digit). Alphabets in which random
+#: characters change less often (0.47, 0.30 and 0.40 instead of 0.5 to 0.62) have rates of their own.
+KIND_CHANGES, KIND_CHANGES_OF = 0.3, {16: 0.22, 32: 0.15, 36: 0.2}
+#: Alphabets of one kind, whose tokens are one run: the runs test is left out.
+ONE_KIND = (10, 26)
 #: Beyond this many standard deviations of serial correlation a token is a sequence, not random.
 SERIAL_LIMIT = 3.5
 #: Share of false discoveries allowed, lengths from which classes begin, and bins a unit of -ln p.
@@ -125,12 +128,17 @@ def upper_tail(z: Column) -> Column:
 def looks_random(token: Column) -> Column:
     """-ln p of a token: p is the chance that an ordinary word or identifier of this length looks as random."""
     n, k = F.length(token).cast("double"), _alphabet(token).cast("double")
-    more = k * COINCIDENCE - 1
+    # few characters are equal by chance more often; ordinary tokens are so in the same proportion as letters
+    more = k * F.greatest(F.lit(COINCIDENCE), 26 * COINCIDENCE / k) - 1
     expected, spread = k - 1 + (n - 1) * more, F.sqrt(2 * (k - 1) + 4 * (n - 1) * more)
-    uniform = F.when(more > 0.2, (expected - chi_squared(token, n, k)) / spread).otherwise(0.0)
-    changes = (runs(token) - 1 - KIND_CHANGES * (n - 1)) / F.sqrt(KIND_CHANGES * (1 - KIND_CHANGES) * (n - 1))
+    uniform = (expected - chi_squared(token, n, k)) / spread
+    rate = F.lit(KIND_CHANGES)
+    for size, other in KIND_CHANGES_OF.items():
+        rate = F.when(k == size, other).otherwise(rate)
+    changes = (runs(token) - 1 - rate * (n - 1)) / F.sqrt(rate * (1 - rate) * (n - 1))
+    both = F.when(k.isin(*ONE_KIND), uniform).otherwise((uniform + changes) / F.sqrt(F.lit(2.0)))
     sequence = F.abs(serial_correlation(token, n)) * F.sqrt(n) > SERIAL_LIMIT
-    return F.when(sequence, 0.0).otherwise(upper_tail((uniform + changes) / F.sqrt(F.lit(2.0))))
+    return F.when(sequence, 0.0).otherwise(upper_tail(both))
 
 
 def tested_tokens(text: Column) -> Column:

@@ -73,6 +73,22 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert sum(got[1000 + i].n_random for i in range(400)) <= 400 * 0.01
 
 
+def test_random_tokens_of_each_encoding_are_found(spark):
+    r = random.Random(11)
+    upper, lower, digits = string.ascii_uppercase, string.ascii_lowercase, string.digits
+    encodings = [  # digits only and small hex letters belong to the fixed kind hex
+        (lower, 200), (upper, 200), (digits + "ABCDEF", 40), (upper + "234567", 40), (upper + "234567", 64), (lower + digits, 40),
+        (upper + digits, 40), (upper + lower, 40), (upper + lower + digits, 32), (upper + lower + digits + "+/", 40),
+    ]
+    keys = [(e, "".join(r.choice(a) for _ in range(n))) for e, (a, n) in enumerate(encodings) for _ in range(20)]
+    plain = ["1" * 60, "2026120117432700000000000000", "20261201" * 6, "DONAUDAMPFSCHIFFFAHRTSGESELLSCHAFT", "internationalization" * 3, "INVOICE2024NUMBER17COPY", "customer2024account17backup", "x" * 200]
+    rows = [(i, f"see {k} here") for i, (_, k) in enumerate(keys)] + [(1000 + i, f"see {plain[i % len(plain)]} here") for i in range(400)]
+    got = {x.doc_id: x for x in S.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hits = [sum(got[i].n_random for i, (x, _) in enumerate(keys) if x == e) for e in range(len(encodings))]
+    assert min(hits) >= 17, hits
+    assert sum(got[1000 + i].n_random for i in range(400)) <= 400 * 0.01
+
+
 def test_empty_table_and_no_python(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert S.secrets(empty).collect() == []
