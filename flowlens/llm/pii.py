@@ -1,8 +1,8 @@
 """Personal data: fixed patterns, and what a trained character tagger adds to them.
 
 The tagger is a bidirectional LSTM with CRF transitions (``tagger.py``). It is trained
-on the patterns' own spans in at most ``SAMPLE_ROWS`` documents and learns what such
-data look like: neighbours of the patterns that they miss by a character. It reads windows
+on windows drawn from all documents, at most ``EACH_KIND`` with the patterns' own spans of each kind
+and ``PLAIN`` without any, and learns what such data look like: neighbours of the patterns that they miss by a character. It reads windows
 that overlap by half; where two windows cover a character, the one in whose middle it
 lies nearer decides, so each text has one sequence of tags however it is cut. All kinds
 hold a digit or an ``@``: a window is read if the half around it has one, and a tagged
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from flowlens.session import ship_package
 
-from .common import bounded_sample
+from .common import stored
 from .tagger import DIGIT, PAD, Tagger, classes
 
 #: Kinds in their order, and their patterns. Digits before an address part cannot begin one.
@@ -39,7 +39,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NO_DIGIT = re.compile("[^0-9]+")
 
-SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_WINDOWS = 1500, 20_000, 1200
+#: Learning windows of each kind, and without any.
+EACH_KIND, PLAIN = 240, 480
 WINDOW, STRIDE = 64, 32
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
 _AT = classes("@")[0]
@@ -132,18 +133,63 @@ def added(ids: np.ndarray, tags: np.ndarray, base: list[tuple[int, int, int]]) -
     return out
 
 
-def train(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Tagger | None:
-    """Learns from the patterns' spans in at most ``sample_rows`` texts with a digit or @, at most SAMPLE_CHARS of each."""
+def drawn_windows(docs: DataFrame, text_column: str, id_column: str, each: int = EACH_KIND, plain: int = PLAIN) -> list:
+    """Windows to learn from (``kind, draw, ids, tags``), by a hash over those of all texts: ``each`` for every kind, ``plain`` without any.
+
+    A task keeps the first of each kind while it reads, so little is written and at most that many rows reach the driver.
+    """
+    bounds = [each] * len(KINDS) + [plain]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[] for _ in bounds]
+        limits = [1 << 63] * len(bounds)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                for text, draw in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    _draw(text, draw, held, limits, bounds)
+        rows = [(kind, *row) for kind, mine in enumerate(held) for row in sorted(mine)[: bounds[kind]]]
+        if rows:
+            types = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["kind", "draw", "ids", "tags"])
+
+    ship_package(docs.sparkSession, "flowlens")
     text = F.col(text_column).cast("string")
-    drawn = docs.filter(text.rlike("[0-9@]")).select(F.substring(text, 1, SAMPLE_CHARS).alias("text"), F.xxhash64(F.col(id_column), text).alias("draw"))
+    read = docs.filter(text.rlike("[0-9@]")).select(text.alias("text"), F.xxhash64(F.col(id_column), text).alias("draw"))
+    found = stored(read.mapInArrow(run, "kind int, draw long, ids binary, tags binary"), "learning")
+    return [r for kind, n in enumerate(bounds) for r in found.filter(F.col("kind") == kind).orderBy("draw", "ids", "tags").limit(n).collect()]
+
+
+def _draw(text: str, draw: int, held: list[list], limits: list[int], bounds: list[int]) -> None:
+    ids = classes(text)
+    starts, spans = np.array(windows(ids), np.int64), base_spans(text)
+    has = np.zeros((len(bounds), len(starts)), bool)
+    for kind, a, b in spans:
+        has[kind, np.searchsorted(starts, a - WINDOW, side="right") : np.searchsorted(starts, b)] = True
+    has[-1] = ~has.any(0)
+    # a number of its own for each window of each text (splitmix64)
+    mixed = np.uint64(draw % (1 << 64)) + (starts.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    order, tags = ((mixed ^ (mixed >> np.uint64(31))) >> np.uint64(1)).astype(np.int64), None
+    for kind, bound in enumerate(bounds):
+        for i in np.flatnonzero(has[kind] & (order < limits[kind])).tolist():
+            tags = tagged(len(ids), spans) if tags is None else tags
+            s = int(starts[i])
+            mine = np.pad(tags[s : s + WINDOW], (0, max(0, s + WINDOW - len(tags))))
+            held[kind].append((int(order[i]), filled(ids, [s])[0].tobytes(), mine.astype(np.uint8).tobytes()))
+        if len(held[kind]) > 2 * bound:
+            held[kind] = sorted(held[kind])[:bound]
+            limits[kind] = held[kind][-1][0]
+
+
+def train(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id") -> Tagger | None:
+    """Learns from the patterns' spans; none if no text has one."""
+    rows = {(r.draw, bytes(r.ids), bytes(r.tags)) for r in drawn_windows(docs, text_column, id_column)}
     x, y = [], []
-    for row in bounded_sample(drawn, sample_rows, F.col("draw")).collect():
-        ids, tags = classes(row.text), tagged(len(row.text), base_spans(row.text))
-        for s in windows(ids):
-            x.append(filled(ids, [s])[0])
-            y.append(np.pad(tags[s : s + WINDOW], (0, max(0, WINDOW - len(tags[s : s + WINDOW])))))
-        if len(x) >= SAMPLE_WINDOWS:
-            break
+    for _, ids, tags in sorted(rows):
+        x.append(np.frombuffer(ids, np.uint8))
+        y.append(np.frombuffer(tags, np.uint8).astype(np.int64))
     if not any(t.any() for t in y):
         return None
     tagger = Tagger(TAGS)

@@ -99,6 +99,19 @@ def test_tagger_learns_and_adds(spark):
     assert [x.doc_id for x in got] == [1, 2, 3] and got[1].spans == got[2].spans == ""
 
 
+def test_learns_every_kind_from_digit_rich_tables(spark, monkeypatch):
+    r, seen = random.Random(9), []
+    tables = [" ".join(str(r.randint(10, 99)) for _ in range(6000)) for _ in range(60)]
+    few = ["mail a.b@c.de now", "host 10.1.2.3 is up", "card 4337166598464399 paid", "call +1 (988) 555-2485 soon"]
+    docs = spark.createDataFrame(list(enumerate(tables + few)), "doc_id long, text string")
+    monkeypatch.setattr(Tagger, "fit", lambda self, x, y, **_: seen.append((x, y)))
+    assert P.train(docs) is not None
+    x, y = seen[0]
+    assert {(t - 1) // 2 for t in np.unique(y) if t} == {0, 1, 2, 3}
+    assert x.shape == y.shape and len(x) <= 4 * P.EACH_KIND + P.PLAIN
+    assert P.train(docs.filter("doc_id < 60")) is None
+
+
 def test_windows_cover_every_anchor_and_agree():
     r = random.Random(8)
     for _ in range(50):
