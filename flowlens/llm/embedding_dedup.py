@@ -5,7 +5,9 @@ projections, read as one long word; every vector is compared with its next
 neighbours in that order. Pairs that are near enough are united over all passes.
 Passes only have to *connect* groups: in the end all vectors of a group are compared
 in blocks, so links and their numbers are exact within it. The number of passes
-follows from the size of the largest label and the recall asked for.
+follows from the size of the largest label and the recall asked for, as if vectors were spread
+evenly. Where they crowd, signs tell them apart less well: this is measured in each
+pass, and vectors for which the recall is not met are compared with each other in blocks.
 
 Identical vectors of one label are one node throughout, so copies never meet one
 by one. Defined cases: a null label or vector, a zero vector and vectors with null or
@@ -114,7 +116,7 @@ def neighbours(coded: DataFrame, window: int = WINDOW, block: int = BLOCK) -> Da
     place = F.col("start") + F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
     own = F.floor(place / block)
     blocks = F.when((place % block < window) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
-    return placed.select("pass", "label", "node", "v", place.alias("place"), F.explode(blocks).alias("block"))
+    return placed.select("pass", "label", "node", "v", "code", place.alias("place"), F.explode(blocks).alias("block"))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.Table]:
@@ -134,8 +136,14 @@ def _blocks(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def near_neighbours(blocks: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW) -> DataFrame:
-    """``a, b``: a spanning forest of the near pairs within the window, block by block."""
+def near_neighbours(blocks: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """``a, b``: a spanning forest of the near pairs within the window, block by block.
+
+    Rows without ``b`` say for node ``a`` in a pass with which chance, as a logarithm
+    in ``missed``, a vector at the threshold was not among its neighbours: it is among them
+    if it shares more leading signs than the vector at the window's end does.
+    """
+    same_sign = 1 - math.acos(threshold) / math.pi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _blocks(batches, 4):
@@ -152,11 +160,57 @@ def near_neighbours(blocks: DataFrame, threshold: float = THRESHOLD, window: int
                 edges += [(node[i], node[i + d]) for i in np.flatnonzero(near) if forest.join(i, i + d)]
             if edges:
                 a, b = np.array(edges, np.int64).T
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.float64())], ["a", "b", "missed"])
+            # a row at the window's end in either direction says how many signs it takes
+            code, most = table["code"].to_numpy(), np.zeros(len(node))
+            if len(node) > window:
+                differ = code[window:] ^ code[:-window]
+                shared = np.where(differ > 0, WORD_BITS - 1 - np.floor(np.log2(np.maximum(differ, 1).astype(float))), WORD_BITS)
+                shared = np.where(group[window:] == group[:-window], shared + 1, 0)
+                most[:-window], most[window:] = shared, np.maximum(most[window:], shared)
+            own = table["place"].to_numpy() // block == table["block"].to_numpy()
+            missed = np.log(np.maximum(1 - same_sign ** most[own], 1e-300))
+            yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.nulls(int(own.sum()), pa.int64()), pa.array(missed)], ["a", "b", "missed"])
 
     spark = blocks.sparkSession
-    ordered = blocks.select("pass", "label", "node", "v", "block", "place").repartition(partitions(spark), "block").sortWithinPartitions("block", "place")
-    return ordered.mapInArrow(run, "a long, b long")
+    ordered = blocks.select("pass", "label", "node", "v", "block", "place", "code").repartition(partitions(spark), "block").sortWithinPartitions("block", "place")
+    return stored(ordered.mapInArrow(run, "a long, b long, missed double"), "met")
+
+
+def crowded_links(nodes: DataFrame, met: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = GROUP_BLOCK) -> DataFrame:
+    """``a, b``: links among the vectors whose neighbourhood is too crowded for the windows, by comparing all of a label."""
+    missed = met.filter("missed is not null").groupBy("a").agg(F.exp(F.sum("missed")).alias("missed"))
+    crowded = missed.filter(F.col("missed") > 1 - recall).select(F.col("a").alias("node"))
+    members = stored(nodes.join(crowded, "node").select(F.xxhash64("label", F.size("v")).alias("component"), "label", "node", "copies", "v"), "crowded")
+    return _compared(members.select("component", "node", "copies", "v"), _links, "a long, b long", threshold, block)
+
+
+def _links(unit: np.ndarray, node: np.ndarray, copies: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> pa.RecordBatch:
+    """A spanning forest of the links between two blocks."""
+    part, edges = np.arange(len(unit)), []
+    for at in range(0, len(left), 512):
+        for i, near in zip(left[at : at + 512], unit[left[at : at + 512]] @ unit[right].T >= threshold):
+            hits = right[near]
+            parts, first = np.unique(part[hits], return_index=True)
+            new = parts != part[i]
+            if new.any():
+                edges += [(node[i], node[hits[k]]) for k in first[new]]
+                part[np.isin(part, parts[new])] = part[i]
+    a, b = np.array(edges, np.int64).reshape(-1, 2).T
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def _counts(unit: np.ndarray, node: np.ndarray, copies: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> pa.RecordBatch:
+    linked, same = np.zeros(len(unit), np.int64), np.array_equal(left, right)
+    for at in range(0, len(left), 512):
+        i = left[at : at + 512]
+        near = unit[i] @ unit[right].T >= threshold
+        if same:
+            near[np.arange(len(i)), at + np.arange(len(i))] = False
+        linked[i] += near @ copies[right]
+        if not same:
+            linked[right] += near.T @ copies[i]
+    return pa.RecordBatch.from_arrays([pa.array(node), pa.array(linked)], ["node", "linked"])
 
 
 def counted_links(members: DataFrame, threshold: float = THRESHOLD, block: int = GROUP_BLOCK) -> DataFrame:
@@ -165,6 +219,12 @@ def counted_links(members: DataFrame, threshold: float = THRESHOLD, block: int =
     ``members``: component, node, copies, v. A node of a group of n blocks is sent to
     n pairs of blocks; nothing is emitted but one count for each.
     """
+    counted = _compared(members, _counts, "node long, linked long", threshold, block)
+    return counted.groupBy("node").agg(F.sum("linked").alias("linked"))
+
+
+def _compared(members: DataFrame, each, schema: str, threshold: float, block: int) -> DataFrame:
+    """``each`` for every two blocks of a group, once."""
     spark = members.sparkSession
     sizes = members.groupBy("component").agg(F.ceil(F.count("*") / float(block)).cast("int").alias("n"))
     mine = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
@@ -181,19 +241,9 @@ def counted_links(members: DataFrame, threshold: float = THRESHOLD, block: int =
                 for table in (t for low in _blocks(iter(whole.to_batches()), 2) for t in _blocks(iter(low.to_batches()), 3)):
                     unit, copies = _matrix(table["v"].combine_chunks()), table["copies"].to_numpy()
                     side, low, high = table["mine"].to_numpy(), table["low"][0].as_py(), table["high"][0].as_py()
-                    linked = np.zeros(len(unit), np.int64)
-                    left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
-                    for at in range(0, len(left), 512):
-                        i = left[at : at + 512]
-                        near = unit[i] @ unit[right].T >= threshold
-                        if low == high:
-                            near[np.arange(len(i)), at + np.arange(len(i))] = False
-                        linked[i] += near @ copies[right]
-                        if low != high:
-                            linked[right] += near.T @ copies[i]
-                    yield pa.RecordBatch.from_arrays([table["node"].combine_chunks(), pa.array(linked)], ["node", "linked"])
+                    yield each(unit, table["node"].to_numpy(), copies, np.flatnonzero(side == low), np.flatnonzero(side == high), threshold)
 
-    return ordered.mapInArrow(run, "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
+    return ordered.mapInArrow(run, schema)
 
 
 def near_vectors(
@@ -204,7 +254,9 @@ def near_vectors(
     rows, nodes = nodes_of(vectors, id_column, vector_column, label_column)
     largest = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     blocks = neighbours(codes(nodes, passes(largest, threshold, window, recall)), window)
-    named = stored(components(near_neighbours(blocks, threshold, window)), "named")
+    met = near_neighbours(blocks, threshold, window)
+    links = met.filter("b is not null").select("a", "b").union(crowded_links(nodes, met, threshold, recall))
+    named = stored(components(links), "named")
     members = stored(nodes.join(named, "node").select("component", "node", "copies", "least", "v"), "members")
     linked = counted_links(members, threshold)
     least = members.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -75,5 +75,26 @@ def test_passes_grow_with_the_label():
     assert E.passes(1000) < E.passes(10**6) < E.passes(10**9)
 
 
+def test_crowded_cone_against_brute_force(spark):
+    r = np.random.default_rng(5)
+    axis = r.standard_normal(32)
+    axis /= np.linalg.norm(axis)
+
+    def cone(x):
+        return np.sqrt(0.85) * axis + np.sqrt(0.15) * x / np.linalg.norm(x)
+
+    rows = []
+    for _ in range(1200):
+        x = r.standard_normal(32)
+        rows += [cone(x), cone(x + 0.5 * np.linalg.norm(x) * r.standard_normal(32) / np.sqrt(32))]
+    rows = [(i, v.astype(np.float32).tolist(), 0) for i, v in enumerate(rows)]
+    unit = np.array([v for _, v, _ in rows], float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.93).sum(1) - 1
+    got = {x.vec_id: x.n_links for x in E.near_vectors(spark_rows(spark, rows)).collect()}
+    found = sum(min(got[i], n) for i, n in enumerate(want))
+    assert want.sum() > 1000 and found >= 0.995 * want.sum()
+
+
 def test_empty_table(spark):
     assert E.near_vectors(spark_rows(spark, [])).collect() == []
