@@ -3,19 +3,25 @@
 Greedy merging is local: a sequence of tokens is *the* encoding of its bytes if
 every two neighbours, encoded together, stay these two tokens. So the last token
 of each prefix follows from the last tokens of shorter prefixes, which lets bytes
-be read one by one. A state is what still matters: the token emitted last and the
-bytes read since. A token leaves as soon as every way to go on agrees on it; no
+be read one by one. What still matters is the token emitted last and the bytes read
+since. A token leaves as soon as every way to go on agrees on it; no
 state holds more bytes than a few of the longest tokens. States and their
-transitions come into being when first used and are forgotten when too many.
+moves come into being when first used and are forgotten when too many; a worker
+process keeps them from task to task.
 
 Defined cases: a null text counts as empty and has no tokens; a text that is one
-piece of millions of bytes passes byte by byte in bounded memory; nothing is cut.
+piece of millions of bytes passes byte by byte in bounded memory; nothing is cut;
+null ids and repeated rows are rows like others, in the order of the input; an empty
+table gives an empty result; only id and text are read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
+import struct
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -45,42 +51,63 @@ def read_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
 class Transducer:
     """Turns one piece, as the pre-tokenising pattern cuts it, into token ids.
 
-    A state is the token emitted last and the *live* prefixes: those behind which a
-    token has begun, each with that beginning (a node of the tree of tokens) and the
-    tokens that lead to it. Tokens that lead to all of them are emitted. The token emitted last is
-    left out of a state's name where no live prefix borders on it.
+    A state is the *live* prefixes: those behind which a token has begun, each with
+    that beginning (a node of the tree of tokens) and the tokens that lead to it since
+    the last one emitted. Tokens that lead to all of them are emitted. The token emitted
+    last is a register beside the state: only the first live prefix borders on it, so a
+    move has at most one condition on it (may this token follow that one?) and an outcome
+    for either answer. States, moves and answers come into being when first used and are
+    forgotten when there are more than ``most`` of a kind, which then hold some 200 MB. Of the
+    pieces met those that do not come again are forgotten.
     """
 
     START = 0
+    #: An outcome is one number: the number of the tokens emitted and, in these low bits, the next state.
+    STATE_BITS = 24
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 300_000, most_pieces: int = 300_000):
-        self.ranks, self.most_states, self.most_pieces = ranks, most_states, most_pieces
+    def __init__(self, ranks: dict[bytes, int], most: int = 150_000):
+        self.ranks, self.most = ranks, most
         self.tokens = {rank: token for token, rank in ranks.items()}
-        # a tree over the bytes of all tokens: children by byte, and the token that ends at a node
-        self.children: list[dict[int, int]] = [{}]
-        self.ending: list[int | None] = [None]
+        # a tree over the bytes of all tokens: children by node and byte, and the token that ends at a node
+        self.child: dict[int, int] = {}
+        self.ending, self.inner = array("i", [-1]), bytearray(1)
         for token, rank in ranks.items():
             node = 0
             for byte in token:
-                if byte not in self.children[node]:
-                    self.children[node][byte] = len(self.children)
-                    self.children.append({})
-                    self.ending.append(None)
-                node = self.children[node][byte]
+                self.inner[node] = 1
+                way = node << 8 | byte
+                node = self.child.get(way, 0)
+                if not node:
+                    node = self.child[way] = len(self.ending)
+                    self.ending.append(-1)
+                    self.inner.append(0)
             self.ending[node] = rank
         self._sides: dict[int, tuple[list, list]] = {}
-        self._fits: dict[tuple[int | None, int], bool] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self._fits: dict[int, bool] = {}
+        self.pieces: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         self._forget()
 
     def _forget(self) -> None:
-        start = (None, ((0, ()),))
+        start = ((0, ()),)
         self._names, self._states = {start: self.START}, [start]
-        self._moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        #: by state and byte the outcome, or below zero the place in ``_guarded``
+        self._moves: dict[int, int] = {}
+        #: the token whose fit decides, and the outcomes (None: there is none) if it fits and if not
+        self._guarded: list[tuple[int, int | None, int | None]] = []
+        self._emitted, self._emissions = [()], {(): 0}
+
+    def _named(self, live: tuple) -> int:
+        name = self._names.setdefault(live, len(self._states))
+        if name == len(self._states):
+            self._states.append(live)
+        return name
 
     def edges(self, token: int) -> tuple[list[tuple[bytes, int, float]], list[tuple[bytes, int, float]]]:
         """What stands at the left and the right end of a token while it is merged: part, and the ranks between which it is there."""
         if token not in self._sides:
+            if len(self._sides) > self.most:
+                self._sides.clear()
             data = self.tokens[token]
             parts = [data[i : i + 1] for i in range(len(data))]
             sides = ([[parts[0], -1, float("inf")]], [[parts[-1], -1, float("inf")]])
@@ -97,19 +124,19 @@ class Transducer:
             self._sides[token] = sides if len(parts) == 1 else ([], [])  # merging never makes this token
         return self._sides[token]
 
-    def fits(self, before: int | None, token: int) -> bool:
-        """Whether ``token`` can follow ``before``: no merge across their border comes before those inside."""
-        key = (before, token)
+    def fits(self, before: int, token: int) -> bool:
+        """Whether ``token`` can follow ``before`` (-1 at the start): no merge across their border comes before those inside."""
+        key = before << 32 | token
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) > self.most_states:
+            if len(self._fits) > 2 * self.most:
                 self._fits.clear()
             known = self._fits[key] = self._holds(before, token)
         return known
 
-    def _holds(self, before: int | None, token: int) -> bool:
+    def _holds(self, before: int, token: int) -> bool:
         right = self.edges(token)[0]
-        if before is None or not right:
+        if before < 0 or not right:
             return bool(right)
         for a, a_from, a_to in self.edges(before)[1]:
             for b, b_from, b_to in right:
@@ -119,68 +146,83 @@ class Transducer:
                     return False
         return True
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        before, lives = self._states[state]
-        found, live = None, []
-        for node, path in lives:  # the longest beginning first
-            node = self.children[node].get(byte)
+    def _move(self, state: int, byte: int) -> int:
+        guard, yes, no, live = -1, None, None, []
+        for node, path in self._states[state]:  # the longest beginning first
+            node = self.child.get(node << 8 | byte)
             if node is None:
                 continue
             token = self.ending[node]
-            if token is not None and found is None and self.fits(path[-1] if path else before, token):
-                found = path + (token,)
-            if self.children[node]:
+            if token >= 0 and no is None:
+                if not path:
+                    guard, yes = token, (token,)
+                elif self.fits(path[-1], token):
+                    no = path + (token,)
+            if self.inner[node]:
                 live.append((node, path))
-        if found is None:
-            raise ValueError(f"no token for byte {byte}")
-        sure = len(found) if not live else 0
-        if live:
-            for agreed in zip(found, *(path for _, path in live)):
-                if agreed.count(agreed[0]) < len(agreed):
-                    break
-                sure += 1
-        live.append((0, found))
-        if sure:
-            before, live = found[sure - 1], [(node, path[sure:]) for node, path in live]
-        if all(path for _, path in live):
-            before = None
-        key = (before, tuple(live))
-        name = self._names.setdefault(key, len(self._states))
-        if name == len(self._states):
-            self._states.append(key)
-            self._moves.append({})
-        return name, found[:sure]
+        yes, no = (self._outcome(found, live) if found else None for found in (yes, no))
+        if guard < 0 and no is not None:
+            move = no
+        else:
+            self._guarded.append((guard, yes, no))
+            move = -len(self._guarded)
+        self._moves[state << 8 | byte] = move
+        return move
+
+    def _outcome(self, found: tuple[int, ...], live: list) -> int:
+        sure = 0
+        for agreed in zip(found, *(path for _, path in live)):
+            if agreed.count(agreed[0]) < len(agreed):
+                break
+            sure += 1
+        left = tuple((node, path[sure:]) for node, path in live)
+        emitted = self._emissions.setdefault(found[:sure], len(self._emitted))
+        if emitted == len(self._emitted):
+            self._emitted.append(found[:sure])
+        return emitted << self.STATE_BITS | self._named((*left, (0, found[sure:])))
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
         out: list[int] = []
-        state, moves = self.START, self._moves
+        state, before, low = self.START, -1, (1 << self.STATE_BITS) - 1
+        moves, fits, emitted = self._moves, self._fits, self._emitted
         for byte in piece:
-            step = moves[state].get(byte)
-            if step is None:
-                if len(self._states) > self.most_states:
+            move = moves.get(state << 8 | byte)
+            if move is None:
+                if len(self._states) > self.most or len(moves) > 2 * self.most:
                     held = self._states[state]
                     self._forget()
-                    moves, state = self._moves, self._names.setdefault(held, 1)
-                    self._states += [held] * state
-                    moves += [{}] * state
-                step = moves[state][byte] = self._move(state, byte)
-            state, emitted = step
-            if emitted:
-                out += emitted
-        out += self._states[state][1][-1][1]  # the prefix that ends here
+                    moves, emitted, state = self._moves, self._emitted, self._named(held)
+                move = self._move(state, byte)
+            if move < 0:
+                guard, move, otherwise = self._guarded[-move - 1]
+                known = fits.get(before << 32 | guard)
+                if not (self.fits(before, guard) if known is None else known):
+                    move = otherwise
+                if move is None:
+                    raise ValueError(f"no token for byte {byte}")
+            state = move & low
+            if move > low:
+                tokens = emitted[move >> self.STATE_BITS]
+                out += tokens
+                before = tokens[-1]
+        out += self._states[state][-1][1]  # the prefix that ends here
         return out
 
-    def ids(self, piece: str) -> tuple[int, ...]:
-        """As ``encode``; short pieces are remembered in ``pieces``."""
-        ids = tuple(self.encode(piece.encode()))
+    def ids(self, piece: str) -> bytes:
+        """As ``encode``, as little-endian 32-bit numbers; short pieces are remembered in ``pieces``."""
+        packed = self._older.get(piece)
+        if packed is None:
+            ids = self.encode(piece.encode())
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
-            if len(self.pieces) >= self.most_pieces:
-                self.pieces.clear()
-            self.pieces[piece] = ids
-        return ids
+            if len(self.pieces) >= 2 * self.most:
+                self._older = self.pieces.copy()
+                self.pieces.clear()  # not a new one: callers hold it
+            self.pieces[piece] = packed
+        return packed
 
 
 class Utf8:
@@ -242,31 +284,45 @@ class Decoder:
             raise ValueError("the tokens end inside a character")
 
 
-def _encoder(rank_file: bytes, pattern: str):
-    import regex
+class Encoder:
+    """Whole texts to token ids (``<u4``), and the decoder of the same ranks."""
+
+    #: Characters of a text whose pieces are listed at once.
+    BLOCK = 1 << 20
+
+    def __init__(self, rank_file: bytes, pattern: str):
+        import regex
+
+        self.transducer, self.cut = Transducer(read_ranks(rank_file.splitlines())), regex.compile(pattern)
+        self.decoder = Decoder(self.transducer.ranks)
+        ends = [chr(int(x, 16)) for x in NEWER.split()]
+        self.newer = regex.compile("[" + "".join(f"{a}-{b}" for a, b in zip(ends[::2], ends[1::2])) + "]")
+
+    def pieces(self, text: str) -> Iterator[list[str]]:
+        plain = text
+        if not text.isascii() and self.newer.search(text):
+            plain = self.newer.sub("\uf8ff", text)  # neither letter nor number
+        if plain is text and len(text) <= self.BLOCK:
+            yield self.cut.findall(text)
+        else:
+            for some in itertools.batched(self.cut.finditer(plain), 1 << 16):
+                yield [text[m.start() : m.end()] for m in some]
+
+    def __call__(self, text: str) -> np.ndarray:
+        known, of = self.transducer.pieces.get, self.transducer.ids
+        return np.frombuffer(b"".join([known(p) or of(p) for some in self.pieces(text) for p in some]), "<u4")
 
-    transducer, cut = Transducer(read_ranks(rank_file.splitlines())), regex.compile(pattern)
-    ends = [chr(int(x, 16)) for x in NEWER.split()]
-    newer = regex.compile("[" + "".join(f"{a}-{b}" for a, b in zip(ends[::2], ends[1::2])) + "]")
 
-    def pieces(text: str) -> list[str]:
-        try:
-            text.encode("latin-1")  # a quick way to see that no such character is there
-            return cut.findall(text)
-        except UnicodeEncodeError:
-            if not newer.search(text):
-                return cut.findall(text)
-        plain = newer.sub("\uf8ff", text)  # neither letter nor number
-        return [text[m.start() : m.end()] for m in cut.finditer(plain)]
+_ENCODERS: dict[tuple[bytes, str], Encoder] = {}
 
-    def encode(text: str) -> np.ndarray:
-        ids: list[int] = []
-        known, of = transducer.pieces, transducer.ids
-        for piece in pieces(text):
-            ids += known.get(piece) or of(piece)
-        return np.array(ids, "<u4")
 
-    return encode, transducer
+def encoder(rank_file: bytes, pattern: str) -> Encoder:
+    """One encoder for each worker process, so that its states outlast a task; another rank file takes its place."""
+    key = hashlib.sha256(rank_file).digest(), pattern
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(rank_file, pattern)
+    return _ENCODERS[key]
 
 
 def encode_texts(docs: DataFrame, rank_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -274,7 +330,7 @@ def encode_texts(docs: DataFrame, rank_path: str, pattern: str, id_column: str =
     rank_file = docs.sparkSession.sparkContext.broadcast(open(rank_path, "rb").read())
 
     def make():
-        encode, _ = _encoder(rank_file.value, pattern)
+        encode = encoder(rank_file.value, pattern)
         return lambda row: [(row[0], encode(row[1]).astype(np.int32))]
 
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
@@ -301,8 +357,8 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str, id_column: str = "
     rank_file = docs.sparkSession.sparkContext.broadcast(open(rank_path, "rb").read())
 
     def make():
-        encode, transducer = _encoder(rank_file.value, pattern)
-        decoder = Decoder(transducer.ranks)
+        encode = encoder(rank_file.value, pattern)
+        decoder = encode.decoder
 
         def one(row):
             ids, digest = encode(row[1]), hashlib.sha256()
