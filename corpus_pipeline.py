@@ -2,6 +2,12 @@
 
 Each stage takes and returns whole rows of ``documents`` (the last one returns token
 counts and digests) and works on all that its predecessor kept.
+
+Defined cases: null and empty texts are in no language and go with the first stage; rows
+without an id are kept, mixed and encoded like others; of equal or near texts the row named
+in the stage stays, ties included; repeated rows are copies of each other; further columns
+of ``documents`` pass all stages but the last, whatever their names; an empty table gives
+empty results.
 """
 
 from __future__ import annotations
@@ -14,14 +20,14 @@ from flowlens.llm.common import stored
 from flowlens.llm.exact_dedup import drop_exact
 from flowlens.llm.langid import keep_identified
 from flowlens.llm.mixing import repeat_rows
-from flowlens.llm.near_texts import drop_near_texts
 from flowlens.llm.queries import byte_bpe_of
+from flowlens.llm.simhash import LIMIT, drop_near
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Op 4: documents in no language (``und``) go."""
+    """Op 4: documents in no language (``und``, those without any letter) go; of other documents the classifier rejects none."""
     return keep_identified(docs)
 
 
@@ -31,8 +37,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Op 3: of each group of near copies (5-word shingles, Jaccard 0.8 or more) the document with the smallest id stays."""
-    return drop_near_texts(docs)
+    """Op 3: of each group of near copies (fingerprints over 4-word shingles, at most 4 bits apart) the document with the smallest id stays."""
+    return drop_near(docs, LIMIT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
