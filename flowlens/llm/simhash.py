@@ -61,11 +61,11 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, fp``."""
     return map_rows(
         docs.select(F.col(id_column).cast("long"), utf8(text_column)), "doc_id long, fp long",
-        lambda: lambda row: [(row[0], fingerprint(row[1]))],
+        lambda: lambda row: [(row[0], fingerprint(row[1], shingle))],
     )
 
 
