@@ -17,6 +17,9 @@ from .toxicity import toxicity
 from .secret_scan import secrets
 from .embedding_dedup import near_vectors
 from .pii import personal_data
+from .quality import quality
+from .token_alignment import alignment
+from .vector_codes import compressed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,7 +75,24 @@ def personal_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(_documents(spark, sf_dir))
 
 
+def quality_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compressed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {
+    "op11_attention_quality": quality_of_documents,
+    "op12_equal_average_codes": vector_codes,
+    "op13_token_alignment": token_alignment,
     "op10_personal_data": personal_spans,
     "op5_sorted_projections": near_embeddings,
     "op1_secrets": secret_spans,
@@ -85,7 +105,39 @@ QUERIES: dict[str, Query] = {
     "op8_byte_bpe": byte_bpe,
 }
 
+
+
+def _codes_sql() -> str:
+    """Four rounds over parts (``x``) and entries (``e0`` to ``e4``), every part against every entry."""
+    distance = "list_sum(list_transform(list_zip(x.v, e.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    ranked = "row_number() OVER (PARTITION BY x.rn, x.p ORDER BY {d}, e.k) AS place, {d} AS d"
+    near = f"SELECT x.rn, x.p, x.v, e.k, {ranked.format(d=distance)} FROM x JOIN e{{i}} e ON x.p = e.p QUALIFY place = 1"
+    rounds = []
+    for i in range(4):
+        rounds.append(f"""
+        a{i} AS MATERIALIZED ({near.format(i=i)}),
+        m{i} AS MATERIALIZED (SELECT p, k, list(m ORDER BY c) AS v FROM (
+            SELECT p, k, c, CAST(floor(CAST(sum(v[c]) AS DOUBLE) / count(*)) AS BIGINT) AS m FROM a{i}, (SELECT unnest(range(1, 1 + (SELECT w FROM width))) AS c)
+            GROUP BY ALL) GROUP BY ALL),
+        e{i + 1} AS MATERIALIZED (SELECT e.p, e.k, coalesce(m{i}.v, e.v) AS v FROM e{i} e LEFT JOIN m{i} ON e.p = m{i}.p AND e.k = m{i}.k),""")
+    return f"""
+        WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(x * 1024.0::DOUBLE) AS BIGINT)) AS v,
+                             row_number() OVER (ORDER BY vec_id) - 1 AS rn
+                      FROM embeddings
+                      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        width AS (SELECT max(len(v)) // 4 AS w FROM kept),
+        x AS MATERIALIZED (SELECT rn, p, v[p * w + 1 : (p + 1) * w] AS v FROM kept, width, (SELECT unnest(range(4)) AS p)),
+        e0 AS MATERIALIZED (SELECT p, rn AS k, v FROM x WHERE rn < 256),
+        {"".join(rounds)}
+        a4 AS MATERIALIZED ({near.format(i=4)}),
+        coded AS (SELECT rn, string_agg(printf('%02x', k), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a4 GROUP BY rn),
+        books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM e4)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+        FROM kept JOIN coded USING (rn), books"""
+
+
 ORACLES: dict[str, str] = {
+    "op12_equal_average_codes": _codes_sql(),
     "op9_warc": r"""
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
              g AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS last FROM p)
