@@ -10,7 +10,9 @@ its cut by looking for a chain of plausible record headers. Every reader also
 makes that search for the cut that follows its own and compares the outcome
 with where its own records end. The first reader starts at a known place, so
 agreement at all cuts proves that no packet is lost, doubled or invented; a
-disagreement fails the job, and ``splitBytes=0`` reads the file in one piece.
+disagreement fails the job. ``splitBytes=0`` reads the file in one piece; ``read_captures(..., indexed=True)``
+proves every cut in a job of its own first, which also lets ``.pcapng`` files be cut
+(see ``capture_index``), at the price of reading headers twice.
 """
 
 from __future__ import annotations
@@ -113,8 +115,8 @@ class ClassicFile:
             at, shift = at + RECORD_HEADER + kept, shift + RECORD_HEADER + kept
         return at <= self.size
 
-    def records(self, start: int, end: int) -> Iterator[tuple[int, int, int, bytes]]:
-        """Records that begin in ``[start, end)``; a truncated last one is left out."""
+    def records(self, start: int, end: int, bodies: bool = True) -> Iterator[tuple[int, int, int, bytes]]:
+        """Records that begin in ``[start, end)``; a truncated last one is left out. Without ``bodies`` these are skipped."""
         at = start
         self.handle.seek(at)
         self.stopped_at = self.size  # where nothing can follow
@@ -123,8 +125,12 @@ class ClassicFile:
             if len(header) < RECORD_HEADER:
                 return
             seconds, fraction, kept, _ = struct.unpack(self.order + "IIII", header)
-            raw = self.handle.read(kept)
-            if len(raw) < kept:
+            if bodies:
+                raw = self.handle.read(kept)
+            else:
+                raw = b""
+                self.handle.seek(at + RECORD_HEADER + kept)
+            if (len(raw) if bodies else self.size - at - RECORD_HEADER) < kept:
                 return
             yield at, self.dlt, seconds * 1000 + fraction // self.per_ms, raw
             at += RECORD_HEADER + kept
@@ -157,28 +163,34 @@ def _next_generation(path: str, handle, size: int) -> Iterator[tuple[int, int, i
             at += length
             continue
         if kind == NG_INTERFACE:
-            interfaces.append((struct.unpack(order + "H", body[:2])[0], *_clock(body[8:], order)))
-        elif kind in (NG_ENHANCED, NG_OBSOLETE):
-            number, high, low, kept, _ = struct.unpack(order + ("IIIII" if kind == NG_ENHANCED else "HxxIIII"), body[:20])
-            dlt, ticks, offset_ms = interfaces[number]
-            stamp = (high << 32) | low
-            yield at, dlt, int(stamp // ticks if ticks >= 1 else stamp / ticks) + offset_ms, body[20 : 20 + kept]
-        elif kind == NG_SIMPLE and interfaces:
-            original = struct.unpack(order + "I", body[:4])[0]
-            yield at, interfaces[0][0], 0, body[4 : 4 + original]
+            interfaces.append((struct.unpack(order + "H", body[:2])[0], *clock(body[8:], order)))
+        elif kind in (NG_ENHANCED, NG_OBSOLETE, NG_SIMPLE):
+            record = block_record(kind, body, order, interfaces)
+            if record is not None:
+                yield at, *record
         at += length
 
 
-def _clock(options: bytes, order: str) -> tuple[float, int]:
-    """Ticks in a millisecond, and what is added to all times, in milliseconds."""
-    at, ticks, offset = 0, 1000.0, 0
+def block_record(kind: int, body: bytes, order: str, interfaces: list) -> tuple[int, int, bytes] | None:
+    """Link type, time and bytes of a packet block."""
+    if kind == NG_SIMPLE:
+        original = struct.unpack(order + "I", body[:4])[0]
+        return (interfaces[0][0], 0, body[4 : 4 + original]) if interfaces else None
+    number, high, low, kept, _ = struct.unpack(order + ("IIIII" if kind == NG_ENHANCED else "HxxIIII"), body[:20])
+    dlt, per_second, offset_ms = interfaces[number]
+    return dlt, ((high << 32) | low) * 1000 // per_second + offset_ms, body[20 : 20 + kept]
+
+
+def clock(options: bytes, order: str) -> tuple[int, int]:
+    """Ticks in a second, and what is added to all times, in milliseconds."""
+    at, ticks, offset = 0, 1_000_000, 0
     while at + 4 <= len(options):
         code, length = struct.unpack(order + "HH", options[at : at + 4])
         if code == 0:
             break
         if code == NG_TIME_RESOLUTION and length:
             value = options[at + 4]
-            ticks = (2 ** (value & 0x7F) if value & 0x80 else 10**value) / 1000
+            ticks = 2 ** (value & 0x7F) if value & 0x80 else 10**value
         elif code == NG_TIME_OFFSET and length == 8:
             offset = 1000 * struct.unpack(order + "q", options[at + 4 : at + 12])[0]
         at += 4 + length + (-length % 4)
@@ -220,7 +232,7 @@ class CaptureReader(DataSourceReader):
         following = file.first_record(split.next_cut)
         yield from file.records(start, split.next_cut)
         if file.stopped_at != following:
-            raise ValueError(f"{split.path}: no agreement on the records at byte {split.next_cut}; set splitBytes to 0")
+            raise ValueError(f"{split.path}: no agreement on the records at byte {split.next_cut}; read it with indexed=True")
 
 
 def _batches(path: str, records: Iterator[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +265,14 @@ class CaptureSource(DataSource):
         return CaptureReader(self.options["path"], int(self.options.get("splitBytes", DEFAULT_SPLIT_BYTES)))
 
 
-def read_captures(spark: SparkSession, path: str, split_bytes: int = DEFAULT_SPLIT_BYTES) -> DataFrame:
+def read_captures(spark: SparkSession, path: str, split_bytes: int = DEFAULT_SPLIT_BYTES, indexed: bool | None = None) -> DataFrame:
+    """Packets of a file or a folder. By default ``indexed`` where a ``.pcapng`` file is longer than ``split_bytes``."""
+    if indexed is None:
+        indexed = 0 < split_bytes < max((size for name, size in _list(path) if name.endswith(".pcapng")), default=0)
+    if indexed:
+        from .capture_index import read_indexed
+
+        return read_indexed(spark, path, split_bytes)
     spark.dataSource.register(CaptureSource)
     return spark.read.format("capture").option("splitBytes", split_bytes).load(path)
 

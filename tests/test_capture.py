@@ -25,15 +25,18 @@ def classic(packets, order="<", nano=False):
     return out
 
 
-def next_generation(packets):
+def next_generation(packets, digits=None):
+    """With ``digits``, times have so many decimals of a second."""
+
     def block(kind, body):
         body += b"\0" * (-len(body) % 4)
         return struct.pack("<II", kind, len(body) + 12) + body + struct.pack("<I", len(body) + 12)
 
     out = block(0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1))
-    out += block(1, struct.pack("<HHI", 1, 0, 0))
+    options = b"" if digits is None else struct.pack("<HHB3xHH", 9, 1, digits, 0, 0)
+    out += block(1, struct.pack("<HHI", 1, 0, 0) + options)
     for ts_ms, raw in packets:
-        ticks = ts_ms * 1000
+        ticks = ts_ms * 10 ** (6 if digits is None else digits) // 1000
         out += block(6, struct.pack("<IIIII", 0, ticks >> 32, ticks & 0xFFFFFFFF, len(raw), len(raw)) + raw)
     return out
 
@@ -116,3 +119,66 @@ def test_obsolete_blocks_and_clock_offsets(spark, tmp_path):
     data += block(2, struct.pack("<HHIIII", 0, 0, 0, 1234, len(FRAME), len(FRAME)) + FRAME)
     (tmp_path / "a.pcapng").write_bytes(data)
     assert found(read_captures(spark, str(tmp_path / "a.pcapng"))) == [(1_700_000_001_234, FRAME)]
+
+
+@pytest.mark.parametrize("digits", [3, 6, 9])
+def test_whole_milliseconds_stay_whole(spark, tmp_path, digits):
+    packets = [(1_704_067_200_000 + i, FRAME) for i in range(3000)]
+    (tmp_path / "a.pcapng").write_bytes(next_generation(packets, digits))
+    assert found(read_captures(spark, str(tmp_path))) == packets
+
+
+def many_sections(packets, seed=3):
+    """Sections of either byte order with interfaces declared late, other blocks, and captures inside packets."""
+    r = random.Random(seed)
+    out, order, clocks = b"", "<", []
+
+    def block(kind, body):
+        body += b"\0" * (-len(body) % 4)
+        return struct.pack(order + "II", kind, len(body) + 12) + body + struct.pack(order + "I", len(body) + 12)
+
+    for i, (ts_ms, raw) in enumerate(packets):
+        if i % 90 == 0:
+            order, clocks = r.choice("<>"), []
+            out += block(0x0A0D0D0A, struct.pack(order + "IHHq", 0x1A2B3C4D, 1, 0, -1))
+        if not clocks or r.random() < 0.04:
+            digits = r.choice([3, 6, 9])
+            clocks.append(digits)
+            out += block(1, struct.pack(order + "HHI", len(clocks), 0, 0) + struct.pack(order + "HHB3xHH", 9, 1, digits, 0, 0))
+        if r.random() < 0.1:
+            out += block(0x80000001, bytes(r.randrange(60)))
+        number = r.randrange(len(clocks))
+        ticks = ts_ms * 10 ** clocks[number] // 1000
+        out += block(6, struct.pack(order + "IIIII", number, ticks >> 32, ticks & 0xFFFFFFFF, len(raw), len(raw)) + raw)
+    return out
+
+
+@pytest.mark.parametrize("split", [900, 6_000, 50_000])
+def test_indexed_block_files(spark, tmp_path, split):
+    inner = next_generation([(1_700_000_000_000 + i, FRAME) for i in range(30)])
+    packets = some_packets(300, seed=split)
+    packets = [(t, inner + raw if i % 40 == 7 else raw) for i, (t, raw) in enumerate(packets)]
+    (tmp_path / "a.pcapng").write_bytes(many_sections(packets))
+    (tmp_path / "b.pcapng").write_bytes(next_generation(packets[:20])[:-9])  # cut inside its last block
+    whole = read_captures(spark, str(tmp_path), indexed=False).orderBy("file", "file_offset").collect()
+    df = read_captures(spark, str(tmp_path), split_bytes=split)
+    assert df.rdd.getNumPartitions() > 2
+    assert df.orderBy("file", "file_offset").collect() == whole and len(whole) == 319
+    assert [(r.ts_ms, bytes(r.raw)) for r in whole[:300]] == packets
+
+
+@pytest.mark.parametrize("split", [700, 9_000])
+def test_indexed_classic_files_without_sure_cuts(spark, tmp_path, split):
+    """Packets full of records that look like the file's own."""
+    inner = classic([(1_700_000_000_000 + i, FRAME) for i in range(40)])[24:]
+    packets = [(t, inner if i % 9 == 4 else raw) for i, (t, raw) in enumerate(some_packets(120, seed=split))]
+    (tmp_path / "a.pcap").write_bytes(classic(packets))
+    assert found(read_captures(spark, str(tmp_path), split_bytes=split, indexed=True)) == packets
+
+
+def test_damaged_blocks_are_an_error_with_an_index_too(spark, tmp_path):
+    data = bytearray(next_generation(some_packets(60)))
+    data[len(data) // 2 :] = b"\x05" * (len(data) - len(data) // 2)
+    (tmp_path / "a.pcapng").write_bytes(bytes(data))
+    with pytest.raises(Exception, match="damaged"):
+        read_captures(spark, str(tmp_path), split_bytes=2_000).count()
