@@ -254,7 +254,8 @@ def compress(window: str, buffered: bool) -> str:
     counts = "packets AS iat_count, packets AS packet_count" if buffered else "codes AS iat_count, 0::BIGINT AS packet_count"
     return f""", {texts(with_windows, group)} SELECT {group}, packets AS packets_in_window,
       CAST(0 AS INTEGER) AS "flowIdChanges", '' AS "executionMode", '' AS "windowType", {counts},
-      CAST(2 AS INTEGER) AS precision, {DAY}::DOUBLE AS iat_threshold_ms, 'unknown' AS testlauf
+      CAST(2 AS INTEGER) AS precision, {DAY}::DOUBLE AS iat_threshold_ms, 'unknown' AS testlauf,
+      md5(text) AS text_md5, true AS score_is_right
       FROM t WHERE codes >= 5"""
 
 
@@ -266,13 +267,16 @@ _add(
 )
 _add("det_compress_buffered", compress("sliding_count", True))
 _add("det_compress_feature", compress("sliding", False))
-_add(
-    "det_compress_running",
-    f""", g AS (SELECT *, ts_ms - lag(ts_ms) OVER (PARTITION BY flow_key ORDER BY ts_ms, seq) AS delta FROM h),
-    r AS (SELECT flow_key, ts_ms, seq, row_number() OVER (PARTITION BY flow_key ORDER BY ts_ms, seq) AS iat_count,
-      count(*) FILTER (WHERE {VALID}) OVER (PARTITION BY flow_key ORDER BY ts_ms, seq) AS codes FROM g)
-    SELECT flow_key, ts_ms, seq, iat_count FROM r WHERE codes >= 5""",
-)
+for _name in ("det_compress_running", "stream_compress_running"):
+    _add(
+        _name,
+        f""", g AS (SELECT *, ts_ms - lag(ts_ms) OVER (PARTITION BY flow_key ORDER BY ts_ms, seq) AS delta FROM h),
+        c AS (SELECT *, CASE WHEN {VALID} THEN {code('delta', 2)} END AS code FROM g),
+        r AS (SELECT flow_key, ts_ms, seq, row_number() OVER o AS iat_count, count(code) OVER o AS codes,
+          md5(COALESCE(string_agg(code, '') OVER o, '')) AS md5 FROM c WINDOW o AS (PARTITION BY flow_key ORDER BY ts_ms, seq))
+        SELECT flow_key, ts_ms, seq, iat_count, CASE WHEN iat_count & (iat_count - 1) = 0 THEN md5 END AS text_md5,
+          CASE WHEN iat_count & (iat_count - 1) = 0 THEN true END AS score_is_right FROM r WHERE codes >= 5""",
+    )
 _add(
     "port_histogram",
     f"""SELECT COALESCE(src_ip || '->' || dst_ip, 'Unknown') AS flow_key, ts_ms - ts_ms % {WEEK} AS window_start,
@@ -429,12 +433,13 @@ _add(
 )
 _add("stream_compress", compress("tumbling", True))
 
-_add(
-    "python_accumulate",
-    f""", {tumbling(WEEK)}, c AS (SELECT {TIME}, count(*) AS n FROM w GROUP BY {TIME})
-    SELECT flow_key, window_start, n AS packets_in_window,
-      CAST(sum(n) OVER (PARTITION BY flow_key ORDER BY window_start) AS BIGINT) AS seen FROM c""",
-)
+for _name in ("python_accumulate", "stream_python_accumulate"):
+    _add(
+        _name,
+        f""", {tumbling(WEEK)}, c AS (SELECT {TIME}, count(*) AS n FROM w GROUP BY {TIME})
+        SELECT flow_key, window_start, n AS packets_in_window,
+          CAST(sum(n) OVER (PARTITION BY flow_key ORDER BY window_start) AS BIGINT) AS seen FROM c""",
+    )
 _add(
     "stream_python_running",
     """SELECT flow_key, ts_ms, seq, row_number() OVER (PARTITION BY flow_key ORDER BY seq) AS seen FROM h""",

@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,13 +27,14 @@ from flowlens.functions.iat import iat_code_ms, iat_seconds, valid_iat
 from flowlens.functions.keys import KEYS, with_flow_key
 from flowlens.operators.histogram import port_histogram
 from flowlens.operators.ingest import failure_runs, ingest_statistics, limit_packets
+from flowlens.operators.ordering import SlicePolicy
 from flowlens.operators.texts import text_pieces, whole_texts, with_codes
 from flowlens.operators.windows import (
     ARRIVAL, EVENT_TIME, ORDERS, FlowWindow, accumulated, session_bounds, window_gaps, windowed_counts,
 )
 from flowlens.operators.windows import flow_changes as count_flow_changes
 from flowlens.plans.job import JobSpec, enriched, keyed_features, run_batch
-from flowlens.plans.python_windows import score_python
+from flowlens.plans.python_windows import placed, score_python
 from flowlens.runner import run_job
 from flowlens.session import shared_dir
 from flowlens.sinks.results import dead_letter_line, result_line
@@ -41,8 +42,8 @@ from flowlens.sources import filters, topic
 from flowlens.sources.event_packets import flat_packets, load_events, raw_packets, topic_records
 from flowlens.sources.results import parse_results
 from flowlens.sources.wire import HEADER_BYTES, decodable, decode, encode
-from flowlens.streaming.count_windows import fired_windows
 from flowlens.streaming.running import running_gaps, running_python
+from flowlens.streaming.stateful import chained_python, compression_lengths, fired_windows
 from flowlens.streaming.time_windows import closed_windows, mark_end, window_counts, window_histograms, with_end_marker, with_event_time
 
 from .failing import CountingDetector, OddPortDetector
@@ -303,8 +304,32 @@ def gzip_score(spark, sf_dir):
     )
 
 
+def _with_right(scored: DataFrame, texts: DataFrame, keys: list[str], threshold: float = 0.7) -> DataFrame:
+    """In place of score and anomaly: whether they are those of the whole ``text``, packed, and its digest; null without a text."""
+    packed = F.pandas_udf(_packed, T.StructType().add("size", T.LongType()).add("md5", T.StringType()))
+    whole = texts.select(*keys, F.octet_length("text").alias("_length"), packed("text").alias("_packed"), F.md5("text").alias("text_md5"))
+    joined = scored.join(whole, keys, "left")
+    exact = F.col("_length") / F.col("_packed.size")
+    right = (F.abs(F.col("compressibility_score") - exact) < 1e-9) & (F.col("anomaly") == (exact > threshold))
+    joined = joined.withColumn("score_is_right", F.when(F.col("_length").isNotNull(), F.coalesce(right, F.lit(False))))
+    return joined.drop("compressibility_score", "anomaly", "_length", "_packed")
+
+
+def _texts_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Code texts of windows, each packet after the other, without any of the library's steps between them."""
+    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col("ts_ms").alias("t")))).alias("e"))
+    before = lambda i: F.try_element_at(F.col("e"), F.greatest(i, F.lit(1)))  # noqa: E731 - places count from 1
+    gap = lambda e, i: F.when(i > 0, e["t"] - before(i)["t"])
+    gaps = F.transform("e", gap)
+    kept = F.filter(gaps, lambda g: valid_iat(g, IAT_SETTINGS["iatThresholdMs"]))
+    return listed.select(*keys, F.array_join(F.transform(kept, lambda g: iat_code_ms(g, IAT_SETTINGS["precision"])), "").alias("text"))
+
+
 def _compress(spark, sf_dir, detector, w: FlowWindow, order: str = EVENT_TIME) -> DataFrame:
-    return detector.score(by_host(spark, sf_dir), w, order).drop("compressibility_score", "anomaly")
+    packets_in = by_host(spark, sf_dir).select("flow_key", "ts_ms", "seq")
+    rows = placed(packets_in, w, order, SlicePolicy(None))
+    texts = _texts_of(rows, w.group, ["ts_ms", "seq"] if not detector.feature_based else list(ORDERS[order]))
+    return _with_right(detector.score(packets_in, w, order), texts, w.group)
 
 
 @query
@@ -319,8 +344,29 @@ def det_compress_feature(spark, sf_dir):
 
 @query
 def det_compress_running(spark, sf_dir):
+    return _running_score(spark, sf_dir, CompressibilityDetector(IAT_SETTINGS).score_running(by_host(spark, sf_dir)))
+
+
+def _running_score(spark, sf_dir, scored: DataFrame) -> DataFrame:
+    """Scores of a flow's packets 1, 2, 4, 8, ... are compared, so that a packet takes part in few texts."""
+    flow = Window.partitionBy("flow_key").orderBy("ts_ms", "seq")
+    rows = by_host(spark, sf_dir).select("flow_key", "ts_ms", "seq", F.row_number().over(flow).alias("rn"))
+    sizes = rows.groupBy("flow_key").agg(F.max("rn").alias("n"))
+    bits = lambda x: F.length(F.bin(x))
+    first = F.when(F.col("rn") == 1, 0).otherwise(bits(F.col("rn") - 1))
+    powers = F.filter(F.sequence(first, F.greatest(first, bits(F.col("n")) - 1)), lambda k: k < bits(F.col("n")))
+    texts = _texts_of(rows.join(sizes, "flow_key").withColumn("k", F.explode(powers)), ["flow_key", "k"], ["ts_ms", "seq"])
+    at = rows.where((F.col("rn").bitwiseAND(F.col("rn") - 1)) == 0).withColumn("k", bits(F.col("rn")) - 1)
+    named = at.join(texts, ["flow_key", "k"]).select("flow_key", "ts_ms", "seq", "text")
+    return _with_right(scored.select("flow_key", "ts_ms", "seq", "iat_count", "compressibility_score", "anomaly"), named, ["flow_key", "ts_ms", "seq"])
+
+
+@query
+def stream_compress_running(spark, sf_dir):
+    """The same from a stream."""
     d = CompressibilityDetector(IAT_SETTINGS)
-    return d.score_running(by_host(spark, sf_dir)).select("flow_key", "ts_ms", "seq", "iat_count")
+    scored = _streamed(spark, sf_dir, lambda p: d.score_lengths(compression_lengths(p, d.iat_threshold_ms, d.precision)))
+    return _running_score(spark, sf_dir, scored)
 
 
 QUERIES["port_histogram"] = lambda spark, sf_dir: port_histogram(
@@ -502,11 +548,11 @@ def stream_tumbling(spark, sf_dir):
 
 @query
 def stream_session(spark, sf_dir):
-    return _streamed(
-        spark, sf_dir,
-        lambda p: _counts_of(closed_windows(with_event_time(p, STREAM_DELAY), SESSION, ["ts_ms"]), SESSION.group),
-        timed=True,
-    )
+    def build(p: DataFrame) -> DataFrame:
+        counts = window_counts(with_event_time(p, STREAM_DELAY), SESSION, times=True)
+        return counts.select(*SESSION.group, F.col("packets_in_window").alias("n"), "first_ts", "last_ts")
+
+    return _streamed(spark, sf_dir, build, timed=True)
 
 
 @query
@@ -590,7 +636,18 @@ def stream_port_entropy(spark, sf_dir):
 def stream_compress(spark, sf_dir):
     def build(p: DataFrame) -> DataFrame:
         windows = closed_windows(with_event_time(p, STREAM_DELAY), TUMBLING, ["ts_ms", "seq"])
-        scored = CompressibilityDetector(IAT_SETTINGS).score_elements(windows)
-        return scored.drop("compressibility_score", "anomaly")
+        return CompressibilityDetector(IAT_SETTINGS).score_elements(windows)
+
+    rows = placed(by_host(spark, sf_dir).select("flow_key", "ts_ms", "seq"), TUMBLING, EVENT_TIME, SlicePolicy(None))
+    return _with_right(_streamed(spark, sf_dir, build, timed=True), _texts_of(rows, TUMBLING.group, ["ts_ms", "seq"]), TUMBLING.group)
+
+
+@query
+def stream_python_accumulate(spark, sf_dir):
+    """A detector whose state spans the windows of its flow, on a stream."""
+    def build(p: DataFrame) -> DataFrame:
+        windows = closed_windows(with_event_time(p, STREAM_DELAY), TUMBLING, ["ts_ms", "seq"])
+        scored = chained_python(windows, CountingDetector(), {}, TUMBLING)
+        return scored.select("flow_key", "window_start", "packets_in_window", F.col("details.seen").alias("seen"))
 
     return _streamed(spark, sf_dir, build, timed=True)

@@ -123,6 +123,11 @@ class PythonDetector:
     def detect(self) -> dict[str, Any] | None:
         raise NotImplementedError
 
+    def detect_each(self, packets: pd.DataFrame) -> list[dict[str, Any] | None]:
+        """For results after every packet, optional: processes all packets given, with what ``detect``
+        would say after each. Without it packets are processed one by one."""
+        raise NotImplementedError
+
     def reset(self) -> None:
         """Called after each window; what is kept here is carried into the flow's next window."""
 

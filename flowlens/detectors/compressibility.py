@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.gzip import gzip_length, running_gzip_lengths, score
 from ..operators.ordering import DEFAULT_POLICY, SlicePolicy, with_previous
-from ..operators.texts import compressibility, text_pieces, with_codes, with_window_totals
-from ..operators.windows import EVENT_TIME, ORDERS, FlowWindow, session_bounds, window_gaps
+from ..operators.texts import compressibility, overlapping_lengths, text_pieces, with_codes, with_window_totals
+from ..operators.windows import EVENT_TIME, ORDERS, FlowWindow, session_bounds, shares_panes, window_gaps
 from .base import Detector, register
 from .elements import adjacent_differences, code_list, times_in_order
 
@@ -66,15 +66,21 @@ class CompressibilityDetector(Detector):
     ) -> tuple[DataFrame, list[str]]:
         """Code texts per window and slice, and the columns that identify a window."""
         order = self._order(order)
-        rows, window = window_gaps(packets.select("flow_key", "ts_ms", "seq"), w, order, policy)
+        usable = F.col("ts_ms") >= 0 if self.skips_negative_times else None
+        rows, window = window_gaps(packets.select("flow_key", "ts_ms", "seq"), w, order, policy, usable)
         if self.skips_negative_times:
-            known = (F.col("ts_ms") >= 0) & (F.col("prev_ts") >= 0)
+            known = usable & (F.col("prev_ts") >= 0)
             rows = rows.withColumn("prev_ts", F.when(known, F.col("prev_ts")))
         return text_pieces(with_codes(rows, self.iat_threshold_ms, self.precision), window, ORDERS[order]), window
 
     def score(
         self, packets: DataFrame, w: FlowWindow, order: str = EVENT_TIME, policy: SlicePolicy = DEFAULT_POLICY
     ) -> DataFrame:
+        if shares_panes(w, self._order(order)):
+            usable = F.col("ts_ms") >= 0 if self.skips_negative_times else None
+            lengths = overlapping_lengths(packets, w, self._order(order), policy, self.iat_threshold_ms, self.precision, usable)
+            scored = lengths.where(self._enough()).withColumn("compressibility_score", score(F.col("text_len"), F.col("gzip_len")))
+            return self._finish(scored).select(*w.group, F.col("packets").alias("packets_in_window"), *self.details)
         pieces, window = self.pieces(packets, w, order, policy)
         totals = with_window_totals(pieces, window).where(self._enough())
         if w.counted:
@@ -84,7 +90,8 @@ class CompressibilityDetector(Detector):
 
     def score_elements(self, windows: DataFrame, order: str = EVENT_TIME) -> DataFrame:
         order = self._order(order)
-        df = windows.withColumn("_times", times_in_order("elements", order))
+        timed = F.filter("elements", lambda e: e["ts_ms"] >= 0) if self.skips_negative_times else "elements"
+        df = windows.withColumn("_times", times_in_order(timed, order))
         df = df.withColumn("_gaps", adjacent_differences(F.col("_times")))
         df = df.withColumn("_codes", code_list("_gaps", self.iat_threshold_ms, self.precision))
         df = df.withColumns(
@@ -105,7 +112,10 @@ class CompressibilityDetector(Detector):
             name="prev_ts", number="packets",
         )
         coded = with_codes(rows, self.iat_threshold_ms, self.precision)
-        lengths = running_gzip_lengths(coded.select("flow_key", "ts_ms", "seq", "packets", "code"))
+        return self.score_lengths(running_gzip_lengths(coded.select("flow_key", "ts_ms", "seq", "packets", "code")))
+
+    def score_lengths(self, lengths: DataFrame) -> DataFrame:
+        """Results after each packet from ``packets, codes, text_len, gzip_len`` up to it."""
         scored = lengths.where(self._enough()).withColumn(
             "compressibility_score", score(F.col("text_len"), F.col("gzip_len"))
         )
@@ -114,7 +124,7 @@ class CompressibilityDetector(Detector):
 
 @register
 class FeatureCompressibilityDetector(CompressibilityDetector):
-    """Works on packet times as they arrive; late ones add no code but move the reference time."""
+    """Works on packet times as they arrive; late ones add no code but move the reference time, negative ones are passed over."""
 
     name = "FeatureCompressibilityDetector"
     feature_based = True

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordering import DEFAULT_POLICY, SlicePolicy, with_previous, with_running_sums
-from ..operators.windows import EVENT_TIME, ORDERS, FlowWindow, session_bounds, window_gaps
+from ..operators.windows import EVENT_TIME, ORDERS, FlowWindow, session_bounds, shares_panes, window_gap_sums, window_gaps
 from .base import Detector, register
 from .elements import ordered_gaps
 
@@ -16,6 +16,14 @@ def variation(sd: Column, mean: Column) -> Column:
     return F.when(mean.isNull() | (mean == 0), F.lit(0.0)).otherwise(sd / mean)
 
 
+def exact_variation(gaps: Column, total: Column, squares: Column) -> Column:
+    """From the number of gaps, their sum and the sum of their squares, both whole numbers."""
+    n, wide = gaps.cast("double"), total.cast("decimal(19,0)")
+    mean = F.when(n > 0, total / n)
+    spread = squares * gaps.cast("decimal(18,0)") - wide * wide
+    return variation(F.when(n > 0, F.sqrt(spread.cast("double")) / n), mean)
+
+
 @register
 class InterArrivalCvDetector(Detector):
     name = "InterArrivalCvDetector"
@@ -33,6 +41,10 @@ class InterArrivalCvDetector(Detector):
     def score(
         self, packets: DataFrame, w: FlowWindow, order: str = EVENT_TIME, policy: SlicePolicy = DEFAULT_POLICY
     ) -> DataFrame:
+        if shares_panes(w, order):
+            sums = window_gap_sums(packets, w, order, policy).withColumn("packetCount", F.col("n"))
+            scored = self._finish(sums.withColumn("cv", exact_variation(F.col("n") - 1, F.col("gap_sum"), F.col("gap_squares"))))
+            return scored.select(*w.group, F.col("packetCount").alias("packets_in_window"), *self.details)
         rows, window = window_gaps(packets.select("flow_key", "ts_ms", "seq"), w, order, policy)
         gap = F.col("ts_ms") - F.col("prev_ts")
         aggs = [
@@ -77,11 +89,6 @@ class InterArrivalCvDetector(Detector):
         gap = F.coalesce(F.col("ts_ms") - F.col("prev_ts"), F.lit(0))
         wide = gap.cast("decimal(18,0)")
         rows = with_running_sums(rows, ["flow_key"], ORDERS[order], {"_sum": gap, "_squares": wide * wide}, policy)
-        gaps = (F.col("rn") - 1).cast("double")
-        mean = F.when(gaps > 0, F.col("_sum") / gaps)
-        spread = F.col("_squares") * (F.col("rn") - 1).cast("decimal(18,0)") - F.col("_sum").cast("decimal(19,0)") * F.col(
-            "_sum"
-        ).cast("decimal(19,0)")
-        sd = F.when(gaps > 0, F.sqrt(spread.cast("double")) / gaps)
-        rows = rows.withColumns({"packetCount": F.col("rn"), "cv": variation(sd, mean)})
+        cv = exact_variation(F.col("rn") - 1, F.col("_sum"), F.col("_squares"))
+        rows = rows.withColumns({"packetCount": F.col("rn"), "cv": cv})
         return self._finish(rows).select("flow_key", "ts_ms", "seq", *self.details)

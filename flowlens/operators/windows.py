@@ -207,8 +207,59 @@ def windowed_counts(
 # ------------------------------------------------------------ ordered packets
 
 
+def shares_panes(w: FlowWindow, order: str) -> bool:
+    """Whether windows overlap and are made of whole panes (or blocks of packets) in this order."""
+    if w.counted:
+        return w.step < w.count
+    return w.kind == SLIDING and w.slide_ms <= w.size_ms and order == EVENT_TIME
+
+
+def with_unit(rows: DataFrame, w: FlowWindow) -> DataFrame:
+    """Adds ``_unit``: the start of a packet's pane, or the number of its block (from ``rn``)."""
+    if w.counted:
+        return rows.withColumn("_unit", F.floor((F.col("rn") - 1) / math.gcd(w.count, w.step)))
+    pane = math.gcd(w.size_ms, w.slide_ms)
+    return rows.withColumn("_unit", F.col("ts_ms") - F.pmod(F.col("ts_ms"), F.lit(pane)))
+
+
+def windows_of_units(units: DataFrame, w: FlowWindow) -> DataFrame:
+    """One row per unit and window that holds it."""
+    if not w.counted:
+        return assign_time_windows(units, w, at="_unit")
+    unit = math.gcd(w.count, w.step)
+    first = F.ceil((F.col("_unit") + 1) * unit / w.step)
+    last = F.floor((F.col("_unit") * unit + w.count) / w.step)
+    return units.withColumn("window_no", F.explode(F.sequence(first, last)))
+
+
+def window_gap_sums(
+    packets: DataFrame, w: FlowWindow, order: str = EVENT_TIME, policy: SlicePolicy = DEFAULT_POLICY,
+) -> DataFrame:
+    """``n, gap_sum, gap_squares`` of overlapping windows, with ``first_ts, last_ts, last_rn``.
+
+    A unit (pane or block) is summed once, over the gaps before its packets; windows add
+    up units and take away the gap before their first packet. Only units are repeated for
+    windows, never packets. Squares are decimals, so that taking away is exact.
+    """
+    rows = with_previous(packets.select("flow_key", "ts_ms", "seq"), ["flow_key"], ORDERS[order], "ts_ms", policy, name="prev_ts", number="rn")
+    gap = F.coalesce(F.col("ts_ms") - F.col("prev_ts"), F.lit(0)).cast("decimal(18,0)")
+    rows = with_unit(rows, w).withColumn("_square", gap * gap)
+    units = rows.groupBy("flow_key", "slice", "_unit").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_square").alias("squares"), F.min_by("_square", "rn").alias("lead"),
+        F.min_by("ts_ms", "rn").alias("start"), F.max_by("ts_ms", "rn").alias("end"),
+        F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts"), F.min("rn").alias("first_rn"), F.max("rn").alias("last_rn"),
+    )
+    merged = windows_of_units(units, w).groupBy(*w.group).agg(
+        F.sum("n").alias("n"), (F.sum("squares") - F.min_by("lead", "first_rn")).alias("gap_squares"),
+        (F.max_by("end", "last_rn") - F.min_by("start", "first_rn")).alias("gap_sum"),
+        F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.max("last_rn").alias("last_rn"),
+    )
+    return merged.where(w.closed(F.col("last_rn"))) if w.counted else merged
+
+
 def window_gaps(
     packets: DataFrame, w: FlowWindow, order: str = EVENT_TIME, policy: SlicePolicy = DEFAULT_POLICY,
+    usable: Column | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """Packets with their window and ``prev_ts``, the packet before them in that window.
 
@@ -217,19 +268,22 @@ def window_gaps(
     partitioned by flow and slice, so grouping them by window and slice costs
     no further shuffle.
     Sessions in event-time order are identified by ``session_no``; their bounds
-    follow from the first and last packet.
+    follow from the first and last packet. In order of arrival the packet before is the
+    last ``usable`` one; packets that are not count in their window all the same.
     """
     by, flow = ORDERS[order], ["flow_key"]
     # arrival order equals flow order inside count windows only; elsewhere a late packet
     # may belong to an earlier window than its predecessor
     if order == ARRIVAL and not w.counted:
         placed = assign_sessions(packets, w.size_ms) if w.kind == SESSION else assign_time_windows(packets, w)
-        return with_previous(placed, w.group, by, "ts_ms", policy, name="prev_ts", number="rn"), w.group
+        return with_previous(placed, w.group, by, "ts_ms", policy, name="prev_ts", number="rn", usable=usable), w.group
 
-    rows = with_previous(packets, flow, by, "ts_ms", policy, name="prev_ts", number="rn")
+    passing = usable if order == ARRIVAL else None
+    rows = with_previous(packets, flow, by, "ts_ms", policy, name="prev_ts", number="rn", usable=passing)
     if w.counted:
         rows = assign_count_windows(rows, w)
-        inside = F.col("rn") - 1 > F.col("window_no") * w.step - w.count
+        last = F.col("rn") - 1 if passing is None else F.col("prev_ts_rn")
+        inside = last > F.col("window_no") * w.step - w.count
         return rows.withColumn("prev_ts", F.when(inside, F.col("prev_ts"))), w.group
     if w.kind == SESSION:
         opens = F.coalesce(F.col("ts_ms") - F.col("prev_ts") > w.size_ms, F.lit(True))

@@ -113,10 +113,19 @@ def _per_window(kind: type[PythonDetector], settings: Settings, w: FlowWindow):
     return run
 
 
+def kind_has_batch_form(detector: PythonDetector) -> bool:
+    return type(detector).detect_each is not PythonDetector.detect_each
+
+
 def packet_results(detector: PythonDetector, packets: pd.DataFrame) -> list[tuple]:
     """What the detector says after each packet of one flow; failures are logged and dropped."""
     out = []
     places = zip(packets["flow_key"], packets["ts_ms"], packets["seq"])
+    if kind_has_batch_form(detector):
+        for (flow, ts_ms, seq), details in zip(places, detector.detect_each(packets), strict=True):
+            if details is not None:
+                out.append((flow, int(ts_ms), int(seq), details, None))
+        return out
     for i, (flow, ts_ms, seq) in enumerate(places):
         try:
             detector.process(packets.iloc[i : i + 1])

@@ -14,11 +14,10 @@ from ..detectors import (
 from ..detectors.interarrival import variation
 from ..operators.windows import ARRIVAL, NONE, SESSION
 from ..plans.job import JobSpec, dead_letters, enriched, keyed_features
-from ..plans.python_windows import score_python_elements
 from ..sinks.results import dead_letter_line, replace_lines, result_line, stream_lines
 from ..sources.wire import partition_of
-from .count_windows import fired_windows, running_windows
 from .running import running_gaps, running_python
+from .stateful import chained_python, compression_lengths, fired_windows
 from .time_windows import closed_windows, window_counts, window_histograms, with_event_time
 from .time_windows import PARTITION
 
@@ -37,7 +36,7 @@ def score_stream(packets: DataFrame, spec: JobSpec, delay: str | None = None, pa
         features = features.withColumn(PARTITION, partition_of(F.col("seq")))
     columns = [c for c in features.columns if c not in ("flow_key", PARTITION)]
     if w.kind == NONE:
-        return _per_packet(features, spec, detector, columns)
+        return _per_packet(features, spec, detector)
     if w.counted:
         windows = fired_windows(features, w, columns)
     else:
@@ -50,13 +49,11 @@ def score_stream(packets: DataFrame, spec: JobSpec, delay: str | None = None, pa
             return detector._finish(window_histograms(timed, w))
         windows = closed_windows(timed, w, columns)
     if isinstance(detector, PythonDetector):
-        return score_python_elements(windows, detector, spec.config, w)
+        return chained_python(windows, detector, spec.config, w)
     return detector.score_elements(windows, ARRIVAL)
 
 
-def _per_packet(
-    features: DataFrame, spec: JobSpec, detector: Detector | PythonDetector, columns: list[str]
-) -> DataFrame:
+def _per_packet(features: DataFrame, spec: JobSpec, detector: Detector | PythonDetector) -> DataFrame:
     if isinstance(detector, PacketCountDetector):
         rows = running_gaps(features)
         return rows.select(
@@ -75,7 +72,7 @@ def _per_packet(
         return running_python(features, detector, spec.config)
     if detector.feature_based:
         return detector.score_running(features)  # never fed single packets: an empty stream
-    return detector.score_elements(running_windows(features, columns), ARRIVAL)
+    return detector.score_lengths(compression_lengths(features, detector.iat_threshold_ms, detector.precision))
 
 
 def start(

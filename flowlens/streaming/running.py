@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..detectors.base import PythonDetector, Settings, shippable
 from ..plans.python_windows import PACKET_COLUMNS, packet_results
+from .stateful import FRAME, in_arrival_order
 
 
 def running_gaps(packets: DataFrame) -> DataFrame:
@@ -22,7 +23,7 @@ def running_gaps(packets: DataFrame) -> DataFrame:
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, last, total, squares = state.get if state.exists else (0, 0, 0.0, 0.0)
-        new = pd.concat(list(batches)).sort_values("seq", kind="stable")
+        new = pd.DataFrame(in_arrival_order(batches, ["ts_ms"])).assign(flow_key=key[0])
         gaps = new["ts_ms"].diff()
         if n:
             gaps.iloc[0] = new["ts_ms"].iloc[0] - last
@@ -54,18 +55,21 @@ def running_python(packets: DataFrame, detector: PythonDetector, config: Mapping
     the bytes of its ``snapshot``. Packets count in order of arrival.
     """
     kind, settings = type(detector), Settings(dict(config))
+    columns = [c for c in packets.columns if c not in ("flow_key", "seq")]
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         instance = kind()
         instance.initialize(settings)
         if state.exists:
             instance.restore(bytes(state.get[0]))
-        new = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        out = packet_results(instance, new)
+        new = in_arrival_order(batches, columns)
+        for start in range(0, len(new["seq"]), FRAME):
+            some = pd.DataFrame({c: v[start : start + FRAME] for c, v in new.items()}).assign(flow_key=key[0])
+            out = packet_results(instance, some)
+            if out:
+                yield pd.DataFrame(out, columns=PACKET_COLUMNS)
         state.update((instance.snapshot(),))
         instance.close()
-        if out:
-            yield pd.DataFrame(out, columns=PACKET_COLUMNS)
 
     schema = f"flow_key string, ts_ms bigint, seq bigint, details struct<{kind.schema}>, error string"
     with shippable(kind):

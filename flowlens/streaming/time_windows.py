@@ -49,7 +49,8 @@ def with_event_time(packets: DataFrame, delay: str, partitions: Sequence[int] |
 
     With ``partitions``, all numbers that occur in the column ``topic_partition``,
     each partition is a stream with its own watermark; the source is read once for
-    each. Spark combines watermarks by ``spark.sql.streaming.multipleWatermarkPolicy``,
+    each. A packet of any other partition, or of none, fails the query: it would be in
+    no stream. Spark combines watermarks by ``spark.sql.streaming.multipleWatermarkPolicy``,
     which has to be ``min``, as it is by default.
     """
     timed = packets.withColumn("ts", F.timestamp_millis("ts_ms"))
@@ -57,7 +58,12 @@ def with_event_time(packets: DataFrame, delay: str, partitions: Sequence[int] |
         return timed.withWatermark("ts", delay)
     if packets.sparkSession.conf.get("spark.sql.streaming.multipleWatermarkPolicy") != "min":
         raise ValueError("watermarks per partition need spark.sql.streaming.multipleWatermarkPolicy=min")
-    parts = [timed.where(F.col(PARTITION) == p).withWatermark("ts", delay) for p in partitions]
+    name = F.coalesce(F.col(PARTITION).cast("string"), F.lit("null"))
+    unknown = F.raise_error(F.concat(F.lit("a packet of a topic partition that is not listed: "), name)).cast("boolean")
+    listed = F.coalesce(F.col(PARTITION).isin(*partitions), F.lit(False))
+    first, *others = partitions  # the first stream looks at all packets
+    parts = [timed.where(F.when(listed, F.col(PARTITION) == first).otherwise(unknown)).withWatermark("ts", delay)]
+    parts += [timed.where(F.col(PARTITION) == p).withWatermark("ts", delay) for p in others]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -90,10 +96,11 @@ def closed_windows(packets: DataFrame, w: FlowWindow, columns: list[str]) -> Dat
     return out.select(*w.group, "packets_in_window", "elements")
 
 
-def window_counts(packets: DataFrame, w: FlowWindow) -> DataFrame:
-    """Closed windows with just their packet count: constant state per window."""
+def window_counts(packets: DataFrame, w: FlowWindow, times: bool = False) -> DataFrame:
+    """Closed windows with just their packet count: constant state per window. ``times`` adds ``first_ts, last_ts``."""
     df, window = _cut(packets, w)
-    return _bounds(df.groupBy("flow_key", window).agg(F.count(F.lit(1)).alias("packets_in_window")), w)
+    ends = [F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts")] if times else []
+    return _bounds(df.groupBy("flow_key", window).agg(F.count(F.lit(1)).alias("packets_in_window"), *ends), w)
 
 
 def window_histograms(packets: DataFrame, w: FlowWindow) -> DataFrame:
