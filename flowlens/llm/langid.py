@@ -6,13 +6,14 @@ whole length, and the codeword of least loss wins, each bit weighted by how well
 its classifier does on the training rows. The distance to the runner-up says how
 ambiguous the answer is.
 
-The classifiers are fitted on a sample of at most ``sample_rows`` labelled rows
-(``LanguageModel.fit``); prediction reads every row and the whole of every text.
+The classifiers are fitted on a sample of at most ``sample_rows`` labelled rows, as many
+of each language (``LanguageModel.fit``), and so on as many languages at most, the most frequent ones;
+prediction reads every row and the whole of every text.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0;
 rows without a language are never learned from; a single language is learned as
-such; without any labelled row all texts are ``und``; repeated rows weigh what they
-are; an empty table gives an empty result.
+such; without any labelled row all texts are ``und``; of codewords with equal loss the first language in
+the order of names wins; repeated rows weigh what they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import itertools
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.session import ship_package
@@ -96,14 +97,18 @@ class LanguageModel:
             F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"),
             F.xxhash64("doc_id", "text").alias("draw"),
         )
-        seen = {r.lang: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
+        # a sample has no room for more languages than rows
+        seen = {r.lang: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample_rows).collect()}
         if not seen:
             return cls((), np.ones((0, 1)), np.zeros((FEATURES, 1)), np.zeros(1), np.ones(1))
         each = max(1, sample_rows // len(seen))
-        shares = F.create_map(*[F.lit(x) for lang, n in seen.items() for x in (lang, min(1.0, 2.0 * each / n))])
+        # more than wanted, so that no language goes without; all rows of rare ones
+        shares = F.create_map(*[F.lit(x) for lang, n in seen.items() for x in (lang, min(1.0, (2.0 * each + 32) / n))])
         chance = F.pmod(F.xxhash64("draw"), F.lit(1 << 30)) / float(1 << 30)
         drawn = usable.filter(chance < F.coalesce(F.try_element_at(shares, F.col("lang")), F.lit(0.0)))
-        rows = drawn.select(F.substring("text", 1, sample_chars).alias("text"), "lang", "draw").orderBy("draw", "text", "lang").limit(sample_rows).collect()
+        place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
+        drawn = drawn.select(F.substring("text", 1, sample_chars).alias("text"), "lang", "draw").withColumn("place", place)
+        rows = drawn.filter(F.col("place") <= each).orderBy("draw", "text", "lang").collect()
         languages = tuple(sorted({r.lang for r in rows}))
         y = np.array([languages.index(r.lang) for r in rows])
         x = np.stack([features(r.text) for r in rows]).astype(np.float32)

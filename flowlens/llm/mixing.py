@@ -164,7 +164,7 @@ def repeat_rows(docs: DataFrame, seed: int = 0) -> DataFrame:
     joined = a.join(b, match).select("a.*", F.col("b.rows").alias("flowlens_rows"), F.col("b.copies").alias("flowlens_copies"), F.col("b.more").alias("flowlens_more"))
     single = joined.filter("flowlens_rows = 1").withColumn("flowlens_nth", F.lit(1))
     # rows alike are numbered; after exact dedup there are none
-    key = Window.partitionBy("doc_id", "source", "flowlens_size").orderBy("text")
+    key = Window.partitionBy("doc_id", "source", "flowlens_size").orderBy("text", F.to_json(F.struct(*docs.columns)))
     several = joined.filter("flowlens_rows > 1").withColumn("flowlens_nth", F.row_number().over(key))
     copies = (F.col("flowlens_copies") + (F.col("flowlens_nth") <= F.col("flowlens_more")).cast("long")).cast("int")
     each = single.union(several).withColumn("flowlens_copy", F.explode(F.array_repeat(F.lit(1), copies)))

@@ -8,13 +8,14 @@ windows of the whole text give the document's score through a logistic curve tha
 is calibrated on the learning rows; as only words beyond chance enter the toxic
 dictionary, these rows are not scored much better than others.
 
-Fitted on at most ``SAMPLE_ROWS`` labelled rows of each kind; scoring reads every
-row and every window of it.
+Fitted on at most ``SAMPLE_ROWS`` labelled rows of each kind, of these on ``SAMPLE_CHARS``
+characters each, on ``TRAINING_WINDOWS`` ordinary windows spread evenly over all of them and on typical words of
+``WORD_BYTES`` bytes, the most surprising first; scoring reads every row and every window of it.
 
 Defined cases: null texts count as empty and get the score of a text without windows;
 rows without a label are scored, never learned from; if either kind of label is missing,
 every score is the share of toxic rows (0.0 without any); repeated rows count as they
-are; an empty table gives an empty result.
+are and get equal scores, and a score of just 0.5 is toxic; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ from .common import bounded_sample, map_rows, stored, utf8
 
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 20_000
 WINDOW_WORDS, STRIDE_WORDS = 8, 4
-BASE_BYTES, TOXIC_BYTES = 32 << 10, 4 << 10
+BASE_BYTES, TOXIC_BYTES, WORD_BYTES = 32 << 10, 4 << 10, 32 << 10
+TRAINING_WINDOWS = 60_000
 LEVEL, TOP = 3, 4
 CHANCE = 0.05
 
@@ -56,8 +58,8 @@ def _trained(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def excerpts(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """Of each toxic text the words that are typical of toxic ones.
+def typical_words(toxic: list[bytes], ordinary: list[bytes]) -> dict[bytes, float]:
+    """Words that are typical of toxic texts, and how surprising that is.
 
     A word is typical if the texts that hold it are toxic so much more often than
     others that chance would not bring about one such word in all the vocabulary.
@@ -80,11 +82,36 @@ def excerpts(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
         rest = others * math.log(others / total / (1 - share)) if others else 0.0
         return n * math.log(n / total / share) + rest
 
-    typical = {w for w, n in of_toxic.items() if len(w) > 2 and surprise(n, of_ordinary[w]) >= need}
+    found = {w: surprise(n, of_ordinary[w]) for w, n in of_toxic.items() if len(w) > 2}
+    return {w: s for w, s in found.items() if s >= need}
+
+
+def excerpts(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """Of each toxic text the words that are typical of toxic ones."""
+    return picked_words(toxic, typical_words(toxic, ordinary))
+
+
+def picked_words(toxic: list[bytes], typical: dict[bytes, float]) -> list[bytes]:
     picked = ([w for w in words(t) if w in typical] for t in toxic)
     return [b" " + b" ".join(p) + b" " for p in picked if p]
 
 
+def each_once(typical: dict[bytes, float], size: int) -> bytes:
+    """The typical words, the most surprising ones that ``size`` bytes hold, in alphabetical order."""
+    kept, used = [], 0
+    for word in sorted(typical, key=lambda w: (-typical[w], w)):
+        used += len(word) + 1
+        if used > size:
+            break
+        kept.append(word)
+    return b" ".join(sorted(kept))
+
+
+def evenly(items: list, most: int) -> list:
+    """At most ``most`` items, spread evenly over all."""
+    return items if len(items) <= most else [items[i * len(items) // most] for i in range(most)]
+
+
 @dataclass(frozen=True)
 class Dictionaries:
     ordinary: bytes
@@ -92,11 +119,11 @@ class Dictionaries:
 
     @classmethod
     def train(cls, toxic: list[bytes], ordinary: list[bytes]) -> Dictionaries:
-        typical = excerpts(toxic, ordinary)
-        extra = _trained(typical, TOXIC_BYTES) if typical else b""
-        once = b" ".join(sorted({w for e in typical for w in e.split()}))  # training may leave out rare ones
-        extra = extra + b" " + once[:TOXIC_BYTES] + b" "
-        plain = [w for t in ordinary for w in windows(t, WINDOW_WORDS)][:60_000]
+        typical = typical_words(toxic, ordinary)
+        extra = _trained(picked_words(toxic, typical), TOXIC_BYTES) if typical else b""
+        # training may leave out rare ones
+        extra = extra + b" " + each_once(typical, WORD_BYTES) + b" "
+        plain = evenly([w for t in ordinary for w in windows(t, WINDOW_WORDS)], TRAINING_WINDOWS)
         base = _trained(plain, BASE_BYTES)
         # a filler that no text holds keeps lengths equal: the compressor's own tables are then laid out alike
         return cls(base + b"\x01" * len(extra), base + extra)

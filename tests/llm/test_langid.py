@@ -65,3 +65,41 @@ def test_few_labels(spark):
     none = spark.createDataFrame([(i, t, None) for i, t, _ in documents(("en",), 5)], schema)
     assert {x.lang_pred for x in L.identified(none).collect()} == {"und"}
     assert L.identified(none.limit(0)).collect() == []
+
+
+def test_no_language_is_lost(spark):
+    """Two rows of one language among thousands of others, and as many languages as the sample has room for."""
+    r = random.Random(5)
+    rows = [(i, text(r, "en", 10), "en") for i in range(3000)] + [(5000 + i, text(r, "xx", 10), "xx") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert L.LanguageModel.fit(docs, sample_rows=40, rounds=2).languages == ("en", "xx")
+    many = spark.createDataFrame([(i, f"word {i % 1200}", f"l{i % 1200:04d}") for i in range(2400)], "doc_id long, text string, lang string")
+    assert len(L.LanguageModel.fit(many, rounds=1).languages) == 1200
+
+
+def test_predictions_against_plain_scores(spark):
+    """Gram by gram and language by language, by the same fitted model."""
+    rows = documents(n=100) + [(900, "", "en"), (901, "12 34", "en"), (902, "Ça va, straße?", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.LanguageModel.fit(docs)
+    got = {g.doc_id: g for g in L.predict(docs, model).collect()}
+    primes = [0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35]
+    for i, content, _ in rows[::5] + rows[-3:]:
+        codes = [ord(c) if ord(c) >= 128 or "a" <= c <= "z" else 32 for c in content.lower()]
+        counts = [0] * L.FEATURES
+        for n in L.ORDERS:
+            for at in range(len(codes) - n + 1):
+                key = n
+                for k in range(n):
+                    key = ((key ^ codes[at + k]) * primes[k]) % 2**32
+                    key ^= key >> 15
+                counts[key % L.FEATURES] += 1
+        x = [c**0.5 for c in counts]
+        length = max(sum(v * v for v in x) ** 0.5, 1e-12)
+        used = [k for k, v in enumerate(x) if v]
+        bits = [sum(x[k] / length * model.weights[k, b] for k in used) + model.bias[b] for b in range(model.code.shape[1])]
+        loss = [sum(t * np.log1p(np.exp(-c * v)) for t, c, v in zip(model.trust, word, bits)) for word in model.code]
+        odds = [np.exp(-(value - min(loss)) * len(bits)) for value in loss]
+        letter = any(c.isalpha() for c in content)
+        assert got[i].lang_pred == (model.languages[int(np.argmin(loss))] if letter else "und")
+        assert abs(got[i].score - (max(odds) / sum(odds) if letter else 0.0)) < 1e-5

@@ -59,3 +59,59 @@ def test_copies_do_not_make_words_typical():
     varied = [f"ord{i} vilescum walk".encode() for i in range(60)]
     words = {w for e in X.excerpts(copied + varied, ordinary) for w in e.split()}
     assert words == {b"vilescum"}
+
+
+def test_scores_against_plain_windows(spark):
+    """Every window of every text, one after the other, by the same fitted model."""
+    import zstandard
+
+    rows, labels = documents(300)
+    odd = [(7000, None), (7001, "one"), (7002, "stone " * 500 + "vilescum")]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string")
+    model = X.ToxicityModel.fit(X.learning_rows(docs, spark.createDataFrame(labels, "doc_id long, toxic int")))
+    got = {r.doc_id: r for r in X.score(docs, model).collect()}
+
+    def size(data, dictionary):
+        held = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        packer = zstandard.ZstdCompressor(level=X.LEVEL, dict_data=held, write_checksum=False, write_content_size=False, write_dict_id=False)
+        return len(packer.compress(data))
+
+    for i, text in (rows + odd)[::7] + odd:
+        listed = [w.strip(".,;:!?\"'()|") for w in (text or "").lower().split()]
+        spans, at = [], 0
+        while listed and (at == 0 or at + X.STRIDE_WORDS < len(listed)):
+            spans.append(f" {' '.join(listed[at : at + X.WINDOW_WORDS])} ".encode())
+            at += X.STRIDE_WORDS
+        saved = sorted((size(s, model.dictionaries.ordinary) - size(s, model.dictionaries.toxic) for s in set(spans)), reverse=True)
+        x = [1.0, saved[0], sum(saved[: X.TOP]) / X.TOP, np.log1p(len(saved))] if saved else [1.0, 0, 0, 0]
+        p = 1 / (1 + np.exp(-np.dot(x, model.weights)))
+        assert abs(got[i].score - p) < 1e-9 and got[i].predicted == int(p >= 0.5)
+
+
+def test_bounds_keep_the_strongest_and_spread_evenly():
+    typical = {b"w%04d" % i: float(i) for i in range(3000)}
+    kept = X.each_once(typical, 1200).split()
+    assert kept == sorted(typical, key=typical.get)[-200:]
+    assert X.each_once(typical, 10**6).split() == sorted(typical)
+    assert X.evenly(list(range(10)), 10) == list(range(10))
+    some = X.evenly(list(range(1000)), 7)
+    assert len(some) == 7 and some[-1] > 800 and max(b - a for a, b in zip(some, some[1:])) < 150
+
+
+def test_late_words_are_learned(spark):
+    """Typical words at the end of the alphabet, and more of them than a small dictionary holds."""
+    r = random.Random(4)
+    bad = [c + "".join(r.choice("bcdfghjk") for _ in range(60)) for c in "az" for _ in range(45)]
+    assert sum(map(len, bad)) > X.TOXIC_BYTES
+    rows, labels = [], []
+    for i in range(1600):
+        words = [r.choice(WORDS) for _ in range(60)]
+        if i % 2:
+            at = r.randrange(len(words))
+            words[at:at] = r.sample(bad, 3)
+        rows.append((i, " ".join(words)))
+        labels.append((i, i % 2))
+    late = [(9000 + i, " ".join([r.choice(WORDS) for _ in range(30)] + r.sample(bad[45:], 3))) for i in range(40)]
+    docs = spark.createDataFrame(rows + late, "doc_id long, text string")
+    got = {g.doc_id: g.predicted for g in X.toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert np.mean([got[i] for i, _ in late]) > 0.9
