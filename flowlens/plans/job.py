@@ -9,7 +9,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..detectors import Detector, PythonDetector, Settings, create
@@ -130,10 +130,15 @@ def enriched(scored: DataFrame, spec: JobSpec, detector: Detector | PythonDetect
     Details is a struct; the framework's values are text, as result files have them.
     """
     detector = detector or spec.detector()
+    if isinstance(detector, PythonDetector):
+        scored = scored.where(F.col("error").isNull())
+    return scored.select(*result_columns(scored, spec, detector))
+
+
+def result_columns(scored: DataFrame, spec: JobSpec, detector: Detector | PythonDetector) -> list[Column]:
     now = F.unix_millis(F.current_timestamp())
     if isinstance(detector, PythonDetector):
-        scored = scored.where(F.col("error").isNull()).select("*", "details.*").drop("details", "error")
-        names = [f for f in scored.columns if f not in (*spec.window.group, "packets_in_window", "ts_ms", "seq")]
+        names = [F.col("details")[f].alias(f) for f in scored.schema["details"].dataType.names]
     else:
         names = list(detector.details)
     extra = []  # the names below are fixed values: readers of result files look for them
@@ -150,17 +155,17 @@ def enriched(scored: DataFrame, spec: JobSpec, detector: Detector | PythonDetect
                 F.col("window_start").cast("string").alias("flink_window_start"),
                 F.col("window_end").cast("string").alias("flink_window_end"),
             ]
-    return scored.select(
-        F.lit(detector.name).alias("algorithm"),
-        F.col("flow_key").alias("flow_id"),
-        now.alias("result_ts"),
+    return [
+        F.lit(detector.name).alias("algorithm"), F.col("flow_key").alias("flow_id"), now.alias("result_ts"),
         F.struct(*names, *extra).alias("details"),
-    )
+    ]
 
 
 def dead_letters(scored: DataFrame, w: FlowWindow) -> DataFrame:
     """``error, flow_key`` and ``window_start`` or ``window_type`` of the windows that failed."""
-    failed = scored.where(F.col("error").isNotNull())
-    if w.counted:
-        return failed.select("error", "flow_key", F.lit(w.family).alias("window_type"))
-    return failed.select("error", "flow_key", "window_start")
+    return scored.where(F.col("error").isNotNull()).select(*letter_columns(w))
+
+
+def letter_columns(w: FlowWindow) -> list[Column]:
+    place = F.lit(w.family).alias("window_type") if w.counted else F.col("window_start")
+    return [F.col("error"), F.col("flow_key"), place]

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..detectors import PythonDetector
-from ..plans.job import JobSpec, dead_letters, enriched, parallel
+from ..detectors import Detector, PythonDetector
+from ..plans.job import JobSpec, letter_columns, parallel, result_columns
+from .rolling import rolling
 
 
 def result_line(results: DataFrame) -> DataFrame:
@@ -48,41 +48,42 @@ def write_lines(
 
 def replace_lines(lines: DataFrame, base: str | None, algorithm: str, batch: int) -> str:
     """As ``write_lines`` for one micro-batch, whose files take the place of those of an earlier attempt."""
-    path, spark = _folder(base, algorithm), lines.sparkSession
-    staging = f"{path}/_batch-{batch}"  # readers pass over names with an underscore
-    lines.write.mode("overwrite").text(staging)
-    jvm = spark._jvm.org.apache.hadoop.fs
-    root = jvm.Path(path)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    for old in files.globStatus(jvm.Path(root, f"batch-{batch:012d}-*")) or []:
-        files.delete(old.getPath(), False)
-    for k, new in enumerate(files.globStatus(jvm.Path(f"{staging}/part-*")) or []):
-        files.rename(new.getPath(), jvm.Path(root, f"batch-{batch:012d}-{k:05d}.txt"))
-    files.delete(jvm.Path(staging), True)
+    path = _folder(base, algorithm)
+    rows = lines.select(F.lit(False).alias("failed"), "value")
+    rolling(rows.write, rows, path).option("batch", str(batch)).mode("append").save()
     return path
 
 
+def both_lines(scored: DataFrame, spec: JobSpec, detector: Detector | PythonDetector) -> DataFrame:
+    """``failed, value``: the line of each result, and of each failure, in one pass over the rows."""
+    algorithm, flow, at, details = result_columns(scored, spec, detector)
+    result = F.to_json(F.struct(algorithm.alias("algorithmName"), flow.alias("flowId"), at.alias("timestamp"), details.alias("analysisDetails")))
+    if not isinstance(detector, PythonDetector):
+        return scored.select(F.lit(False).alias("failed"), result.alias("value"))
+    failed = F.col("error").isNotNull()
+    if not spec.window.columns:  # per packet there are no dead letters
+        return scored.where(~failed).select(F.lit(False).alias("failed"), result.alias("value"))
+    error, key, place = letter_columns(spec.window)
+    letter = F.to_json(F.struct(error, key.alias("key"), place))
+    return scored.select(failed.alias("failed"), F.when(failed, letter).otherwise(result).alias("value"))
+
+
 def write_job(
-    scored: DataFrame, spec: JobSpec, output: str | None, dead_letter_path: str | None = None, **options
+    scored: DataFrame, spec: JobSpec, output: str | None, dead_letter_path: str | None = None, single_file: bool = False,
+    max_records: int | None = None, roll_bytes: int | None = None, roll_seconds: float | None = None,
 ) -> None:
-    """Writes a batch job's results and, where a path is given, its dead letters.
+    """Writes a batch job's results and, where a path is given, its dead letters, in one pass.
 
-    Only user-written detectors can fail; their rows are kept on disk between the two writes.
+    Files are rolled by number, size and age; all of them appear when the job has ended.
     """
     detector = spec.detector()
-    _folder(output, detector.name)
-    fallible = isinstance(detector, PythonDetector)
-    if fallible:
-        scored = scored.persist(StorageLevel.DISK_ONLY)
-    try:
-        with parallel(scored.sparkSession, spec):
-            write_lines(result_line(enriched(scored, spec, detector)), output, detector.name, **options)
-            if fallible and dead_letter_path and spec.window.columns:
-                letters = dead_letter_line(dead_letters(scored, spec.window))
-                write_lines(letters, dead_letter_path, detector.name)
-    finally:
-        if fallible:
-            scored.unpersist()
+    results = _folder(output, detector.name)
+    failures = _folder(dead_letter_path, detector.name) if dead_letter_path else None
+    lines = both_lines(scored, spec, detector)
+    with parallel(scored.sparkSession, spec):
+        lines = lines.coalesce(1) if single_file else lines
+        limits = {"roll_records": max_records, "roll_bytes": roll_bytes, "roll_seconds": roll_seconds}
+        rolling(lines.write, lines, results, failures, **limits).mode("append").save()
 
 
 def stream_lines(
@@ -99,3 +100,14 @@ def stream_lines(
 def details_variant(details: Column) -> Column:
     """Details as VARIANT, so that results of different detectors fit one table."""
     return F.parse_json(F.to_json(details))
+
+
+def stream_job(
+    scored: DataFrame, spec: JobSpec, output: str | None, dead_letter_path: str | None, checkpoint: str, interval: str = "30 seconds"
+) -> DataStreamWriter:
+    """Stream writer for results and dead letters; a micro-batch's files are rolled alike and appear together."""
+    detector = spec.detector()
+    failures = _folder(dead_letter_path, detector.name) if dead_letter_path else None
+    lines = both_lines(scored, spec, detector)
+    writer = rolling(lines.writeStream, lines, _folder(output, detector.name), failures).outputMode("append")
+    return writer.option("checkpointLocation", checkpoint).trigger(processingTime=interval)

@@ -13,8 +13,8 @@ from ..detectors import (
 )
 from ..detectors.interarrival import variation
 from ..operators.windows import ARRIVAL, NONE, SESSION
-from ..plans.job import JobSpec, dead_letters, enriched, keyed_features
-from ..sinks.results import dead_letter_line, replace_lines, result_line, stream_lines
+from ..plans.job import JobSpec, enriched, keyed_features
+from ..sinks.results import result_line, stream_job, stream_lines
 from ..sources.wire import partition_of
 from .running import running_gaps, running_python
 from .stateful import chained_python, compression_lengths, fired_windows
@@ -82,23 +82,12 @@ def start(
     """Starts the job: results to ``output/<detector>``, failures to ``dead_letter_path/<detector>``.
 
     Results of built-in detectors go through the file sink, which commits files
-    with the checkpoint. A user-written detector has two outputs per
-    micro-batch; their files bear its number, and a batch that runs again replaces them.
+    with the checkpoint. A user-written detector has results and failures; their files are
+    written in one pass, bear the micro-batch's number, and a batch that runs again replaces them.
     """
     detector = spec.detector()
     scored = score_stream(packets, spec, delay, partitions)
     if not isinstance(detector, PythonDetector):
         lines = result_line(enriched(scored, spec, detector))
         return stream_lines(lines, output, detector.name, checkpoint, interval).start()
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        try:
-            replace_lines(result_line(enriched(batch, spec, detector)), output, detector.name, number)
-            if dead_letter_path and spec.window.columns:
-                replace_lines(dead_letter_line(dead_letters(batch, spec.window)), dead_letter_path, detector.name, number)
-        finally:
-            batch.unpersist()
-
-    writer = scored.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return writer.trigger(processingTime=interval).start()
+    return stream_job(scored, spec, output, dead_letter_path, checkpoint, interval).start()
