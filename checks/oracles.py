@@ -296,6 +296,10 @@ def port_statistics(group: str) -> str:
       FROM b2 GROUP BY {group})"""
 
 
+for _query, _window in (("ports_sketched", "sliding"), ("ports_sketched_count", "sliding_count")):
+    _with, _group = WINDOWS[_window]
+    _add(_query, f""", {_with}, {port_statistics(_group)} SELECT {_group}, packet_count, skipped_count, unique_ports FROM d""")
+
 PORT_COLUMNS = "packet_count, skipped_count, unique_ports, round(h, 6) + 0.0::DOUBLE AS entropy_score"
 
 

@@ -25,7 +25,7 @@ from flowlens.functions.gzip import LEVEL
 from flowlens.functions.headers import HEADER_COLUMNS, with_headers
 from flowlens.functions.iat import iat_code_ms, iat_seconds, valid_iat
 from flowlens.functions.keys import KEYS, with_flow_key
-from flowlens.operators.histogram import port_histogram
+from flowlens.operators.histogram import port_histogram, sketched_ports
 from flowlens.operators.ingest import failure_runs, ingest_statistics, limit_packets
 from flowlens.operators.ordering import SlicePolicy
 from flowlens.operators.texts import text_pieces, whole_texts, with_codes
@@ -347,6 +347,13 @@ def det_compress_running(spark, sf_dir):
     return _running_score(spark, sf_dir, CompressibilityDetector(IAT_SETTINGS).score_running(by_host(spark, sf_dir)))
 
 
+#: The operators of two queries alone, for timing: without packing every text again to check the scores.
+UNCHECKED: dict[str, Query] = {
+    "det_compress_buffered": lambda spark, sf_dir: CompressibilityDetector(IAT_SETTINGS).score(by_host(spark, sf_dir), SLIDING_COUNT),
+    "det_compress_feature": lambda spark, sf_dir: FeatureCompressibilityDetector(IAT_SETTINGS).score(by_host(spark, sf_dir), SLIDING, ARRIVAL),
+}
+
+
 def _running_score(spark, sf_dir, scored: DataFrame) -> DataFrame:
     """Scores of a flow's packets 1, 2, 4, 8, ... are compared, so that a packet takes part in few texts."""
     flow = Window.partitionBy("flow_key").orderBy("ts_ms", "seq")
@@ -374,6 +381,10 @@ QUERIES["port_histogram"] = lambda spark, sf_dir: port_histogram(
 ).select(*TUMBLING.group, "dest_port", "n")
 
 
+QUERIES["ports_sketched"] = lambda spark, sf_dir: sketched_ports(by_host(spark, sf_dir), SLIDING)
+QUERIES["ports_sketched_count"] = lambda spark, sf_dir: sketched_ports(by_host(spark, sf_dir), SLIDING_COUNT)
+
+
 def _entropy_query(w: FlowWindow, minimum: int) -> Query:
     def run(spark, sf_dir):
         d = PortEntropyDetector({"minPackets": minimum, "entropyThreshold": 3.0})

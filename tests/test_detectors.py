@@ -10,6 +10,7 @@ from flowlens.detectors import CompressibilityDetector, FeatureCompressibilityDe
 from flowlens.functions.gzip import gzip_size
 from flowlens.functions.iat import code_of, iat_code_ms
 from flowlens.operators import ordering, texts
+from flowlens.operators.histogram import port_histogram, sketched_ports, window_entropy
 from flowlens.operators.ordering import SlicePolicy, with_slices
 from flowlens.operators.windows import ARRIVAL, EVENT_TIME, FlowWindow
 
@@ -185,3 +186,20 @@ def test_codes_outside_of_plans(spark):
     for precision in (0, 1, 2, 3, 9):
         found = df.select("g", iat_code_ms(F.col("g"), precision).alias("c")).collect()
         assert all(code_of(r.g, precision) == r.c for r in found)
+
+
+@pytest.mark.parametrize("w", [
+    FlowWindow("sliding", size_ms=8000, slide_ms=2000), FlowWindow("sliding_count", count=6000, slide_count=2000),
+    FlowWindow("tumbling", size_ms=5000), FlowWindow("tumbling_count", count=5000), FlowWindow("session", size_ms=50),
+])
+def test_sketched_ports(spark, w):
+    """Within five standard errors of the exact count, with thousands of ports in a window."""
+    rows = spark.range(30_000, numPartitions=4).select(
+        F.lit("a").alias("flow_key"), F.col("id").alias("ts_ms"), F.col("id").alias("seq"),
+        F.when(F.col("id") % 10 == 0, -1).otherwise(F.pmod(F.xxhash64("id"), F.lit(50_000))).cast("int").alias("dest_port"),
+    )
+    exact = {r[:-3]: r[-3:] for r in map(tuple, window_entropy(port_histogram(rows, w), w).drop("entropy_score").collect())}
+    got = {r[:-3]: r[-3:] for r in map(tuple, sketched_ports(rows, w).collect())}
+    assert got.keys() == exact.keys() and len(got) >= 1
+    for k, (packets, skipped, unique) in exact.items():
+        assert got[k][:2] == (packets, skipped) and abs(got[k][2] - unique) <= 5 * 0.0163 * unique + 1
