@@ -7,8 +7,8 @@ attention (tanh of one projection times the logistic of another) weighs the pass
 and the weighted mean of their codes is scored. All weights are learned together from
 document labels by gradient descent.
 
-Fitted on at most ``SAMPLE_ROWS`` labelled documents of either label, of each at most
-``SAMPLE_PASSAGES`` passages spread evenly over its text; scoring reads every row and every
+Fitted on at most ``SAMPLE_ROWS`` labelled documents of either label (where ids repeat, on four times
+as many rows at most), of each at most ``SAMPLE_PASSAGES`` passages spread evenly over its text; scoring reads every row and every
 passage. Attention is a sum over passages, so long texts pass block by block.
 
 Defined cases: null texts count as empty; a text without words is one passage without

@@ -25,6 +25,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,9 @@ class Tokenizers:
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_file)
         letters = byte_letters()
         held = json.loads(a_file)
+        #: a byte-level vocabulary without a normaliser has every byte and changes none
+        cut = held["pre_tokenizer"] or {}
+        self.a_keeps_bytes = not held["normalizer"] and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space")
         special = {t["id"] for t in held["added_tokens"]}
         self.a_bytes = [b""] * self.a.get_vocab_size(with_added_tokens=True)
         for token, i in self.a.get_vocab(with_added_tokens=True).items():
@@ -94,7 +98,9 @@ class Tokenizers:
                 y = [i for e in b[at : at + len(some)] for i in e]
             at += len(some)
             data = f" {text}".encode()
-            same = text and b"".join([self.a_bytes[i] for i in x]) == data == b"".join([self.b_bytes[i] for i in y])
+            same = text and data == b"".join([self.b_bytes[i] for i in y])
+            if same and not self.a_keeps_bytes:
+                same = data == b"".join([self.a_bytes[i] for i in x])
             out.append((x, y) if same else ([], []))
         return out
 
@@ -129,13 +135,14 @@ class Alignment:
     def __init__(self, held: Tokenizers, encoded: list[tuple[list[int], list[int]]]):
         self.n = len(encoded)
         self.n_a, self.n_b = (np.array([len(e[k]) for e in encoded], np.int64) for k in (0, 1))
-        self.a, self.b = (np.array([i for e in encoded for i in e[k]], np.int64) for k in (0, 1))
+        self.a, self.b = (np.fromiter(chain.from_iterable(e[k] for e in encoded), np.int64, int(n.sum())) for k, n in ((0, self.n_a), (1, self.n_b)))
         self.doc_a, self.doc_b = np.repeat(np.arange(self.n), self.n_a), np.repeat(np.arange(self.n), self.n_b)
         a_end, b_end = np.cumsum(held.a_size[self.a]), np.cumsum(held.b_size[self.b])
-        common = np.intersect1d(a_end, b_end, assume_unique=True)
-        self.of_a, self.of_b = np.searchsorted(common, a_end), np.searchsorted(common, b_end)
-        self.a_first = np.searchsorted(self.of_a, np.arange(len(common) + 1))
-        self.b_first = np.searchsorted(self.of_b, np.arange(len(common) + 1))
+        at = np.searchsorted(b_end, a_end)  # never beyond: both end with the same byte
+        a_cut = np.flatnonzero(b_end[at] == a_end) + 1 if len(a_end) else np.zeros(0, np.int64)
+        self.a_first, self.b_first = np.append(0, a_cut), np.append(0, at[a_cut - 1] + 1)
+        common = a_end[a_cut - 1]
+        self.of_a, self.of_b = (np.repeat(np.arange(len(common)), np.diff(f)) for f in (self.a_first, self.b_first))
         self.groups = np.bincount(self.doc_a[self.a_first[:-1]], minlength=self.n) if len(common) else np.zeros(self.n, np.int64)
         # one token on either side with the same bytes, as the map has it
         single = (np.diff(self.a_first) == 1) & (np.diff(self.b_first) == 1)
