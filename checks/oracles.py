@@ -163,6 +163,7 @@ WINDOWS = {
 
 for _name, (_with, _group) in WINDOWS.items():
     _add(f"win_{_name}", f""", {_with} SELECT {_group}, {SUMMARY} FROM w GROUP BY {_group}""")
+WINDOWS["sliding_blocks"] = (counted(40, 20), COUNT)
 
 _add(
     "win_none_running",
@@ -267,6 +268,8 @@ _add(
 )
 _add("det_compress_buffered", compress("sliding_count", True))
 _add("det_compress_feature", compress("sliding", False))
+_add("det_compress_sliding", compress("sliding", True))
+_add("det_compress_blocks", compress("sliding_blocks", True))
 for _name in ("det_compress_running", "stream_compress_running"):
     _add(
         _name,

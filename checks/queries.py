@@ -342,6 +342,18 @@ def det_compress_feature(spark, sf_dir):
     return _compress(spark, sf_dir, FeatureCompressibilityDetector(IAT_SETTINGS), SLIDING, ARRIVAL)
 
 
+@query
+def det_compress_sliding(spark, sf_dir):
+    """Sliding windows in event-time order, which share the texts of their panes."""
+    return _compress(spark, sf_dir, CompressibilityDetector(IAT_SETTINGS), SLIDING)
+
+
+@query
+def det_compress_blocks(spark, sf_dir):
+    """Sliding count windows that share the texts of blocks of 20 packets."""
+    return _compress(spark, sf_dir, CompressibilityDetector(IAT_SETTINGS), FlowWindow("sliding_count", count=40, slide_count=20))
+
+
 @query
 def det_compress_running(spark, sf_dir):
     return _running_score(spark, sf_dir, CompressibilityDetector(IAT_SETTINGS).score_running(by_host(spark, sf_dir)))

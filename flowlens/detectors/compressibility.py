@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.gzip import gzip_length, running_gzip_lengths, score
 from ..operators.ordering import DEFAULT_POLICY, SlicePolicy, with_previous
-from ..operators.texts import compressibility, overlapping_lengths, text_pieces, with_codes, with_window_totals
-from ..operators.windows import EVENT_TIME, ORDERS, FlowWindow, session_bounds, shares_panes, window_gaps
+from ..operators.texts import compressibility, overlapping_lengths, shares_texts, text_pieces, with_codes, with_window_totals
+from ..operators.windows import EVENT_TIME, ORDERS, FlowWindow, session_bounds, window_gaps
 from .base import Detector, register
 from .elements import adjacent_differences, code_list, times_in_order
 
@@ -76,7 +76,7 @@ class CompressibilityDetector(Detector):
     def score(
         self, packets: DataFrame, w: FlowWindow, order: str = EVENT_TIME, policy: SlicePolicy = DEFAULT_POLICY
     ) -> DataFrame:
-        if shares_panes(w, self._order(order)):
+        if shares_texts(w, self._order(order)):
             usable = F.col("ts_ms") >= 0 if self.skips_negative_times else None
             lengths = overlapping_lengths(packets, w, self._order(order), policy, self.iat_threshold_ms, self.precision, usable)
             scored = lengths.where(self._enough()).withColumn("compressibility_score", score(F.col("text_len"), F.col("gzip_len")))

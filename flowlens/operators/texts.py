@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from ..functions.gzip import gzip_length_of_groups, gzip_lengths_of_overlapping, score
 from ..functions.iat import iat_code_ms, valid_iat
 from .ordering import SlicePolicy, with_previous
-from .windows import ORDERS, FlowWindow, with_unit
+from .windows import ORDERS, FlowWindow, shares_panes, with_unit
 
 PIECE_ROWS = 8_192
+#: Count windows share the texts of blocks of at least so many packets; smaller ones are no shorter than their packets.
+SHARED_BLOCK = 16
 #: Neighbouring windows that one task packs at a time; a compressor holds about 256 KB.
 OPEN_WINDOWS = 64
 
@@ -46,6 +48,11 @@ def text_pieces(coded: DataFrame, window: list[str], order: tuple[str, ...]) ->
     return coded.groupBy(*window, "slice", block).agg(*aggs).drop("slice", "_block")
 
 
+def shares_texts(w: FlowWindow, order: str) -> bool:
+    """Whether overlapping windows gain from texts that are built once per pane or block."""
+    return shares_panes(w, order) and (not w.counted or math.gcd(w.count, w.step) >= SHARED_BLOCK)
+
+
 def overlapping_lengths(
     packets: DataFrame, w: FlowWindow, order: str, policy: SlicePolicy, threshold_ms: float, precision: int,
     usable: Column | None = None,

@@ -154,6 +154,7 @@ def test_slices_beyond_the_quantiles(spark, monkeypatch):
 def test_scores_of_overlapping_windows(spark, monkeypatch, policy, kind, w, order):
     """Every window's text put together packet by packet and packed as a whole."""
     monkeypatch.setattr(texts, "PIECE_ROWS", 5)
+    monkeypatch.setattr(texts, "SHARED_BLOCK", 1)
     monkeypatch.setattr(texts, "OPEN_WINDOWS", 8)
     rows = some_packets(n=150, seed=5)
     d = kind({"minIats": 1, "iatThresholdMs": 1000})
