@@ -3,7 +3,8 @@
 A flow's state is a list or a map in the state store (RocksDB): a micro-batch appends to it, or replaces
 the one block it adds to, and removes what no later window can reach. What is written follows the new
 packets, not what a flow holds. Packets of a flow in one micro-batch are put in order of arrival as
-plain arrays of the columns in use; results leave in frames of bounded size.
+plain arrays of the columns in use; results leave in frames of bounded size, those of user-written detectors
+as rows.
 """
 
 from __future__ import annotations
@@ -11,18 +12,21 @@ from __future__ import annotations
 import logging
 from bisect import insort
 from collections.abc import Iterator, Mapping
+from operator import itemgetter
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..detectors.base import PythonDetector, Settings, shippable
 from ..functions.gzip import RunningLength
 from ..functions.iat import code_of
 from ..operators.windows import FlowWindow
+from ..plans.python_windows import as_in_frames, window_packets
 
 log = logging.getLogger(__name__)
 
@@ -175,38 +179,39 @@ class CompressionLengths(StatefulProcessor):
 
 class ChainedWindows(StatefulProcessor):
     """A user-written detector over the windows of a flow, one after the other; what it keeps beyond
-    ``reset`` is kept from window to window as the bytes of its ``snapshot``."""
+    ``reset`` is kept from window to window as the bytes of its ``snapshot``.
 
-    def __init__(self, kind: type[PythonDetector], settings: Settings, columns: list[str]):
-        self.kind, self.settings, self.columns = kind, settings, columns
+    Windows come and results leave as rows: a flow with a few windows is not worth a frame.
+    """
+
+    def __init__(self, kind: type[PythonDetector], settings: Settings, columns: list[str], packet: T.StructType):
+        self.kind, self.settings, self.columns, self.packet = kind, settings, columns, packet
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getValueState("snapshot", "state binary")
+        changes = {f.name: as_in_frames(f.dataType) for f in self.packet}
+        self.changes = {c: change for c, change in changes.items() if change}
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         detector = self.kind()
         detector.initialize(self.settings)
-        if self.held.exists():
-            detector.restore(bytes(self.held.get()[0]))
-        windows = sorted((r for piece in rows for r in piece.itertuples(index=False)), key=lambda r: getattr(r, self.columns[0]))
-
-        def results() -> Iterator[tuple]:
-            for row in windows:
-                details, error = None, None
-                try:
-                    packets = pd.DataFrame([e if isinstance(e, dict) else e.asDict() for e in row.elements])
-                    detector.process(packets.assign(flow_key=key[0]).sort_values("seq"))
-                    details = detector.detect()
-                except Exception as e:  # noqa: BLE001 - a failed window becomes a dead letter
-                    error = str(e)
-                try:
-                    detector.reset()
-                except Exception:  # noqa: BLE001
-                    log.exception("reset failed for %s", self.kind.name)
-                if details is not None or error is not None:
-                    yield key[0], *[getattr(row, c) for c in self.columns], details, error
-
-        yield from frames(results(), ["flow_key", *self.columns, "details", "error"])
+        held = self.held.get()  # none for a new flow
+        if held is not None:
+            detector.restore(bytes(held[0]))
+        result = Row("flow_key", *self.columns, "details", "error")
+        for window in sorted(rows, key=itemgetter(self.columns[0])):
+            details, error = None, None
+            try:
+                detector.process(window_packets(window["elements"], key[0], self.changes))
+                details = detector.detect()
+            except Exception as e:  # noqa: BLE001 - a failed window becomes a dead letter
+                error = str(e)
+            try:
+                detector.reset()
+            except Exception:  # noqa: BLE001
+                log.exception("reset failed for %s", self.kind.name)
+            if details is not None or error is not None:
+                yield result(key[0], *[window[c] for c in self.columns], details, error)
         self.held.update((detector.snapshot(),))
         detector.close()
 
@@ -232,8 +237,12 @@ def compression_lengths(packets: DataFrame, threshold_ms: float, precision: int)
 
 def chained_python(windows: DataFrame, detector: PythonDetector, config: Mapping[str, Any], w: FlowWindow) -> DataFrame:
     """Results of a user-written detector over closed windows; its state spans the windows of a flow."""
-    kind, columns = type(detector), [*w.columns, "packets_in_window"]
+    kind, columns, packet = type(detector), [*w.columns, "packets_in_window"], windows.schema["elements"].dataType.elementType
     bounds = ", ".join(f"{c} bigint" for c in columns)
     schema = f"flow_key string, {bounds}, details struct<{kind.schema}>, error string"
+    keep_state_in_rocksdb(windows.sparkSession)
     with shippable(kind):
-        return transformed(windows, ChainedWindows(kind, Settings(dict(config)), columns), schema)
+        return windows.groupBy("flow_key").transformWithState(
+            statefulProcessor=ChainedWindows(kind, Settings(dict(config)), columns, packet),
+            outputStructType=schema, outputMode="Append", timeMode="None",
+        )

@@ -1,17 +1,21 @@
 """Keyed state on streams: several micro-batches against plain Python over all packets."""
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from checks.failing import CountingDetector
 from flowlens.detectors import CompressibilityDetector, PythonDetector
+from flowlens.detectors.base import Settings
 from flowlens.functions.gzip import gzip_size
 from flowlens.functions.iat import code_of
-from flowlens.operators.windows import FlowWindow
-from flowlens.plans.python_windows import packet_results
+from flowlens.operators.windows import ARRIVAL, FlowWindow
+from flowlens.plans.python_windows import packet_results, score_python
 from flowlens.streaming import stateful
 from flowlens.streaming.stateful import chained_python, compression_lengths, fired_windows
 from flowlens.streaming.time_windows import PARTITION, window_counts, with_event_time
@@ -179,3 +183,60 @@ def test_batch_form_of_detectors():
     assert packet_results(one, packets) == packet_results(many, packets) and BatchCounter.calls == 1
     with pytest.raises(NotImplementedError):
         PythonDetector().detect_each(packets)
+
+
+class Described(PythonDetector):
+    """Says what it is handed."""
+
+    name, schema = "Described", "said: string"
+
+    def process(self, packets):
+        self.said = "; ".join(f"{c} {packets[c].dtype} {[plain(v) for v in packets[c]]}" for c in sorted({*packets.columns} - {"rn", "window_no"}))
+
+    def detect(self):
+        return {"said": self.said}
+
+
+def plain(value):
+    return f"array {value.tolist()}" if isinstance(value, np.ndarray) else value
+
+
+def test_frames_of_stream_windows_are_like_those_of_batches(spark, tmp_path):
+    kinds = [
+        "timestamp_millis(id * 1000) AS t", "map('a', id) AS m", "array(id, id + 1) AS l", "array('x') AS texts", "array(array(id)) AS deep",
+        "encode('x', 'utf-8') AS b", "if(id IN (2, 3), null, id) AS n", "if(id IN (4, 5), null, 's') AS s", "named_struct('u', map('t', array(timestamp_millis(id)))) AS st",
+        "id > 2 AS bo", "cast(id AS decimal(10, 2)) AS d", "date'2024-01-01' AS day", "9007199254740993 + id AS big",
+    ]
+    packets = spark.range(6).selectExpr("concat('f', id % 2) AS flow_key", "id * 10 AS ts_ms", "id AS seq", *kinds).coalesce(1)
+    w, columns = FlowWindow("tumbling_count", count=3), [c for c in packets.columns if c != "flow_key"]
+    windows = packets.groupBy("flow_key").agg(F.collect_list(F.struct(*columns)).alias("elements"))
+    numbered = windows.withColumns({"window_no": F.lit(1).cast("long"), "packets_in_window": F.lit(3).cast("long")})
+    got = streamed(spark, tmp_path, [numbered], lambda p: chained_python(p, Described(), {}, w), "described", numbered.schema)
+    expected = score_python(packets, Described(), {}, w, ARRIVAL).collect()
+    said = [{r.flow_key: r.details.said.split("; ") for r in rows} for rows in (got, expected)]
+    assert len(got) == 2 and [(a, b) for f in "01" for a, b in zip(said[0][f"f{f}"], said[1][f"f{f}"], strict=True) if a != b] == []
+
+
+def test_flows_with_a_few_windows_cost_a_frame_per_window(monkeypatch):
+    class Value(dict):
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+        held = None
+
+    import pandas as pd
+
+    made = []
+    monkeypatch.setattr(pd.DataFrame, "__init__", lambda self, *a, f=pd.DataFrame.__init__, **b: made.append(1) or f(self, *a, **b))
+    packet = StructType.fromDDL("seq bigint, ts_ms bigint")
+    p = stateful.ChainedWindows(CountingDetector, Settings({}), ["window_no", "packets_in_window"], packet)
+    p.init(SimpleNamespace(getValueState=lambda *a: Value()))
+    window = Row("window_no", "packets_in_window", "elements")
+    rows = [window(k, 2, [{"seq": 2 * k + 1, "ts_ms": 7}, {"seq": 2 * k, "ts_ms": 5}]) for k in (3, 1, 2)]
+    out = list(p.handleInputRows(("a",), iter(rows), None))
+    assert [(r.flow_key, r.window_no, r.packets_in_window, r.details, r.error) for r in out] == [("a", k, 2, {"seen": 2 * k}, None) for k in (1, 2, 3)]
+    assert list(p.handleInputRows(("a",), iter(rows[:1]), None))[0].details == {"seen": 8}
+    assert len(made) == 4
