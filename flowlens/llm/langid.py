@@ -111,7 +111,9 @@ class LanguageModel:
         rows = drawn.filter(F.col("place") <= each).orderBy("draw", "text", "lang").collect()
         languages = tuple(sorted({r.lang for r in rows}))
         y = np.array([languages.index(r.lang) for r in rows])
-        x = np.stack([features(r.text) for r in rows]).astype(np.float32)
+        x = np.empty((len(rows), FEATURES), np.float32)  # the one large thing the driver holds
+        for i, r in enumerate(rows):
+            x[i] = features(r.text)
         code = codewords(len(languages))
         target = (code[y] > 0).astype(np.float32)
         # rows weigh so that each language counts alike

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -103,3 +104,17 @@ def test_predictions_against_plain_scores(spark):
         letter = any(c.isalpha() for c in content)
         assert got[i].lang_pred == (model.languages[int(np.argmin(loss))] if letter else "und")
         assert abs(got[i].score - (max(odds) / sum(odds) if letter else 0.0)) < 1e-5
+
+
+def test_fitting_holds_one_matrix(spark):
+    """What the driver takes while it learns is the sample's features once, in single precision."""
+    rows = [(i, " ".join(f"{w}{(i * 7 + k) % 50}" for k, w in enumerate(("the", "der", "les", "una") * 9)), "ab"[i % 2]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    L.LanguageModel.fit(docs, rounds=1)  # what is loaded once is not counted
+    tracemalloc.start()
+    try:
+        L.LanguageModel.fit(docs, rounds=2)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 1.5 * len(rows) * L.FEATURES * 4
