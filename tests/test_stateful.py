@@ -217,7 +217,7 @@ def test_frames_of_stream_windows_are_like_those_of_batches(spark, tmp_path):
     assert len(got) == 2 and [(a, b) for f in "01" for a, b in zip(said[0][f"f{f}"], said[1][f"f{f}"], strict=True) if a != b] == []
 
 
-def test_flows_with_a_few_windows_cost_a_frame_per_window(monkeypatch):
+def test_flows_with_a_few_windows_cost_a_frame_per_window(spark, monkeypatch):
     class Value(dict):
         def get(self):
             return self.held
